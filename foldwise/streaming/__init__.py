@@ -1,0 +1 @@
+"""Empty on purpose: the workload is batch only, it has no streaming operator (see README)."""
