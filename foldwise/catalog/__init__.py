@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("resampling",)
+MODULES = ("resampling", "metrics")
 
 
 def load():

@@ -157,14 +157,11 @@ def outer_fold_counts(spark, folder):
     "A2",
     """
 SELECT cohort, repeat, outer_fold, inner_repeat, inner_fold,
-       sum(count(*)) OVER w - count(*) AS train_n,
-       CAST(sum(sum(y)) OVER w - sum(y) AS BIGINT) AS train_positive,
-       CAST(sum(sum(1 - y)) OVER w - sum(1 - y) AS BIGINT) AS train_negative,
-       count(*) AS test_n, CAST(sum(y) AS BIGINT) AS test_positive, CAST(sum(1 - y) AS BIGINT) AS test_negative
-FROM b_inner GROUP BY ALL
-WINDOW w AS (PARTITION BY cohort, repeat, outer_fold, inner_repeat)""".replace(
-        "sum(count(*)) OVER w - count(*) AS train_n", "CAST(sum(count(*)) OVER w - count(*) AS BIGINT) AS train_n"
-    ),
+  CAST(sum(n) OVER w - n AS BIGINT) AS train_n, CAST(sum(pos) OVER w - pos AS BIGINT) AS train_positive,
+  CAST(sum(n - pos) OVER w - (n - pos) AS BIGINT) AS train_negative,
+  n AS test_n, pos AS test_positive, n - pos AS test_negative
+FROM (SELECT cohort, repeat, outer_fold, inner_repeat, inner_fold, count(*) AS n, CAST(sum(y) AS BIGINT) AS pos FROM b_inner GROUP BY ALL)
+WINDOW w AS (PARTITION BY cohort, repeat, outer_fold, inner_repeat)""",
     INNER,
 )
 def inner_fold_counts(spark, folder):

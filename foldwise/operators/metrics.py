@@ -12,10 +12,14 @@ from foldwise.operators.ordered import running
 
 
 def averaged_oof(predictions: DataFrame, groups: Sequence[str], score: str = "p") -> DataFrame:
-    """One row per sample: label, mean score, sample sd and count over repeats."""
+    """One row per sample: label, mean score, sample sd and count over repeats.
+
+    The mean is rounded to 12 decimals: equal sets of scores then tie exactly, whatever the order
+    in which partial sums arrive from the executors.
+    """
     return predictions.groupBy(*groups, "id").agg(
         F.min("y_true").alias("y_true"),
-        F.avg(score).alias("p_oof"),
+        F.round(F.avg(score), 12).alias("p_oof"),
         F.stddev_samp(score).alias("p_oof_sd"),
         F.count(F.lit(1)).alias("oof_count"),
     )
