@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("resampling", "metrics")
+MODULES = ("resampling", "metrics", "ingest")
 
 
 def load():

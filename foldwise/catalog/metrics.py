@@ -593,7 +593,7 @@ JOIN b_draw_{NEWTON_ROUNDS} USING (cohort, draw)"""
 CTES["b_draw_ci"] = f"""
 SELECT cohort, metric, count(*) AS bootstrap_target, CAST(sum(CASE WHEN positive > 0 AND negative > 0 THEN 1 ELSE 0 END) AS BIGINT) AS draws_with_both_classes,
   count(value) AS bootstrap_success, round(quantile_cont(value, 0.025), 6) AS ci95_lo, round(quantile_cont(value, 0.975), 6) AS ci95_hi
-FROM (UNPIVOT INCLUDE NULLS b_draw_all ON {", ".join(bootstrap.SUMMARY_METRICS)} INTO NAME metric VALUE value) GROUP BY cohort, metric"""
+FROM (FROM b_draw_all UNPIVOT INCLUDE NULLS (value FOR metric IN ( {", ".join(bootstrap.SUMMARY_METRICS)}))) GROUP BY cohort, metric"""
 
 
 @register("metric_bootstrap", "R7", "SELECT * FROM b_draw_ci")

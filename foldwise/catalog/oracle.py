@@ -37,8 +37,7 @@ FROM customer LEFT JOIN (
     "b_cell": """
 SELECT cohort, id, feature,
        CASE WHEN substr(md5('miss' || feature || id), 1, 1) <> '0' THEN value END AS value
-FROM (UNPIVOT INCLUDE NULLS b_cust ON f_orders, f_spend, f_max, f_bal, f_pending, f_void
-      INTO NAME feature VALUE value)""",
+FROM (FROM b_cust UNPIVOT INCLUDE NULLS (value FOR feature IN (f_orders, f_spend, f_max, f_bal, f_pending, f_void)))""",
     "b_fold": folds_sql("b_sample", "cohort", "repeat", "outer_fold", 5, 5, "'outer'"),
     "b_pred": f"""
 SELECT cohort, scenario, method, id, repeat, outer_fold, y AS y_true,

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from foldwise.operators.calibration import recalibration
 from foldwise.operators.metrics import discrimination
-from foldwise.operators.ordered import slice_edges
+from foldwise.operators.ordered import cut
 from foldwise.operators.resample import BOOTSTRAP_DRAWS, bootstrap_weights
+from foldwise.session import settle
 
 # Interval bounds and the success count below which a warning row is written.
 LOW, HIGH = 0.025, 0.975
-MIN_SUCCESS = 1900
+MIN_SUCCESS = 200
 SUMMARY_METRICS = [
     "roc_auc",
     "average_precision",
@@ -34,15 +35,9 @@ def interval(value: str):
 def auc_interval(scores: DataFrame, groups: Sequence[str], score: str, draws: int = BOOTSTRAP_DRAWS) -> DataFrame:
     """Stratified bootstrap interval of AUROC."""
     groups = list(groups)
-    weighted = bootstrap_weights(scores.select(*groups, "id", "y_true", score), groups, ["y_true"], draws, "boot")
-    per_draw = discrimination(
-        weighted,
-        [*groups, "draw"],
-        score,
-        weight=F.col("weight"),
-        edges=slice_edges(scores, groups, score),
-        edge_groups=groups,
-    )
+    rows = settle(cut(settle(scores.select(*groups, "id", "y_true", score)), groups, score))
+    weighted = bootstrap_weights(rows, groups, ["y_true"], draws, "boot")
+    per_draw = discrimination(weighted, [*groups, "draw"], score, weight=F.col("weight"), is_cut=True)
     return per_draw.groupBy(*groups).agg(
         F.count("roc_auc").alias("draws"), interval("roc_auc").alias("_ci")
     ).select(*groups, "draws", F.col("_ci")[0].alias("auc_ci95_lo"), F.col("_ci")[1].alias("auc_ci95_hi"))
@@ -53,13 +48,29 @@ def paired_auc_interval(
 ) -> DataFrame:
     """Intervals of both AUROCs and of their difference; one draw serves both scores."""
     groups = list(groups)
-    rows = paired.select(*groups, "id", "y_true", score_a, score_b)
+    names = [score_a, score_b]
+    rows = settle(paired.select(*groups, "id", "y_true", *names))
+    for name in names:
+        rows = cut(rows, groups, name).withColumnsRenamed({"_cell": f"_cell_{name}"})
+    has_cells = f"_cell_{score_a}" in rows.columns
     weighted = bootstrap_weights(rows, groups, ["y_true"], draws, "boot")
-    side = [*groups, "side"]
-    long = weighted.unpivot([*groups, "y_true", "draw", "weight"], [score_a, score_b], "side", "p")
-    edges = slice_edges(rows.unpivot([*groups, "y_true"], [score_a, score_b], "side", "p"), side, "p")
+    sides = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(n).alias("side"),
+                    F.col(n).alias("p"),
+                    *([F.col(f"_cell_{n}").alias("_cell")] if has_cells else []),
+                )
+                for n in names
+            ]
+        )
+    ).alias("s")
+    long = weighted.select(*groups, "y_true", "draw", "weight", sides).select(
+        *groups, "y_true", "draw", "weight", "s.*"
+    )
     per_draw = (
-        discrimination(long, [*side, "draw"], "p", weight=F.col("weight"), edges=edges, edge_groups=side)
+        discrimination(long, [*groups, "side", "draw"], "p", weight=F.col("weight"), is_cut=True)
         .groupBy(*groups, "draw")
         .agg(
             F.max(F.when(F.col("side") == score_a, F.col("roc_auc"))).alias("auc_a"),
@@ -67,11 +78,11 @@ def paired_auc_interval(
         )
         .withColumn("delta", F.col("auc_b") - F.col("auc_a"))
     )
-    names = ["auc_a", "auc_b", "delta"]
-    wide = per_draw.groupBy(*groups).agg(*[interval(n).alias(n) for n in names])
+    outputs = ["auc_a", "auc_b", "delta"]
+    wide = per_draw.groupBy(*groups).agg(*[interval(n).alias(n) for n in outputs])
     return wide.select(
         *groups,
-        *[F.col(n)[i].alias(f"{n}_ci95_{end}") for n in names for i, end in ((0, "lo"), (1, "hi"))],
+        *[F.col(n)[i].alias(f"{n}_ci95_{end}") for n in outputs for i, end in ((0, "lo"), (1, "hi"))],
     )
 
 
@@ -82,10 +93,9 @@ def metric_draws(scores: DataFrame, groups: Sequence[str], score: str, draws: in
     """
     groups = list(groups)
     keys = [*groups, "draw"]
-    weighted = bootstrap_weights(scores.select(*groups, "id", "y_true", score), groups, [], draws, "ordinary")
-    base = discrimination(
-        weighted, keys, score, weight=F.col("weight"), edges=slice_edges(scores, groups, score), edge_groups=groups
-    )
+    rows = settle(cut(settle(scores.select(*groups, "id", "y_true", score)), groups, score))
+    weighted = settle(bootstrap_weights(rows, groups, [], draws, "ordinary"))
+    base = discrimination(weighted, keys, score, weight=F.col("weight"), is_cut=True)
     means = weighted.groupBy(*keys).agg(
         (F.sum(F.col("weight") * F.col("y_true")) / F.sum("weight")).alias("event_rate"),
         (F.sum(F.col("weight") * F.col(score)) / F.sum("weight")).alias("mean_predicted_probability"),

@@ -31,7 +31,7 @@ def score_counts(
     score: str,
     label: str = "y_true",
     weight: Column | None = None,
-    **kw,
+    is_cut: bool = False,
 ) -> DataFrame:
     """Distinct scores with class counts and running class counts (see ``running``)."""
     w = F.lit(1) if weight is None else weight
@@ -40,7 +40,7 @@ def score_counts(
         groups,
         score,
         {"pos": F.sum(w * F.col(label)), "neg": F.sum(w * (1 - F.col(label)))},
-        **kw,
+        is_cut,
     )
 
 
@@ -50,14 +50,14 @@ def discrimination(
     score: str = "p",
     label: str = "y_true",
     weight: Column | None = None,
-    **kw,
+    is_cut: bool = False,
 ) -> DataFrame:
     """n, positive, negative, roc_auc, average_precision, brier per group from one pass.
 
     AUROC counts ties as one half; average precision steps over distinct thresholds. Both are NULL
     for a group with one class.
     """
-    c = score_counts(scores, groups, score, label, weight, **kw)
+    c = score_counts(scores, groups, score, label, weight, is_cut)
     pos, neg = F.col("pos"), F.col("neg")
     tp = F.col("pos_total") - F.col("pos_below")
     fp = F.col("neg_total") - F.col("neg_below")

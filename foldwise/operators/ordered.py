@@ -1,6 +1,6 @@
 """Exact ranks, running totals and order statistics without one task per group.
 
-A plain ``row_number().over(partitionBy(cohort))`` sends a whole cohort to one task. Here every group
+A plain ``row_number().over(partitionBy(cohort))`` sends a whole cohort to one task. Here a large group
 is cut into *cells* whose order follows the sort key, so that
 
 * rows are windowed per (group, cell), which is a small piece of the group;
@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 from foldwise.session import settle
 
-# Cells per group = SLICES data-driven slices x STEPS equal steps inside a slice.
+# A group of up to ONE_TASK_ROWS rows is windowed whole. A larger one is cut into cells of about
+# CELL_ROWS rows: SLICES data-driven slices x at most STEPS equal steps inside a slice.
+ONE_TASK_ROWS = 500_000
+CELL_ROWS = 100_000
 SLICES = 32
 STEPS = 512
 # Leading hex digits of a hash used as its cell: 16**3 equally likely cells.
@@ -53,24 +56,39 @@ def number_by_hash(df: DataFrame, groups: Sequence[str], digest: Column, tie: st
     )
 
 
-def slice_edges(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """SLICES + 1 approximate quantiles of ``value`` per group, settled so that every use agrees."""
-    points = F.array(*[F.lit(i / SLICES) for i in range(SLICES + 1)])
-    return settle(df.groupBy(*groups).agg(F.percentile_approx(value, points, 10000).alias("_edges")))
+def largest_group(df: DataFrame, groups: Sequence[str]) -> int:
+    """Row count of the largest group: one map-side combined aggregate, one number to the driver."""
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"))
+    return sizes.first()[0] or 0
+
 
+def cut(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """Add ``_cell``, non-decreasing in ``value`` inside each group, if any group needs cutting.
 
-def with_cell(df: DataFrame, edges: DataFrame, on: Sequence[str], value: str) -> DataFrame:
-    """Add ``_cell``, a non-decreasing function of ``value`` inside each edge group."""
+    The edges are approximate quantiles, so cells hold similar row counts however the values
+    cluster. They are settled: every later use sees the same edges.
+    """
+    groups = list(groups)
+    if largest_group(df, groups) <= ONE_TASK_ROWS:
+        return df
+    points = F.array(*[F.lit(i / SLICES) for i in range(SLICES + 1)])
+    edges = settle(
+        df.groupBy(*groups).agg(
+            F.percentile_approx(value, points, 10000).alias("_edges"), F.count(value).alias("_rows")
+        )
+    )
     v = F.col(value)
     inner = F.slice("_edges", 2, SLICES - 1)
     part = F.size(F.filter(inner, lambda e: e < v))
     low, high = F.col("_edges")[F.col("_slice")], F.col("_edges")[F.col("_slice") + 1]
     step = F.floor(F.least(F.lit(STEPS - 1.0), F.greatest(F.lit(0.0), (v - low) / (high - low) * STEPS)))
+    fine = F.col("_slice") * STEPS + F.when(high > low, step).otherwise(0)
+    wanted = F.least(F.lit(SLICES * STEPS), F.ceil(F.col("_rows") / CELL_ROWS))
     return (
-        df.join(edges, list(on))
-        .withColumn("_slice", part)
-        .withColumn("_cell", F.col("_slice") * STEPS + F.when(high > low, step).otherwise(0).cast("int"))
-        .drop("_edges", "_slice")
+        df.join(edges, groups)
+        .withColumn("_slice", F.when(F.col("_rows") > CELL_ROWS, part).otherwise(0))
+        .withColumn("_cell", F.floor(fine * wanted / (SLICES * STEPS)).cast("int"))
+        .drop("_edges", "_slice", "_rows")
     )
 
 
@@ -79,57 +97,69 @@ def running(
     groups: Sequence[str],
     value: str,
     counts: dict[str, Column],
-    edges: DataFrame | None = None,
-    edge_groups: Sequence[str] | None = None,
+    is_cut: bool = False,
 ) -> DataFrame:
     """One row per (group, distinct value) with its counts, running counts and group totals.
 
     For every name in ``counts`` the result has ``name`` (at this value), ``name_below`` (all smaller
     values), ``name_total`` and ``name_prev`` (at the next smaller value, NULL for the smallest).
-    Equal values are aggregated before anything is shuffled by cell, so a heavily tied score costs
-    one row. ``edges`` may come from a coarser grouping, e.g. shared by all bootstrap draws of a unit.
+    Equal values are aggregated before they are shuffled by group, so a heavily tied score costs one
+    row. ``is_cut`` says that ``df`` went through ``cut`` already, e.g. before it was resampled.
     """
     groups = list(groups)
     names = list(counts)
-    if edges is None:
-        edges, edge_groups = slice_edges(df, groups, value), groups
-    distinct = (
-        with_cell(df, edges, edge_groups or groups, value)
-        .groupBy(*groups, "_cell", value)
-        .agg(*[c.alias(n) for n, c in counts.items()])
-    )
+    if not is_cut:
+        df = cut(df, groups, value)
+    cells = ["_cell"] if "_cell" in df.columns else []
+    distinct = df.groupBy(*groups, *cells, value).agg(*[c.alias(n) for n, c in counts.items()])
+    inside = Window.partitionBy(*groups, *cells).orderBy(value)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    total = Window.partitionBy(*groups, *cells)
+    if not cells:
+        return distinct.select(
+            *groups,
+            value,
+            *names,
+            F.count(F.lit(1)).over(total).alias("distinct_total"),
+            *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_below") for n in names],
+            *[F.sum(n).over(total).alias(f"{n}_total") for n in names],
+            *[F.lag(n).over(inside).alias(f"{n}_prev") for n in names],
+        )
+    # Two branches read the distinct values, so they are computed and settled once.
+    distinct = settle(distinct)
     by_cell = Window.partitionBy(*groups).orderBy("_cell")
     whole = Window.partitionBy(*groups)
-    cells = distinct.groupBy(*groups, "_cell").agg(
-        *[F.sum(n).alias(f"_sum_{n}") for n in names],
-        *[F.max_by(n, value).alias(f"_last_{n}") for n in names],
-        F.count(F.lit(1)).alias("_values"),
-    )
-    cells = cells.select(
-        *groups,
-        "_cell",
-        *[
-            F.coalesce(
-                F.sum(f"_sum_{n}").over(by_cell.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias(f"_off_{n}")
-            for n in names
-        ],
-        *[F.sum(f"_sum_{n}").over(whole).alias(f"{n}_total") for n in names],
-        *[F.lag(f"_last_{n}").over(by_cell).alias(f"_lag_{n}") for n in names],
-        F.sum("_values").over(whole).alias("distinct_total"),
+    offsets = (
+        distinct.groupBy(*groups, "_cell")
+        .agg(
+            *[F.sum(n).alias(f"_sum_{n}") for n in names],
+            *[F.max_by(n, value).alias(f"_last_{n}") for n in names],
+            F.count(F.lit(1)).alias("_values"),
+        )
+        .select(
+            *groups,
+            "_cell",
+            F.sum("_values").over(whole).alias("distinct_total"),
+            *[
+                F.coalesce(
+                    F.sum(f"_sum_{n}").over(by_cell.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+                ).alias(f"_off_{n}")
+                for n in names
+            ],
+            *[F.sum(f"_sum_{n}").over(whole).alias(f"{n}_total") for n in names],
+            *[F.lag(f"_last_{n}").over(by_cell).alias(f"_lag_{n}") for n in names],
+        )
     )
-    inside = Window.partitionBy(*groups, "_cell").orderBy(value)
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
     rows = distinct.select(
         "*",
         *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_in_{n}") for n in names],
         *[F.lag(n).over(inside).alias(f"_prev_{n}") for n in names],
-    ).join(cells, [*groups, "_cell"])
+    ).join(offsets, [*groups, "_cell"])
     return rows.select(
         *groups,
         value,
-        "distinct_total",
         *names,
+        "distinct_total",
         *[(F.col(f"_off_{n}") + F.col(f"_in_{n}")).alias(f"{n}_below") for n in names],
         *[f"{n}_total" for n in names],
         *[F.coalesce(f"_prev_{n}", f"_lag_{n}").alias(f"{n}_prev") for n in names],

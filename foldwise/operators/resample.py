@@ -178,9 +178,14 @@ def bootstrap_weights(
     before the shuffle that brings them back to the drawn row; nothing is collected.
     """
     cell = [*groups, *strata]
-    numbered = number_by_hash(
-        rows, cell, digest(purpose, F.col(tie)), tie, "_rn"
-    ).withColumnRenamed("group_n", "_n")
+    # An explicit partition count: the few input bytes must not be coalesced into one task before
+    # every row fans out into its draws.
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = (
+        number_by_hash(rows, cell, digest(purpose, F.col(tie)), tie, "_rn")
+        .withColumnRenamed("group_n", "_n")
+        .repartition(width, *cell, "_rn")
+    )
     chunk = F.explode(F.sequence(F.lit(0), F.lit((draws + 3) // 4 - 1))).alias("_chunk")
     hashed = numbered.select(*cell, "_rn", "_n", chunk).withColumn(
         "_hex", digest(purpose, *[F.col(s) for s in strata], F.col("_chunk"), F.col("_rn"))

@@ -24,15 +24,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and cut its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for settled tables.
 
-    Used for small tables that two branches of a plan must see identically (approximate quantile
-    edges, solver parameters) and between the dependent stages of a tuning run. The folder is the
-    one the cluster names in ``spark.checkpoint.dir``; only a local session without that setting
-    gets a temporary folder of its own.
+    It is the one the cluster names in ``spark.checkpoint.dir``; only a local session without that
+    setting gets a temporary folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,4 +38,14 @@ def settle(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="foldwise-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder and cut its lineage.
+
+    Used for tables that two branches of a plan must see identically (approximate quantile edges,
+    solver parameters) and between the dependent stages of a tuning run.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

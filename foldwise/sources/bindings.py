@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalars import digest, hash_uniform
+from foldwise.operators.rules import RULE_SCHEMA, resolve_rules
 from foldwise.operators.resample import OUTER_REPEATS, OUTER_SPLITS, holdout_splits, stratified_folds
 
 FEATURES = ["f_orders", "f_spend", "f_max", "f_bal", "f_pending", "f_void"]
@@ -117,3 +118,89 @@ def _score(gain, purpose, *parts):
     label = F.col("y") * 2 - 1
     z = gain * label + 4.0 * (hash_uniform(purpose, *parts, F.col("id")) - 0.5)
     return F.round(1.0 / (1.0 + F.exp(-z)), 4)
+
+
+# Text staging: the matrix as it could arrive in text files ---------------------------------------
+
+PADDED = [f" {f} " for f in FEATURES]
+_MISSING_FORMS = [("3", "NA"), ("7", " n/a "), ("b", "")]
+_POSITIVE_FORMS = [("3", "Responder"), ("7", "1"), ("b", " R "), ("f", "positive")]
+_NEGATIVE_FORMS = [("3", "Non_Responder"), ("7", "0"), ("b", "NR"), ("f", "false")]
+
+
+def _by_digit(digit, forms, default=None):
+    out = None
+    for last, text in forms:
+        out = F.when(digit <= last, text) if out is None else out.when(digit <= last, text)
+    return out if default is None else out.otherwise(default)
+
+
+def _digit(purpose, *parts, n=1):
+    return F.substring(F.md5(F.concat(F.lit(purpose), *parts)), 1, n)
+
+
+def staging(spark: SparkSession, folder: str) -> DataFrame:
+    """cohort, raw_id, raw_label and one text column per feature, with padded headers."""
+    m = matrix(spark, folder)
+
+    def token(f):
+        name, bad = F.lit(f), _digit("bad", F.lit(f), F.col("id"), n=2)
+        hidden = F.col(f).isNull() | (_digit("miss", name, F.col("id")) == "0")
+        return (
+            F.when(hidden, _by_digit(_digit("tok", name, F.col("id")), _MISSING_FORMS))
+            .when(bad == "00", "abc")
+            .when(bad == "01", "Infinity")
+            .otherwise(F.col(f).cast("decimal(18,2)").cast("string"))
+        )
+
+    id_digit, label_digit = _digit("id", F.col("id")), _digit("label", F.col("id"))
+    unclear = _digit("unclear", F.col("id"), n=2) == "00"
+    return m.select(
+        "cohort",
+        F.when(id_digit == "0", F.concat("id", F.lit(".0")))
+        .when(id_digit == "1", F.concat(F.lit(" "), "id", F.lit(" ")))
+        .otherwise(F.col("id"))
+        .alias("raw_id"),
+        F.when(unclear, "unclear")
+        .when(F.col("y") == 1, _by_digit(label_digit, _POSITIVE_FORMS))
+        .otherwise(_by_digit(label_digit, _NEGATIVE_FORMS))
+        .alias("raw_label"),
+        *[token(f).alias(p) for f, p in zip(FEATURES, PADDED)],
+    )
+
+
+# Rule tables of the bound cohorts (fixed configuration) ------------------------------------------
+
+def named_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        [("F_Bal", "identity", False, False, False, "derived_log10_ratio")], f"feature string, {RULE_SCHEMA}"
+    )
+
+
+def rule_overrides(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        [
+            ("BUILDING", " f_pending", "log1p", False, True, False, "linear"),
+            ("MACHINERY", "F_ORDERS ", "identity", False, False, False, "linear"),
+        ],
+        f"cohort string, feature string, {RULE_SCHEMA}",
+    )
+
+
+def input_scales(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("FURNITURE", "log10")], "cohort string, input_scale string")
+
+
+def feature_names(spark: SparkSession, folder: str) -> DataFrame:
+    """(cohort, feature) present in the matrix."""
+    cohorts = table(spark, folder, "customer").select(F.col("c_mktsegment").alias("cohort")).distinct()
+    return cohorts.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in FEATURES])))
+
+
+def rules(spark: SparkSession, folder: str, scale_aware: bool = False) -> DataFrame:
+    return resolve_rules(
+        feature_names(spark, folder),
+        named_rules(spark),
+        rule_overrides(spark),
+        input_scales(spark) if scale_aware else None,
+    )
