@@ -245,6 +245,7 @@ def recalibration(
 def calibration_metrics(scores: DataFrame, groups: Sequence[str], score: str = "p", label: str = "y_true") -> DataFrame:
     """Discrimination, event rate, mean score, recalibration fits and their statuses per group."""
     groups = list(groups)
+    scores = settle(scores.select(*groups, label, score))
     means = scores.groupBy(*groups).agg(
         F.avg(F.col(label).cast("double")).alias("event_rate"), F.avg(score).alias("mean_predicted_probability")
     )

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.functions.scalars import close, finite
+from foldwise.functions.scalars import ABS_TOL, close, finite
 
 
 def range_violations(df: DataFrame, keys: Sequence[str], limits: dict[str, tuple]) -> DataFrame:
@@ -83,3 +83,35 @@ def violations(df: DataFrame, keys: Sequence[str], rules: dict[str, Column]) ->
 
 def stack(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` itself; raises at plan time when a column is absent."""
+    missing = sorted(set(columns) - set(df.columns))
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return df
+
+
+def bin_problems(bins: DataFrame, keys: Sequence[str], shared: Sequence[str]) -> DataFrame:
+    """Violations of a calibration bin table. A unit has a handful of bins, so windows are small.
+
+    ``shared`` are the keys over which every method must cover the same number of rows.
+    """
+    unit = Window.partitionBy(*keys)
+    marked = bins.withColumns(
+        {"_place": F.row_number().over(unit.orderBy("bin")), "_total": F.sum("n").over(unit)}
+    ).withColumn("_least", F.min("_total").over(Window.partitionBy(*shared)))
+    rate = F.col("n_positive") / F.col("n")
+    low, high = F.col("observed_rate_wilson95_low"), F.col("observed_rate_wilson95_high")
+    return violations(
+        marked,
+        [*keys, "bin"],
+        {
+            "positive_exceeds_n": F.col("n_positive") > F.col("n"),
+            "rate": ~close(F.col("observed_rate"), rate),
+            "interval_order": (low > F.col("observed_rate") + ABS_TOL) | (F.col("observed_rate") > high + ABS_TOL),
+            "bin_sequence": F.col("bin") != F.col("_place"),
+            "method_totals": F.col("_total") != F.col("_least"),
+        },
+    )

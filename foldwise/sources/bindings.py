@@ -204,3 +204,21 @@ def rules(spark: SparkSession, folder: str, scale_aware: bool = False) -> DataFr
         rule_overrides(spark),
         input_scales(spark) if scale_aware else None,
     )
+
+
+def label_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """cohort, id, variant, y: a middle band is excluded, counted as negative, or as positive."""
+    balance = F.col("c_acctbal")
+    stable = (balance > 3500) & (balance <= 4500)
+    one = lambda name, label: F.struct(F.lit(name).alias("variant"), label.cast("int").alias("y"))
+    variants = F.array(
+        one("primary", F.when(~stable, balance > 4500)),
+        one("stable_as_negative", balance > 4500),
+        one("stable_as_positive", balance > 3500),
+    )
+    return (
+        table(spark, folder, "customer")
+        .select(F.col("c_mktsegment").alias("cohort"), F.col("c_custkey").cast("string").alias("id"), F.explode(variants).alias("v"))
+        .select("cohort", "id", "v.*")
+        .where(F.col("y").isNotNull())
+    )
