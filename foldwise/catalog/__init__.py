@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("resampling", "metrics", "ingest", "compare", "checks", "preprocessing")
+MODULES = ("resampling", "metrics", "ingest", "compare", "checks", "preprocessing", "fits")
 
 
 def load():

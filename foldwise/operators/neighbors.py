@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.plans.design import NEIGHBORS
+from foldwise.session import settle
 
 BLOCK_ROWS = 2048
 # Distances are compared after rounding so that summation order cannot reorder neighbours.
@@ -61,9 +62,12 @@ def knn_fill(z: DataFrame, keys: Sequence[str], k: int = NEIGHBORS) -> DataFrame
     any comparable donor takes the training mean, which is 0 on the z scale.
     """
     keys = list(keys)
-    rows = z.groupBy(*keys, "id", "is_train").agg(
-        F.array_sort(F.collect_list(F.struct("feature", "z"))).alias("_cells"),
-        F.count_if(F.col("z").isNull()).alias("_missing"),
+    # Settled: sizes, receivers, donors and the missing cells all read the packed rows.
+    rows = settle(
+        z.groupBy(*keys, "id", "is_train").agg(
+            F.array_sort(F.collect_list(F.struct("feature", "z"))).alias("_cells"),
+            F.count_if(F.col("z").isNull()).alias("_missing"),
+        )
     )
     sizes = rows.groupBy(*keys).agg(
         F.greatest(F.lit(1), F.ceil(F.count_if(F.col("_missing") > 0) / BLOCK_ROWS)).cast("int").alias("_rb"),
@@ -78,7 +82,8 @@ def knn_fill(z: DataFrame, keys: Sequence[str], k: int = NEIGHBORS) -> DataFrame
     )
     donors = (
         packed.where("is_train").withColumn("db", own(F.col("_db"))).withColumn("rb", every(F.col("_rb")))
-        .select(*keys, "rb", "db", "id", "z")
+        # Fresh column identities: the two sides of the cogroup come from the same table.
+        .select(*[F.col(c).alias(c) for c in [*keys, "rb", "db", "id", "z"]])
     )
     types = dict(z.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", id string, j int, donor string, distance double, value double"
