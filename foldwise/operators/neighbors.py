@@ -36,7 +36,7 @@ def nan_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _block_candidates(k: int, keys: list[str]):
-    def best(key, receivers: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
+    def best(key: tuple, receivers: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
         names = [*keys, "id", "j", "donor", "distance", "value"]
         if receivers.empty or donors.empty:
             return pd.DataFrame(columns=names)

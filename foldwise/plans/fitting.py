@@ -21,20 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.operators import preprocess, selection
-from foldwise.operators.neighbors import nan_distances
 from foldwise.operators.resample import stratified_folds
-from foldwise.plans import solver
+from foldwise.plans import distributed, solver
 from foldwise.plans.design import (
     EN_ITERATION_LIMIT,
     EN_ITERATIONS,
     L2_ITERATION_LIMIT,
-    NEIGHBORS,
     Design,
 )
+from foldwise.plans.taskside import fill_neighbors, matrix, schema_of, standardize
 from foldwise.session import settle
 
 # One task holds the rows of one fit: at most this many cells (about 400 MB as doubles). Larger
-# cohorts are fitted by ``foldwise.plans.distributed``, which never gathers a fit.
+# fits go to ``foldwise.plans.distributed``, which never gathers the rows of a fit.
 TASK_CELLS = 50_000_000
 STATE = ["impute_value", "mean", "sd", "used", "transform"]
 
@@ -72,53 +71,32 @@ def pack_state(state: DataFrame, keys: Sequence[str]) -> DataFrame:
     return packed.select(*keys, *[F.col(f"_s.{f}").alias(f) for f in STATE])
 
 
-def check_task_size(rows: DataFrame, keys: Sequence[str]) -> None:
-    """Refuse to gather a fit that would not fit a task."""
+def large_fits(rows: DataFrame, fit: Sequence[str], keys: Sequence[str]) -> DataFrame | None:
+    """(fit) whose rows would not fit one task, or None when there is none."""
     sizes = rows.groupBy(*keys).agg((F.count(F.lit(1)) * F.max(F.size("x"))).alias("cells"))
-    largest = sizes.agg(F.max("cells")).first()[0] or 0
-    if largest > TASK_CELLS:
-        raise ValueError(f"a fit has {largest} cells: use foldwise.plans.distributed for this cohort")
+    if (sizes.agg(F.max("cells")).first()[0] or 0) <= TASK_CELLS:
+        return None
+    return settle(sizes.where(F.col("cells") > TASK_CELLS).select(*fit).distinct())
 
 
-# Task-side helpers -----------------------------------------------------------------------------------
-
+def _split(df: DataFrame, large: DataFrame, fit: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    return df.join(large, list(fit), "left_anti"), df.join(large, list(fit), "left_semi")
 
-def _matrix(rows: pd.DataFrame) -> np.ndarray:
-    return np.array([[np.nan if v is None else v for v in x] for x in rows["x"]], dtype=float)
 
+def _needs_impute_values(design: Design) -> None:
+    if design.imputation == "knn":
+        raise NotImplementedError("KNN imputation inside a fit needs the fit's rows in one task")
 
-def _standardize(x: np.ndarray, state) -> tuple[np.ndarray, np.ndarray]:
-    """(z over the used features, their positions); missing values stay NaN only without impute values."""
-    used = np.flatnonzero(np.asarray(state["used"], bool))
-    number = lambda name: np.array([np.nan if v is None else v for v in state[name]], float)[used]
-    z = x[:, used]
-    z = np.where(np.isnan(z), number("impute_value"), z)
-    logged = np.array([t == "log1p" for t in state["transform"]])[used]
-    z = np.where(logged, np.log1p(np.where(logged, z, 0.0)), z)
-    return (z - number("mean")) / number("sd"), used
 
-
-def _knn(z: np.ndarray, train: np.ndarray) -> np.ndarray:
-    """Fill NaN with the mean of the nearest training rows; 0 (the training mean) without a donor."""
-    if not np.isnan(z).any():
-        return z
-    out, donors = z.copy(), z[train]
-    holes = np.flatnonzero(np.isnan(z).any(axis=1))
-    distance = np.round(nan_distances(z[holes], donors), 9)
-    for place, i in enumerate(holes):
-        for j in np.flatnonzero(np.isnan(z[i])):
-            pool = np.flatnonzero(~np.isnan(donors[:, j]) & np.isfinite(distance[place]))
-            near = pool[np.argsort(distance[place, pool], kind="stable")[:NEIGHBORS]]
-            out[i, j] = donors[near, j].mean() if len(near) else 0.0
-    return out
+# Task-side helpers -----------------------------------------------------------------------------------
 
 
 def _resamples(rows: pd.DataFrame, states: pd.DataFrame):
     """Per inner fold: (fold, z, used positions, train mask, labels); rows in id order."""
     rows = rows.sort_values("id", kind="stable")
-    x, y, own = _matrix(rows), rows["y"].to_numpy(int), rows["inner_fold"].to_numpy(int)
+    x, y, own = matrix(rows), rows["y"].to_numpy(int), rows["inner_fold"].to_numpy(int)
     for _, state in states.sort_values("inner_fold").iterrows():
-        z, used = _standardize(x, state)
+        z, used = standardize(x, state)
         yield int(state["inner_fold"]), z, used, own != int(state["inner_fold"]), y
 
 
@@ -126,10 +104,10 @@ def _grid_task(fit: list[str], design: Design):
     points = [(c, r) for c in design.en_c for r in design.en_l1]
     names = [*fit, "inner_repeat", "inner_fold", "C", "l1_ratio", "auc", "converged", "iterations", "coef"]
 
-    def run(key, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         out = []
         for fold, z, used, train, y in _resamples(rows, states):
-            z = _knn(z, train)
+            z = fill_neighbors(z, train)
             beta, converged, sweeps = solver.fit_batch(
                 z[train], y[train], [p[0] for p in points], [p[1] for p in points], False, EN_ITERATION_LIMIT
             )
@@ -146,7 +124,7 @@ def _grid_task(fit: list[str], design: Design):
 def _size_task(fit: list[str], design: Design):
     names = [*fit, "inner_repeat", "inner_fold", "k", "C", "auc", "converged", "iterations"]
 
-    def run(key, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         out = []
         for fold, z, used, train, y in _resamples(rows, states):
             place = {int(u): i for i, u in enumerate(used)}
@@ -154,7 +132,7 @@ def _size_task(fit: list[str], design: Design):
             for k in range(1, len(order) + 1):
                 columns = [place[j] for j in order[:k] if j in place]
                 if columns:
-                    sub = _knn(z[:, columns], train)
+                    sub = fill_neighbors(z[:, columns], train)
                     beta, converged, sweeps = solver.fit_batch(
                         sub[train], y[train], design.l2_c, np.zeros(len(design.l2_c)), True, L2_ITERATION_LIMIT
                     )
@@ -173,15 +151,15 @@ def _size_task(fit: list[str], design: Design):
 def _final_task(fit: list[str]):
     names = [*fit, "intercept", "coef", "converged", "iterations", "ids", "labels", "p"]
 
-    def run(key, rows: pd.DataFrame, spec: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame, spec: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or spec.empty:
             return pd.DataFrame(columns=names)
         rows, s = rows.sort_values("id", kind="stable"), spec.iloc[0]
-        x, y, train = _matrix(rows), rows["y"].to_numpy(int), rows["is_train"].to_numpy(bool)
-        z, used = _standardize(x, s)
+        x, y, train = matrix(rows), rows["y"].to_numpy(int), rows["is_train"].to_numpy(bool)
+        z, used = standardize(x, s)
         place = {int(u): i for i, u in enumerate(used)}
         chosen = [j for j in list(s["order"])[: int(s["k_selected"])] if j in place]
-        z = _knn(z[:, [place[j] for j in chosen]], train)
+        z = fill_neighbors(z[:, [place[j] for j in chosen]], train)
         beta, converged, sweeps = solver.fit_batch(z[train], y[train], [s["l2_C"]], [0.0], True, L2_ITERATION_LIMIT)
         coef = np.full(x.shape[1], np.nan)
         coef[chosen] = beta[0, 1:]
@@ -193,11 +171,6 @@ def _final_task(fit: list[str]):
     return run
 
 
-def _schema(df: DataFrame, keys: Sequence[str], rest: str) -> str:
-    types = dict(df.dtypes)
-    return ", ".join([*[f"{k} {types[k]}" for k in keys], rest])
-
-
 def _cogroup(left: DataFrame, right: DataFrame, keys: Sequence[str], task, schema: str) -> DataFrame:
     """Both sides hash-partitioned by the same keys; an explicit count keeps small inputs spread out."""
     width = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -226,7 +199,6 @@ def prepare(cells: DataFrame, inner: DataFrame, fit: Sequence[str], design: Desi
     rows = settle(
         inner.select(*keys, "inner_fold", "id", "y").join(pack_rows(cells), ["cohort", "id"])
     )
-    check_task_size(rows, keys)
     state = preprocess.training_state(cells, inner, keys, "inner_fold", design.imputation, design.missing_rate)
     return rows, settle(pack_state(state, [*keys, "inner_fold"]))
 
@@ -234,10 +206,17 @@ def prepare(cells: DataFrame, inner: DataFrame, fit: Sequence[str], design: Desi
 def tune_grid(rows: DataFrame, states: DataFrame, fit: Sequence[str], design: Design) -> DataFrame:
     """Fold AUROC, convergence and coefficients at every grid point of every inner resample."""
     keys = [*fit, "inner_repeat"]
-    schema = _schema(
-        rows, keys, "inner_fold int, C double, l1_ratio double, auc double, converged boolean, iterations int, coef array<double>"
-    )
-    return settle(_cogroup(rows, states, keys, _grid_task(list(fit), design), schema))
+    columns = "inner_fold int, C double, l1_ratio double, auc double, converged boolean, iterations int, coef array<double>"
+    schema, task = schema_of(rows, keys, columns), _grid_task(list(fit), design)
+    large = large_fits(rows, fit, keys)
+    if large is None:
+        return settle(_cogroup(rows, states, keys, task, schema))
+    _needs_impute_values(design)
+    (rows, big_rows), (states, big_states) = _split(rows, large, fit), _split(states, large, fit)
+    points = [(float(c), float(r), None) for c in design.en_c for r in design.en_l1]
+    big = distributed.resample_scores(big_rows, big_states, fit, points, False, EN_ITERATION_LIMIT)
+    small = _cogroup(rows, states, keys, task, schema)
+    return settle(small.unionByName(big.select(*small.columns)))
 
 
 def rank(folds: DataFrame, best: DataFrame, order: DataFrame, fit: Sequence[str]) -> DataFrame:
@@ -268,8 +247,20 @@ def order_arrays(ranking: DataFrame, order: DataFrame, fit: Sequence[str], rank_
 def size_scores(rows, states, orders, fit: Sequence[str], design: Design) -> DataFrame:
     """Fold AUROC for every k and C of every inner resample."""
     keys = [*fit, "inner_repeat"]
-    schema = _schema(rows, keys, "inner_fold int, k int, C double, auc double, converged boolean, iterations int")
-    return settle(_cogroup(rows, states.join(orders, list(fit)), keys, _size_task(list(fit), design), schema))
+    columns = "inner_fold int, k int, C double, auc double, converged boolean, iterations int"
+    schema, task = schema_of(rows, keys, columns), _size_task(list(fit), design)
+    states = states.join(orders, list(fit))
+    large = large_fits(rows, fit, keys)
+    if large is None:
+        return settle(_cogroup(rows, states, keys, task, schema))
+    _needs_impute_values(design)
+    (rows, big_rows), (states, big_states) = _split(rows, large, fit), _split(states, large, fit)
+    points = [(float(c), 0.0, k) for k in range(1, design.max_k + 1) for c in design.l2_c]
+    big = distributed.resample_scores(big_rows, big_states, fit, points, True, L2_ITERATION_LIMIT)
+    ranked = orders.select(*fit, F.size("order").alias("_ranked"))
+    big = big.join(ranked, list(fit)).where(F.col("k") <= F.col("_ranked"))
+    small = _cogroup(rows, states, keys, task, schema)
+    return settle(small.unionByName(big.select(*small.columns)))
 
 
 def choose_size(scores: DataFrame, fit: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -298,31 +289,32 @@ def fit_final(
     choice: DataFrame,
     fit: Sequence[str],
     design: Design,
-) -> DataFrame:
-    """One L2 model per fit at its chosen features and C, with its held-out probabilities.
+) -> tuple[DataFrame, DataFrame]:
+    """One L2 model per fit at its chosen features and C: (models, held-out predictions).
 
-    ``roles`` is (fit, id, y, is_train); ``state`` the training states of the fits.
+    Predictions are (fit, id, y_true, p). ``roles`` is (fit, id, y, is_train); ``state`` the training states of the fits.
     """
     rows = roles.select(*fit, "id", "y", "is_train").join(pack_rows(cells), ["cohort", "id"])
-    check_task_size(rows, fit)
     spec = pack_state(state, fit).join(orders, list(fit)).join(choice.select(*fit, "k_selected", "l2_C"), list(fit))
-    schema = _schema(
-        rows,
-        fit,
-        "intercept double, coef array<double>, converged boolean, iterations int, ids array<string>, labels array<int>, p array<double>",
-    )
-    models = settle(_cogroup(rows, spec, fit, _final_task(list(fit)), schema))
-    if design.fail_on_nonconvergence and not models.where(~F.col("converged")).isEmpty():
-        raise RuntimeError("a final model did not converge within its iteration limit")
-    return models
-
-
-def model_predictions(models: DataFrame, fit: Sequence[str]) -> DataFrame:
-    """(fit, id, y_true, p) of the held-out rows."""
+    schema = schema_of(rows, fit, "intercept double, coef array<double>, converged boolean, iterations int")
+    held = "ids array<string>, labels array<int>, p array<double>"
+    large = large_fits(rows, fit, fit)
+    if large is not None:
+        _needs_impute_values(design)
+        rows, big_rows = _split(settle(rows), large, fit)
+        spec, big_spec = _split(settle(spec), large, fit)
+        big_models, big_predictions = distributed.final_models(big_rows, big_spec, fit, L2_ITERATION_LIMIT)
+    packed = settle(_cogroup(rows, spec, fit, _final_task(list(fit)), f"{schema}, {held}"))
     zipped = F.explode(F.arrays_zip("ids", "labels", "p")).alias("r")
-    return models.select(*fit, zipped).select(
+    predictions = packed.select(*fit, zipped).select(
         *fit, F.col("r.ids").alias("id"), F.col("r.labels").alias("y_true"), F.col("r.p").alias("p")
     )
+    models = packed.drop("ids", "labels", "p")
+    if large is not None:
+        models, predictions = models.unionByName(big_models), predictions.unionByName(big_predictions)
+    if design.fail_on_nonconvergence and not models.where(~F.col("converged")).isEmpty():
+        raise RuntimeError("a final model did not converge within its iteration limit")
+    return models, predictions
 
 
 def model_coefficients(models: DataFrame, order: DataFrame, fit: Sequence[str]) -> DataFrame:

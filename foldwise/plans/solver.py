@@ -13,6 +13,10 @@ import numpy as np
 STEP_TOL = 1e-8
 
 
+def sigmoid(eta: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))
+
+
 def balanced(y: np.ndarray) -> np.ndarray:
     """n / (2 n_k) per row."""
     positive = max(y.sum(), 1)
@@ -43,7 +47,7 @@ def fit_batch(x, y, c, l1_ratio, penalise_intercept, limit):
         if not len(t):
             return beta, done, sweeps
         b = beta[t]
-        q = 1.0 / (1.0 + np.exp(-np.clip(a @ b.T, -500, 500)))
+        q = sigmoid(a @ b.T)
         gradient = ((a.T @ (w[:, None] * (q - y[:, None]))) * c[t]).T + l2[t] * b
         curve = (w[:, None] * np.maximum(q * (1.0 - q), 1e-10)) * c[t]
         hessian = (a.T[None] * curve.T[:, None, :]) @ a
@@ -51,7 +55,7 @@ def fit_batch(x, y, c, l1_ratio, penalise_intercept, limit):
         if not l1[t].any():
             target, used = b - np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0], 1
         else:
-            target, used = _coordinate_descent(hessian, gradient, b, l1[t])
+            target, used = coordinate_descent(hessian, gradient, b, l1[t])
         sweeps[t] += used
         step, before = target - b, objective(b, t)
         scale = np.ones(len(t))
@@ -65,7 +69,7 @@ def fit_batch(x, y, c, l1_ratio, penalise_intercept, limit):
         done[t] = np.abs(scale[:, None] * step).max(1) <= STEP_TOL * np.maximum(1.0, np.abs(beta[t]).max(1))
 
 
-def _coordinate_descent(hessian, gradient, start, l1):
+def coordinate_descent(hessian, gradient, start, l1):
     b, diagonal = start.copy(), np.diagonal(hessian, axis1=1, axis2=2)
     slope = gradient.copy()
     for sweep in range(1, 101):
@@ -86,8 +90,7 @@ def _coordinate_descent(hessian, gradient, start, l1):
 
 def probabilities(x, beta):
     """Rows x tasks."""
-    eta = np.column_stack([np.ones(len(x)), x]) @ beta.T
-    return 1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))
+    return sigmoid(np.column_stack([np.ones(len(x)), x]) @ beta.T)
 
 
 def auc_columns(y, scores):

@@ -47,7 +47,7 @@ def nested(cells: DataFrame, samples: DataFrame, design: Design) -> Analysis:
     train = training_sets(plan, ["cohort", "repeat"], "outer_fold")
     tuned = fitting.tune(cells, settle(fitting.inner_plan(train, OUTER, design)), OUTER, design)
     order = fitting.feature_order(cells)
-    models = fitting.fit_final(
+    models, predictions = fitting.fit_final(
         cells,
         outer_roles(plan),
         outer_state(cells, plan, design),
@@ -56,7 +56,7 @@ def nested(cells: DataFrame, samples: DataFrame, design: Design) -> Analysis:
         OUTER,
         design,
     )
-    return Analysis(tuned, models, fitting.model_predictions(models, OUTER), order)
+    return Analysis(tuned, models, predictions, order)
 
 
 def global_tuning(cells: DataFrame, samples: DataFrame, design: Design) -> fitting.Tuned:
@@ -74,10 +74,10 @@ def fixed_specification(
     fits = plan.select(*OUTER).distinct()
     by_fit = lambda df, key: df if "outer_fold" in df.columns else fits.join(df, key)
     orders = fitting.order_arrays(by_fit(ranking, "cohort"), order, OUTER)
-    models = fitting.fit_final(
+    models, predictions = fitting.fit_final(
         cells, outer_roles(plan), outer_state(cells, plan, design), orders, by_fit(choice, "cohort"), OUTER, design
     )
-    return Analysis(None, models, fitting.model_predictions(models, OUTER), order)
+    return Analysis(None, models, predictions, order)
 
 
 def non_nested(cells: DataFrame, samples: DataFrame, design: Design, spec: fitting.Tuned | None = None) -> Analysis:
@@ -104,8 +104,8 @@ def global_ranking_nested_size(cells, samples, spec: fitting.Tuned, design: Desi
     train = training_sets(plan, ["cohort", "repeat"], "outer_fold")
     rows, states = fitting.prepare(cells, settle(fitting.inner_plan(train, OUTER, design)), OUTER, design)
     _, choice = fitting.choose_size(fitting.size_scores(rows, states, orders, OUTER, design), OUTER)
-    models = fitting.fit_final(cells, outer_roles(plan), state, orders, settle(choice), OUTER, design)
-    return Analysis(None, models, fitting.model_predictions(models, OUTER), order)
+    models, predictions = fitting.fit_final(cells, outer_roles(plan), state, orders, settle(choice), OUTER, design)
+    return Analysis(None, models, predictions, order)
 
 
 def holdout(cells: DataFrame, samples: DataFrame, design: Design) -> Analysis:
@@ -115,10 +115,10 @@ def holdout(cells: DataFrame, samples: DataFrame, design: Design) -> Analysis:
     tuned = fitting.tune(cells, settle(fitting.inner_plan(train, SPLIT, design)), SPLIT, design)
     order = fitting.feature_order(cells)
     state = preprocess.single_state(cells, train, SPLIT, design.imputation, design.missing_rate)
-    models = fitting.fit_final(
+    models, predictions = fitting.fit_final(
         cells, plan, state, fitting.order_arrays(tuned.ranking, order, SPLIT), tuned.choice, SPLIT, design
     )
-    return Analysis(tuned, models, fitting.model_predictions(models, SPLIT), order)
+    return Analysis(tuned, models, predictions, order)
 
 
 def full_data_signature(cells: DataFrame, samples: DataFrame, design: Design) -> Analysis:
@@ -128,7 +128,7 @@ def full_data_signature(cells: DataFrame, samples: DataFrame, design: Design) ->
     tuned = fitting.tune(cells, settle(fitting.inner_plan(everyone, fit, design)), fit, design)
     order = fitting.feature_order(cells)
     state = preprocess.single_state(cells, everyone, fit, design.imputation, design.missing_rate)
-    models = fitting.fit_final(
+    models, predictions = fitting.fit_final(
         cells,
         everyone.withColumn("is_train", F.lit(True)),
         state,
@@ -137,7 +137,7 @@ def full_data_signature(cells: DataFrame, samples: DataFrame, design: Design) ->
         fit,
         design,
     )
-    return Analysis(tuned, models, fitting.model_predictions(models, fit), order)
+    return Analysis(tuned, models, predictions, order)
 
 
 def oof_metrics(predictions: DataFrame) -> DataFrame:
