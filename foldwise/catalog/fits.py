@@ -155,3 +155,82 @@ def fitted_method_comparison(spark, folder):
     table = metrics.discrimination(metrics.averaged_oof(union, ["cohort", "method"]), ["cohort", "method"], "p_oof")
     wide = compare.method_deltas(table, ["cohort"], "nested", "non_nested")
     return rounded(wide, *[c for c in wide.columns if c.startswith(("nested_", "non_nested_", "delta_"))], digits=5)
+
+
+# Sensitivity scenarios --------------------------------------------------------------------------------
+
+
+def scenario_analyses(spark, folder, name):
+    """(nested, non-nested, design) of a settings scenario or of an alternative labelling."""
+    if name in SCENARIOS:
+        return nested(spark, folder, name), non_nested(spark, folder, name)
+    cells, _ = inputs(spark, folder)
+    samples = settle(b.label_variants(spark, folder).where(F.col("variant") == name).drop("variant"))
+    return (
+        _once(spark, folder, f"nested-{name}", lambda: validation.nested(cells, samples, PRIMARY)),
+        _once(spark, folder, f"non_nested-{name}", lambda: validation.non_nested(cells, samples, PRIMARY)),
+    )
+
+
+def scenario_deltas(spark, folder, name):
+    full, none = scenario_analyses(spark, folder, name)
+    union = full.predictions.withColumn("method", F.lit("nested")).unionByName(
+        none.predictions.withColumn("method", F.lit("non_nested"))
+    )
+    table = metrics.discrimination(metrics.averaged_oof(union, ["cohort", "method"]), ["cohort", "method"], "p_oof")
+    return compare.method_deltas(table, ["cohort"], "nested", "non_nested").withColumn("scenario", F.lit(name))
+
+
+def _scenario_query(name):
+    def build(spark, folder):
+        both = scenario_deltas(spark, folder, "primary").unionByName(scenario_deltas(spark, folder, name))
+        fields = ["nested_roc_auc", "non_nested_roc_auc", "delta_roc_auc"]
+        changed = compare.change_from_primary(both, fields)
+        return rounded(
+            changed.select("cohort", "scenario", "n_samples", "n_positive", *fields, *[f"change_{f}" for f in fields]),
+            *fields, *[f"change_{f}" for f in fields], digits=5,
+        )
+
+    return build
+
+
+for _name in ("knn", "kmax30", "outer3", "reggrid", "stable_as_negative", "stable_as_positive"):
+    register(f"scenario_comparison_{_name}", "M20" if _name in SCENARIOS else "M20 P23")(_scenario_query(_name))
+
+
+@register("scenario_boundary_counts", "M20 A21")
+def scenario_boundary_counts(spark, folder):
+    """Choices on the ends of the expanded grid, nested fits."""
+    from foldwise.operators.selection import boundary_counts
+
+    design, tuned = SCENARIOS["reggrid"], nested(spark, folder, "reggrid").tuned
+    chosen = tuned.best.select(*OUTER, F.col("C").alias("en_C"), F.col("l1_ratio").alias("en_l1_ratio")).join(
+        tuned.choice.select(*OUTER, "l2_C"), OUTER
+    )
+    return boundary_counts(chosen, ["cohort"], {"en_C": design.en_c, "en_l1_ratio": design.en_l1, "l2_C": design.l2_c})
+
+
+@register("vector_matrix_signature", "M13 M9 S3")
+def vector_matrix_signature(spark, folder):
+    """Full-data signature of the embedding vectors: one wide cohort, signed features, identity rule."""
+
+    def build():
+        vectors = b.table(spark, folder, "embeddings").select(
+            F.lit("VECTORS").alias("cohort"),
+            F.col("vec_id").cast("string").alias("id"),
+            (F.col("label") < 5).cast("int").alias("y"),
+            "embedding",
+        )
+        cells = vectors.select("cohort", "id", F.posexplode("embedding").alias("i", "v")).select(
+            "cohort",
+            "id",
+            F.concat(F.lit("v"), F.lpad(F.col("i").cast("string"), 3, "0")).alias("feature"),
+            F.col("v").cast("double").alias("value"),
+            F.lit("identity").alias("transform"),
+            F.lit(False).alias("half_minimum_allowed"),
+            F.lit("linear").alias("input_scale"),
+        )
+        return validation.full_data_signature(settle(cells), settle(vectors.select("cohort", "id", "y")), PRIMARY)
+
+    done = _once(spark, folder, "vectors", build)
+    return rounded(fitting.model_coefficients(done.models, done.order, ["cohort"]), "coef", digits=5)

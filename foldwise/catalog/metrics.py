@@ -7,6 +7,7 @@ from foldwise.catalog.registry import register
 from foldwise.catalog.resampling import COUNTS
 from foldwise.functions import scalars
 from foldwise.operators import bootstrap, calibration, metrics, resample
+from foldwise.session import settle
 from foldwise.sources import bindings as b
 
 GROUP = ["cohort", "scenario", "method"]
@@ -224,7 +225,7 @@ def holdout_adjusted(spark, folder):
 def units(spark, folder):
     cv = cv_adjusted(spark, folder).where(F.col("scenario") == "primary")
     hold = holdout_adjusted(spark, folder).withColumn("method", F.lit("holdout"))
-    return calibration.evaluation_units(cv, hold, ["cohort"])
+    return settle(calibration.evaluation_units(cv, hold, ["cohort"]))
 
 
 def primary_units(spark, folder):
@@ -600,3 +601,18 @@ FROM (FROM b_draw_all UNPIVOT INCLUDE NULLS (value FOR metric IN ( {", ".join(bo
 def metric_bootstrap(spark, folder):
     draws = bootstrap.metric_draws(paired(spark, folder).withColumnRenamed("nested", "p"), ["cohort"], "p")
     return rounded(bootstrap.metric_intervals(draws, ["cohort"]), "ci95_lo", "ci95_hi", digits=6)
+
+
+@register(
+    "bootstrap_success_warnings",
+    "R7",
+    """
+SELECT cohort, 'low_' || metric || '_bootstrap_success' AS issue, bootstrap_success AS successful FROM b_draw_ci WHERE bootstrap_success < 2000
+UNION ALL SELECT cohort, 'low_roc_auc_bootstrap_success', bootstrap_success FROM b_draw_ci WHERE metric = 'roc_auc' AND bootstrap_success >= 2000""",
+)
+def bootstrap_success_warnings(spark, folder):
+    """Warning rows at a requirement no unit can meet for AUROC, at the full target elsewhere."""
+    draws = bootstrap.metric_draws(paired(spark, folder).withColumnRenamed("nested", "p"), ["cohort"], "p")
+    intervals = bootstrap.metric_intervals(draws, ["cohort"])
+    strict = bootstrap.low_success(intervals.where("metric = 'roc_auc'"), ["cohort"], B + 1)
+    return strict.unionByName(bootstrap.low_success(intervals.where("metric <> 'roc_auc'"), ["cohort"], B))

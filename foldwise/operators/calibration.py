@@ -17,6 +17,8 @@ CALIBRATION_BINS = 10
 INTERCEPT_BOUND, SLOPE_BOUND, BOUND_TOL = 50.0, 25.0, 1e-5
 CONSTANT_LOGIT = 1e-12
 MAX_NEWTON, NEWTON_TOL, MAX_STEP = 60, 1e-10, 5.0
+# Newton steps chained in one job before the parameters are settled and tested.
+STEPS_PER_ROUND = 4
 VARIANTS = ["raw", "prior_adjusted"]
 
 
@@ -179,45 +181,10 @@ def recalibration(
             F.lit(float("inf")).alias("step"),
         )
     )
-    m = F.col("pos") + F.col("neg")
-    for _ in range(MAX_NEWTON):
-        q0, q = expit(F.col("a0") + z), expit(F.col("a") + F.col("b") * z)
-        sums = (
-            counts.join(state.where(F.col("_s1") == "ok").drop("step"), groups)
-            .groupBy(*groups)
-            .agg(
-                F.sum(m * q0 - F.col("pos")).alias("s"),
-                F.sum(m * q0 * (1 - q0)).alias("h"),
-                F.sum(m * q - F.col("pos")).alias("g0"),
-                F.sum((m * q - F.col("pos")) * z).alias("g1"),
-                F.sum(m * q * (1 - q)).alias("h00"),
-                F.sum(m * q * (1 - q) * z).alias("h01"),
-                F.sum(m * q * (1 - q) * z * z).alias("h11"),
-            )
-        )
-        det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-        fit2 = F.col("_s2") == "ok"
-        clip = lambda x: F.greatest(F.lit(-MAX_STEP), F.least(F.lit(MAX_STEP), x))
-        d0 = F.coalesce(clip(F.col("s") / F.nullif(F.col("h"), F.lit(0.0))), F.lit(0.0))
-        solve = lambda num: F.when(
-            fit2, F.coalesce(clip(num / F.nullif(det, F.lit(0.0))), F.lit(0.0))
-        ).otherwise(0.0)
-        da = solve(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"))
-        db = solve(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"))
-        # Outside the bounds the constrained optimum lies on the bound: such a group stops moving.
-        frozen = (F.abs("a") > 2 * SLOPE_BOUND) | (F.abs("b") > 2 * SLOPE_BOUND)
-        da, db = F.when(~frozen, da).otherwise(0.0), F.when(~frozen, db).otherwise(0.0)
-        state = settle(
-            state.join(sums, groups, "left").select(
-                *groups,
-                "_s1",
-                "_s2",
-                (F.col("a0") - F.coalesce(d0, F.lit(0.0))).alias("a0"),
-                (F.col("a") - F.coalesce(da, F.lit(0.0))).alias("a"),
-                (F.col("b") - F.coalesce(db, F.lit(0.0))).alias("b"),
-                F.greatest(F.abs(d0), F.abs(da), F.abs(db)).alias("step"),
-            )
-        )
+    for _ in range(MAX_NEWTON // STEPS_PER_ROUND):
+        for _ in range(STEPS_PER_ROUND):
+            state = _newton_step(counts, state, groups)
+        state = settle(state)
         largest = state.agg(F.max("step")).first()[0]
         if largest is None or largest < NEWTON_TOL:
             break
@@ -242,6 +209,46 @@ def recalibration(
     )
 
 
+def _newton_step(counts: DataFrame, state: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """One clipped Newton step of both fits of every group: a join and one grouped aggregate."""
+    z, m = F.col("z"), F.col("pos") + F.col("neg")
+    q0, q = expit(F.col("a0") + z), expit(F.col("a") + F.col("b") * z)
+    sums = (
+        counts.join(state.where(F.col("_s1") == "ok").drop("step"), groups)
+        .groupBy(*groups)
+        .agg(
+            F.sum(m * q0 - F.col("pos")).alias("s"),
+            F.sum(m * q0 * (1 - q0)).alias("h"),
+            F.sum(m * q - F.col("pos")).alias("g0"),
+            F.sum((m * q - F.col("pos")) * z).alias("g1"),
+            F.sum(m * q * (1 - q)).alias("h00"),
+            F.sum(m * q * (1 - q) * z).alias("h01"),
+            F.sum(m * q * (1 - q) * z * z).alias("h11"),
+        )
+    )
+    det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
+    fit2 = F.col("_s2") == "ok"
+    clip = lambda x: F.greatest(F.lit(-MAX_STEP), F.least(F.lit(MAX_STEP), x))
+    d0 = F.coalesce(clip(F.col("s") / F.nullif(F.col("h"), F.lit(0.0))), F.lit(0.0))
+    solve = lambda num: F.when(
+        fit2, F.coalesce(clip(num / F.nullif(det, F.lit(0.0))), F.lit(0.0))
+    ).otherwise(0.0)
+    da = solve(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"))
+    db = solve(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"))
+    # Outside the bounds the constrained optimum lies on the bound: such a group stops moving.
+    frozen = (F.abs("a") > 2 * SLOPE_BOUND) | (F.abs("b") > 2 * SLOPE_BOUND)
+    da, db = F.when(~frozen, da).otherwise(0.0), F.when(~frozen, db).otherwise(0.0)
+    return state.join(sums, groups, "left").select(
+        *groups,
+        "_s1",
+        "_s2",
+        (F.col("a0") - F.coalesce(d0, F.lit(0.0))).alias("a0"),
+        (F.col("a") - F.coalesce(da, F.lit(0.0))).alias("a"),
+        (F.col("b") - F.coalesce(db, F.lit(0.0))).alias("b"),
+        F.greatest(F.abs(d0), F.abs(da), F.abs(db)).alias("step"),
+    )
+
+
 def calibration_metrics(scores: DataFrame, groups: Sequence[str], score: str = "p", label: str = "y_true") -> DataFrame:
     """Discrimination, event rate, mean score, recalibration fits and their statuses per group."""
     groups = list(groups)
