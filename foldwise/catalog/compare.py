@@ -11,6 +11,7 @@ from foldwise.functions import scalars
 from foldwise.operators import compare, inference, metrics, ordered, resample, selection, stability
 from foldwise.plans.design import EN_C_GRID, EN_L1_GRID, L2_C_GRID, MAX_K
 from foldwise.sources import bindings as b
+from foldwise.session import settle
 from foldwise.sources import tuning
 
 rounded = cm.rounded
@@ -96,7 +97,8 @@ def selected(spark, folder):
 
 
 def feature_table(spark, folder):
-    ranks, chosen = ranking(spark, folder), choice(spark, folder)
+    # Settled: the top features, their coefficients and the full table all read both.
+    ranks, chosen = settle(ranking(spark, folder)), settle(choice(spark, folder))
     final = tuning.final_coefficients(spark, folder, selection.top_k(ranks, chosen, FIT))
     return selection.feature_by_fit(tuning.features(spark, folder), chosen, ranks, final, FIT)
 

@@ -429,14 +429,18 @@ FROM {prefix}_z GROUP BY {keys}""",
     for i in range(1, NEWTON_ROUNDS + 1):
         ctes[f"{prefix}_{i}"] = f"""
 SELECT {keys}, a0 - CASE WHEN s1 = 'ok' THEN s / h ELSE 0 END AS a0,
-  a - CASE WHEN s2 = 'ok' THEN greatest(-5, least(5, (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01))) ELSE 0 END AS a,
-  b - CASE WHEN s2 = 'ok' THEN greatest(-5, least(5, (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01))) ELSE 0 END AS b, s1, s2
+  a - CASE WHEN s2 = 'ok' AND abs(a) <= 50 AND abs(b) <= 50 THEN greatest(-5, least(5, (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01))) ELSE 0 END AS a,
+  b - CASE WHEN s2 = 'ok' AND abs(a) <= 50 AND abs(b) <= 50 THEN greatest(-5, least(5, (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01))) ELSE 0 END AS b, s1, s2
 FROM (SELECT {keys}, any_value(a0) AS a0, any_value(a) AS a, any_value(b) AS b, any_value(s1) AS s1, any_value(s2) AS s2,
     sum(m * q0 - pos) AS s, sum(m * q0 * (1 - q0)) AS h, sum(m * q - pos) AS g0, sum((m * q - pos) * z) AS g1,
     sum(m * q * (1 - q)) AS h00, sum(m * q * (1 - q) * z) AS h01, sum(m * q * (1 - q) * z * z) AS h11
   FROM (SELECT *, pos + neg AS m, 1 / (1 + exp(-(a0 + z))) AS q0, 1 / (1 + exp(-(a + b * z))) AS q
         FROM {prefix}_z JOIN {prefix}_{i - 1} {on})
   GROUP BY {keys})"""
+    bound = "abs(a) >= 25 - 1e-5 OR abs(b) >= 25 - 1e-5"
+    ctes[f"{prefix}_fit"] = f"""
+SELECT {keys}, a0, a, b, s1, CASE WHEN s2 = 'ok' AND ({bound}) THEN 'fit_failed:parameter_bound_reached' ELSE s2 END AS s2
+FROM {prefix}_{NEWTON_ROUNDS}"""
     return ctes
 
 
@@ -448,7 +452,7 @@ SELECT m.*, event_rate, mean_predicted_probability, CASE WHEN s1 = 'ok' THEN a0
   CASE WHEN s2 = 'ok' THEN b END AS calibration_slope, CASE WHEN s2 = 'ok' THEN a END AS recalibration_intercept_free,
   s1 AS calibration_intercept_status, s2 AS calibration_slope_status, s1 = 'ok' AND s2 = 'ok' AS calibration_fit_ok
 FROM b_unit_metrics m JOIN (SELECT {UNIT_SQL}, avg(y_true) AS event_rate, avg(p) AS mean_predicted_probability FROM b_unit GROUP BY ALL) USING ({UNIT_SQL})
-JOIN b_recal_{NEWTON_ROUNDS} USING ({UNIT_SQL})"""
+JOIN b_recal_fit USING ({UNIT_SQL})"""
 FITTED = ["calibration_intercept", "calibration_slope", "recalibration_intercept_free"]
 MEANS = ["event_rate", "mean_predicted_probability"]
 
@@ -514,9 +518,9 @@ def draw_sql(source: str, strata: str, key: str, draws: int, keep: str) -> str:
     label = f"{strata} || '|' || " if strata else ""
     return f"""
 SELECT pick.cohort, draw, {keep}
-FROM (SELECT cohort, {part}c * 4 + i + 1 AS draw, ('0x' || substr(h, 1 + 8 * i, 8))::BIGINT % n + 1 AS rn
-      FROM (SELECT *, md5('{key}|' || {label}c || '|' || rn) AS h FROM b_{key}_base CROSS JOIN (SELECT unnest(range(0, {(draws + 3) // 4})) AS c))
-      CROSS JOIN (SELECT unnest(range(0, 4)) AS i)) pick
+FROM (SELECT cohort, {part}c * 2 + i + 1 AS draw, ('0x' || substr(h, 1 + 16 * i, 15))::BIGINT % n + 1 AS rn
+      FROM (SELECT *, md5('{key}|' || {label}c || '|' || rn) AS h FROM b_{key}_base CROSS JOIN (SELECT unnest(range(0, {(draws + 1) // 2})) AS c))
+      CROSS JOIN (SELECT unnest(range(0, 2)) AS i)) pick
 JOIN b_{key}_base base ON pick.cohort = base.cohort AND pick.rn = base.rn {f"AND pick.{strata} = base.{strata}" if strata else ""}
 WHERE draw <= {draws}"""
 
@@ -590,7 +594,7 @@ CTES["b_draw_all"] = f"""
 SELECT cohort, draw, positive, negative, roc_auc, average_precision, brier, event_rate, mean_predicted_probability,
   CASE WHEN s1 = 'ok' THEN a0 END AS calibration_intercept, CASE WHEN s2 = 'ok' THEN b END AS calibration_slope
 FROM b_draw_metrics JOIN (SELECT cohort, draw, avg(y_true) AS event_rate, avg(p) AS mean_predicted_probability FROM b_ordinary GROUP BY ALL) USING (cohort, draw)
-JOIN b_draw_{NEWTON_ROUNDS} USING (cohort, draw)"""
+JOIN b_draw_fit USING (cohort, draw)"""
 CTES["b_draw_ci"] = f"""
 SELECT cohort, metric, count(*) AS bootstrap_target, CAST(sum(CASE WHEN positive > 0 AND negative > 0 THEN 1 ELSE 0 END) AS BIGINT) AS draws_with_both_classes,
   count(value) AS bootstrap_success, round(quantile_cont(value, 0.025), 6) AS ci95_lo, round(quantile_cont(value, 0.975), 6) AS ci95_hi

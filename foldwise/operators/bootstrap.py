@@ -12,12 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.functions.scalars import digest
 from foldwise.operators import drawtasks
 from foldwise.operators.calibration import recalibration
 from foldwise.operators.metrics import discrimination
 from foldwise.operators.ordered import cut, number_by_hash
 from foldwise.operators.resample import BOOTSTRAP_DRAWS, bootstrap_weights
-from foldwise.functions.scalars import digest
 from foldwise.session import settle
 
 # Interval bounds and the success count below which a warning row is written.
@@ -32,9 +32,9 @@ SUMMARY_METRICS = [
     "calibration_intercept",
     "calibration_slope",
 ]
-# Rows of a unit that one task resamples, and hash chunks (of four draws) per task.
+# Rows of a unit that one task resamples, and hash chunks (of two draws) per task.
 TASK_ROWS = 100_000
-CHUNKS_PER_TASK = 25
+CHUNKS_PER_TASK = 50
 
 
 def interval(value: str):
@@ -54,7 +54,7 @@ def _by_size(rows: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, DataFra
 def _in_tasks(rows: DataFrame, groups, strata, purpose: str, draws: int, task, columns: str) -> DataFrame:
     """Every unit's numbered rows meet every chunk of draws."""
     numbered = number_by_hash(rows, [*groups, *strata], digest(purpose, F.col("id")), "id", "_rn").drop("group_n")
-    tasks = -(-((draws + 3) // 4) // CHUNKS_PER_TASK)
+    tasks = -(-((draws + 1) // 2) // CHUNKS_PER_TASK)
     types = dict(rows.dtypes)
     schema = ", ".join([*[f"{g} {types[g]}" for g in groups], columns])
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

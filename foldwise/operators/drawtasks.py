@@ -15,8 +15,8 @@ CONSTANT_LOGIT, BOUND, MAX_STEP = 1e-12, 25.0, 5.0
 
 
 def draw_weights(numbers, labels, purpose: str, strata, chunks) -> np.ndarray:
-    """(draws, rows): how often each row is drawn. A hash of 16 bytes serves four draws."""
-    weights = np.zeros((4 * len(chunks), len(numbers)), np.int32)
+    """(draws, rows): how often each row is drawn. Each 16-byte hash serves two draws."""
+    weights = np.zeros((2 * len(chunks), len(numbers)), np.int32)
     for s in strata:
         rows = np.arange(len(numbers)) if s is None else np.flatnonzero(labels == s)
         n = len(rows)
@@ -32,9 +32,10 @@ def draw_weights(numbers, labels, purpose: str, strata, chunks) -> np.ndarray:
                 h = start.copy()
                 h.update(b"%d" % j)
                 digests.append(h.digest())
-            picks = np.frombuffer(b"".join(digests), ">u4").reshape(n, 4) % n
-            for part in range(4):
-                weights[4 * i + part] += np.bincount(by_number[picks[:, part]], minlength=len(numbers)).astype(np.int32)
+            # The first 60 bits of each half, as 15 hex digits are elsewhere.
+            picks = (np.frombuffer(b"".join(digests), ">u8").reshape(n, 2) >> 4).astype(np.int64) % n
+            for part in range(2):
+                weights[2 * i + part] += np.bincount(by_number[picks[:, part]], minlength=len(numbers)).astype(np.int32)
     return weights
 
 
@@ -115,9 +116,9 @@ def auc_task(groups, scores, purpose, per_task, draws):
         rows = rows.sort_values("id", kind="stable")
         y = rows["y_true"].to_numpy(int)
         first = int(key[-1]) * per_task
-        chunks = range(first, min(first + per_task, (draws + 3) // 4))
+        chunks = range(first, min(first + per_task, (draws + 1) // 2))
         weights = draw_weights(rows["_rn"].to_numpy(int), y, purpose, (0, 1), chunks)
-        out = {g: key[i] for i, g in enumerate(groups)} | {"draw": np.arange(len(weights)) + 4 * first + 1}
+        out = {g: key[i] for i, g in enumerate(groups)} | {"draw": np.arange(len(weights)) + 2 * first + 1}
         for name in scores:
             _, positive, negative = class_weights_by_score(rows[name].to_numpy(float), y, weights)
             out[f"auc_{name}"] = auc(positive, negative)
@@ -133,10 +134,10 @@ def summary_task(groups, score, purpose, per_task, draws):
         rows = rows.sort_values("id", kind="stable")
         y = rows["y_true"].to_numpy(int)
         first = int(key[-1]) * per_task
-        chunks = range(first, min(first + per_task, (draws + 3) // 4))
+        chunks = range(first, min(first + per_task, (draws + 1) // 2))
         weights = draw_weights(rows["_rn"].to_numpy(int), y, purpose, (None,), chunks)
         counted = class_weights_by_score(rows[score].to_numpy(float), y, weights)
-        out = {g: key[i] for i, g in enumerate(groups)} | {"draw": np.arange(len(weights)) + 4 * first + 1}
+        out = {g: key[i] for i, g in enumerate(groups)} | {"draw": np.arange(len(weights)) + 2 * first + 1}
         return pd.DataFrame(out | summary(*counted)).query("draw <= @draws")
 
     return run

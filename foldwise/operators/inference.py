@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Enumerating all sign vectors is exact but doubles per cohort; beyond this the test refuses.
+# Enumerating all sign vectors is exact but doubles per cohort; beyond this there is no p-value.
 MAX_ENUMERATED = 20
 # Fixed value: 100 machine epsilons.
 TIE_TOL = 2.220446049250313e-14
@@ -17,19 +17,21 @@ def signed_rank(deltas: DataFrame, groups: Sequence[str], value: str) -> DataFra
     """Exact two-sided signed-rank test: all sign vectors, zeros dropped, mid-ranks for ties."""
     groups = list(groups)
     v = F.col(value)
+    nonzero = deltas.where(v != 0)
+    counts = deltas.groupBy(*groups).agg(
+        F.count(v).alias("n_total"), F.count_if(v == 0).alias("n_zero"), F.count_if(v != 0).alias("n_nonzero")
+    )
+    # Only groups small enough to enumerate are windowed and listed; a larger one gets no p-value.
+    small = nonzero.join(counts.where(F.col("n_nonzero") <= MAX_ENUMERATED).select(*groups), groups, "left_semi")
     size = Window.partitionBy(*groups, "_abs")
     order = Window.partitionBy(*groups).orderBy("_abs")
-    ranked = (
-        deltas.where(v != 0)
-        .withColumn("_abs", F.abs(v))
-        .withColumn("_rank", F.rank().over(order) + (F.count(F.lit(1)).over(size) - 1) / 2.0)
+    ranked = small.withColumn("_abs", F.abs(v)).withColumn(
+        "_rank", F.rank().over(order) + (F.count(F.lit(1)).over(size) - 1) / 2.0
     )
     observed = ranked.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n_nonzero"),
         F.sum(F.when(v > 0, F.col("_rank")).otherwise(0.0)).alias("t_plus"),
         F.sum("_rank").alias("rank_sum"),
-        # At most MAX_ENUMERATED numbers per group, enforced right here.
-        F.when(F.count(F.lit(1)) <= MAX_ENUMERATED, F.collect_list("_rank")).alias("_ranks"),
+        F.collect_list("_rank").alias("_ranks"),
     )
     masks = F.expr("sequence(0L, shiftleft(1L, size(_ranks)) - 1)")
     picked = F.expr(
@@ -38,25 +40,21 @@ def signed_rank(deltas: DataFrame, groups: Sequence[str], value: str) -> DataFra
     half = F.col("rank_sum") / 2
     extreme = F.abs(picked - half) + TIE_TOL >= F.abs(F.col("t_plus") - half)
     tested = (
-        observed.where("_ranks IS NOT NULL")
-        .withColumn("_mask", F.explode(masks))
+        observed.withColumn("_mask", F.explode(masks))
         .withColumn("_hit", extreme)
         .groupBy(*groups)
         .agg(F.count_if("_hit").alias("_extreme"), F.count(F.lit(1)).alias("enumerations"))
     )
-    totals = deltas.groupBy(*groups).agg(
-        F.count(v).alias("n_total"), F.count_if(v == 0).alias("n_zero")
-    )
-    full = totals.join(observed.drop("_ranks"), groups, "left").join(tested, groups, "left")
-    none = F.col("n_nonzero").isNull()
+    full = counts.join(observed.drop("_ranks"), groups, "left").join(tested, groups, "left")
+    none = F.col("n_nonzero") == 0
     return full.select(
         *groups,
         F.when(none, 1.0).otherwise(F.col("_extreme") / F.col("enumerations")).alias("p_value"),
         "n_total",
-        F.coalesce("n_nonzero", F.lit(0)).alias("n_nonzero"),
+        "n_nonzero",
         "n_zero",
-        F.coalesce("t_plus", F.lit(0.0)).alias("t_plus"),
-        F.coalesce("rank_sum", F.lit(0.0)).alias("rank_sum"),
+        F.when(none, 0.0).otherwise(F.col("t_plus")).alias("t_plus"),
+        F.when(none, 0.0).otherwise(F.col("rank_sum")).alias("rank_sum"),
         F.when(none, 1).otherwise(F.col("enumerations")).alias("enumerations"),
     )
 

@@ -76,7 +76,7 @@ def discrimination(
         n.alias("n"),
         "positive",
         "negative",
-        ratio("_wins", F.col("positive") * F.col("negative")).alias("roc_auc"),
+        ratio("_wins", F.col("positive").cast("double") * F.col("negative")).alias("roc_auc"),
         F.when(both, ratio("_precision", "positive")).alias("average_precision"),
         (F.col("_loss") / n).alias("brier"),
     )

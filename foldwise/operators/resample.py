@@ -108,20 +108,22 @@ def holdout_splits(
 ) -> DataFrame:
     """Repeated stratified holdout: ceil(share * n) test rows, largest remainder per class."""
     groups = list(groups)
-    n, pos, neg = F.col("n"), F.col("positive"), F.col("negative")
-    # The share is a decimal fraction: tenths keep the quota arithmetic in exact integers.
-    tenths = F.lit(round(test_share * 10))
+    # The share is a decimal fraction: tenths keep the quota arithmetic in exact integers, and
+    # decimals keep the products exact for any class size.
+    tenths = round(test_share * 10)
+    n, test = F.col("n"), F.col("_test").cast("decimal(19,0)")
+    whole = lambda c: F.floor((test * F.col(c) - F.col(f"_r_{c}")) / n).cast("long")
     quota = (
         class_counts(samples, groups)
-        .withColumn("_test", F.ceil(n * tenths / 10).cast("long"))
-        .withColumn("_q1", F.floor(F.col("_test") * pos / n))
-        .withColumn("_q0", F.floor(F.col("_test") * neg / n))
-        .withColumn("_left", F.col("_test") - F.col("_q1") - F.col("_q0"))
-        .withColumn("_r1", (F.col("_test") * pos) % n)
-        .withColumn("_r0", (F.col("_test") * neg) % n)
-        .withColumn("quota1", F.col("_q1") + F.when((F.col("_left") > 0) & (F.col("_r1") > F.col("_r0")), 1).otherwise(0))
-        .withColumn("quota0", F.col("_test") - F.col("quota1"))
-        .select(*groups, "quota0", "quota1")
+        .withColumn("_test", F.floor((n * tenths + 9) / 10).cast("long"))
+        .withColumns({f"_r_{c}": ((test * F.col(c)) % n).cast("long") for c in ("positive", "negative")})
+        .withColumn("quota1", whole("positive"))
+        .withColumn("_left", F.col("_test") - F.col("quota1") - whole("negative"))
+        .withColumn(
+            "quota1",
+            F.col("quota1") + ((F.col("_left") > 0) & (F.col("_r_positive") > F.col("_r_negative"))).cast("int"),
+        )
+        .select(*groups, (F.col("_test") - F.col("quota1")).alias("quota0"), "quota1")
     )
     many = samples.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(splits))))
     key = digest(purpose, F.col("split"), F.col("id"))
@@ -174,8 +176,9 @@ def bootstrap_weights(
     """n-of-n resamples inside ``groups + strata`` as draw weights: (group, draw, row, weight).
 
     Row number j of a stratum contributes draw position j of every resample; the drawn row is
-    ``hash(draw, j) mod n``. Each md5 serves four draws (8 hex digits each). Weights are summed
-    before the shuffle that brings them back to the drawn row; nothing is collected.
+    ``hash(draw, j) mod n``. Each md5 serves two draws (60 bits each, so the modulo is unbiased for
+    any realistic n). Weights are summed before the shuffle that brings them back to the drawn row;
+    nothing is collected.
     """
     cell = [*groups, *strata]
     # An explicit partition count: the few input bytes must not be coalesced into one task before
@@ -186,7 +189,7 @@ def bootstrap_weights(
         .withColumnRenamed("group_n", "_n")
         .repartition(width, *cell, "_rn")
     )
-    chunk = F.explode(F.sequence(F.lit(0), F.lit((draws + 3) // 4 - 1))).alias("_chunk")
+    chunk = F.explode(F.sequence(F.lit(0), F.lit((draws + 1) // 2 - 1))).alias("_chunk")
     hashed = numbered.select(*cell, "_rn", "_n", chunk).withColumn(
         "_hex", digest(purpose, *[F.col(s) for s in strata], F.col("_chunk"), F.col("_rn"))
     )
@@ -194,10 +197,10 @@ def bootstrap_weights(
         *cell,
         "_n",
         "_chunk",
-        F.posexplode(F.array(*[F.substring("_hex", 1 + 8 * i, 8) for i in range(4)])).alias("_i", "_part"),
+        F.posexplode(F.array(*[F.substring("_hex", 1 + 16 * i, 15) for i in range(2)])).alias("_i", "_part"),
     ).select(
         *cell,
-        (F.col("_chunk") * 4 + F.col("_i") + 1).alias("draw"),
+        (F.col("_chunk") * 2 + F.col("_i") + 1).alias("draw"),
         (F.conv("_part", 16, 10).cast("long") % F.col("_n") + 1).alias("_rn"),
     )
     weights = picks.where(F.col("draw") <= draws).groupBy(*cell, "draw", "_rn").agg(F.count(F.lit(1)).alias("weight"))
