@@ -418,7 +418,7 @@ def newton_ctes(prefix: str, source: str, keys: str, weight: str = "1") -> dict[
     ctes = {
         f"{prefix}_z": f"SELECT {keys}, ln(p / (1 - p)) AS z, CAST(sum({weight} * y_true) AS DOUBLE) AS pos, CAST(sum({weight} * (1 - y_true)) AS DOUBLE) AS neg FROM {source} GROUP BY {keys}, z",
         f"{prefix}_0": f"""
-SELECT {keys}, 0.0e0 AS a0, 0.0e0 AS a, 1.0e0 AS b,
+SELECT {keys}, 0.0e0 AS a0, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN ln(sum(pos) / sum(neg)) ELSE 0 END AS a, 0.0e0 AS b,
   CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN 'ok' ELSE 'both_classes_required' END AS s1,
   CASE WHEN NOT (sum(pos) > 0 AND sum(neg) > 0) THEN 'both_classes_required'
        WHEN max(z) - min(z) <= 1e-12 THEN 'nonidentifiable_constant_logit'
@@ -429,8 +429,8 @@ FROM {prefix}_z GROUP BY {keys}""",
     for i in range(1, NEWTON_ROUNDS + 1):
         ctes[f"{prefix}_{i}"] = f"""
 SELECT {keys}, a0 - CASE WHEN s1 = 'ok' THEN s / h ELSE 0 END AS a0,
-  a - CASE WHEN s2 = 'ok' AND abs(a) <= 50 AND abs(b) <= 50 THEN greatest(-5, least(5, (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01))) ELSE 0 END AS a,
-  b - CASE WHEN s2 = 'ok' AND abs(a) <= 50 AND abs(b) <= 50 THEN greatest(-5, least(5, (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01))) ELSE 0 END AS b, s1, s2
+  a - CASE WHEN s2 = 'ok' AND abs(a) <= 50 AND abs(b) <= 50 THEN (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) ELSE 0 END AS a,
+  b - CASE WHEN s2 = 'ok' AND abs(a) <= 50 AND abs(b) <= 50 THEN (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) ELSE 0 END AS b, s1, s2
 FROM (SELECT {keys}, any_value(a0) AS a0, any_value(a) AS a, any_value(b) AS b, any_value(s1) AS s1, any_value(s2) AS s2,
     sum(m * q0 - pos) AS s, sum(m * q0 * (1 - q0)) AS h, sum(m * q - pos) AS g0, sum((m * q - pos) * z) AS g1,
     sum(m * q * (1 - q)) AS h00, sum(m * q * (1 - q) * z) AS h01, sum(m * q * (1 - q) * z * z) AS h11

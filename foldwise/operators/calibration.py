@@ -16,7 +16,8 @@ from foldwise.session import settle
 CALIBRATION_BINS = 10
 INTERCEPT_BOUND, SLOPE_BOUND, BOUND_TOL = 50.0, 25.0, 1e-5
 CONSTANT_LOGIT = 1e-12
-MAX_NEWTON, NEWTON_TOL, MAX_STEP = 60, 1e-10, 5.0
+MAX_NEWTON, NEWTON_TOL, LOSS_TOL = 100, 1e-9, 1e-12
+STATE = ["_s1", "_s2", "a0", "a", "b", "a0_ok", "a_ok", "b_ok", "f0", "f"]
 # Newton steps chained in one job before the parameters are settled and tested.
 STEPS_PER_ROUND = 4
 VARIANTS = ["raw", "prior_adjusted"]
@@ -175,10 +176,12 @@ def recalibration(
             .when(separated, "nonidentifiable_complete_or_quasi_separation")
             .otherwise("ok")
             .alias("_s2"),
+            # Starts: no shift, and the constant score at the event rate.
             F.lit(0.0).alias("a0"),
-            F.lit(0.0).alias("a"),
-            F.lit(1.0).alias("b"),
-            F.lit(float("inf")).alias("step"),
+            F.when(both, F.log(F.col("P") / F.col("N"))).otherwise(0.0).alias("a"),
+            F.lit(0.0).alias("b"),
+            *[F.lit(0.0).alias(f"{x}_ok") for x in ("a0", "a", "b")],
+            *[F.lit(float("inf")).alias(x) for x in ("f0", "f", "step")],
         )
     )
     for _ in range(MAX_NEWTON // STEPS_PER_ROUND):
@@ -210,15 +213,25 @@ def recalibration(
 
 
 def _newton_step(counts: DataFrame, state: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """One clipped Newton step of both fits of every group: a join and one grouped aggregate."""
+    """Judge the current candidates of both fits of every group and propose the next ones.
+
+    A join and one grouped aggregate. A candidate that raised the loss is moved halfway back to the
+    last accepted point; an accepted one is followed by a full Newton step.
+    """
     z, m = F.col("z"), F.col("pos") + F.col("neg")
-    q0, q = expit(F.col("a0") + z), expit(F.col("a") + F.col("b") * z)
+    eta0, eta = F.col("a0") + z, F.col("a") + F.col("b") * z
+    q0, q = expit(eta0), expit(eta)
+    loss = lambda x: m * (F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))) - F.col("pos") * x
     sums = (
-        counts.join(state.where(F.col("_s1") == "ok").drop("step"), groups)
+        counts.join(state, groups)
         .groupBy(*groups)
         .agg(
+            # The state rides through the aggregate, so chained steps read it once each.
+            *[F.first(c).alias(c) for c in STATE],
+            F.sum(loss(eta0)).alias("f0_now"),
             F.sum(m * q0 - F.col("pos")).alias("s"),
             F.sum(m * q0 * (1 - q0)).alias("h"),
+            F.sum(loss(eta)).alias("f_now"),
             F.sum(m * q - F.col("pos")).alias("g0"),
             F.sum((m * q - F.col("pos")) * z).alias("g1"),
             F.sum(m * q * (1 - q)).alias("h00"),
@@ -226,26 +239,40 @@ def _newton_step(counts: DataFrame, state: DataFrame, groups: Sequence[str]) ->
             F.sum(m * q * (1 - q) * z * z).alias("h11"),
         )
     )
-    det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-    fit2 = F.col("_s2") == "ok"
-    clip = lambda x: F.greatest(F.lit(-MAX_STEP), F.least(F.lit(MAX_STEP), x))
-    d0 = F.coalesce(clip(F.col("s") / F.nullif(F.col("h"), F.lit(0.0))), F.lit(0.0))
-    solve = lambda num: F.when(
-        fit2, F.coalesce(clip(num / F.nullif(det, F.lit(0.0))), F.lit(0.0))
-    ).otherwise(0.0)
-    da = solve(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"))
-    db = solve(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"))
-    # Outside the bounds the constrained optimum lies on the bound: such a group stops moving.
-    frozen = (F.abs("a") > 2 * SLOPE_BOUND) | (F.abs("b") > 2 * SLOPE_BOUND)
-    da, db = F.when(~frozen, da).otherwise(0.0), F.when(~frozen, db).otherwise(0.0)
-    return state.join(sums, groups, "left").select(
+    worse = lambda now, before: F.col(now) > F.col(before) + LOSS_TOL * (1 + F.abs(now))
+    back0, back = worse("f0_now", "f0"), worse("f_now", "f")
+    det = F.nullif(F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01"), F.lit(0.0))
+    half = lambda x: (F.col(x) + F.col(f"{x}_ok")) / 2
+    far = (F.abs("a") > 2 * SLOPE_BOUND) | (F.abs("b") > 2 * SLOPE_BOUND)
+    # A group that cannot move: no solution is wanted, or the optimum lies beyond the bounds.
+    still = (F.col("_s2") != "ok") | (far & ~back)
+    step0 = F.col("s") / F.nullif(F.col("h"), F.lit(0.0))
+    step_a = (F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1")) / det
+    step_b = (F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0")) / det
+    none = F.lit(0.0)
+    next0 = F.when(back0, half("a0")).otherwise(F.col("a0") - F.coalesce(step0, none))
+    next_a = F.when(still, F.col("a")).when(back, half("a")).otherwise(F.col("a") - F.coalesce(step_a, none))
+    next_b = F.when(still, F.col("b")).when(back, half("b")).otherwise(F.col("b") - F.coalesce(step_b, none))
+    moved = sums.withColumns({"n0": next0, "na": next_a, "nb": next_b})
+    kept = lambda x, is_back: F.when(is_back, F.col(f"{x}_ok")).otherwise(F.col(x))
+    active = F.col("_s1") == "ok"
+    return moved.select(
         *groups,
         "_s1",
         "_s2",
-        (F.col("a0") - F.coalesce(d0, F.lit(0.0))).alias("a0"),
-        (F.col("a") - F.coalesce(da, F.lit(0.0))).alias("a"),
-        (F.col("b") - F.coalesce(db, F.lit(0.0))).alias("b"),
-        F.greatest(F.abs(d0), F.abs(da), F.abs(db)).alias("step"),
+        F.when(active, F.col("n0")).otherwise(F.col("a0")).alias("a0"),
+        F.when(active, F.col("na")).otherwise(F.col("a")).alias("a"),
+        F.when(active, F.col("nb")).otherwise(F.col("b")).alias("b"),
+        kept("a0", back0).alias("a0_ok"),
+        kept("a", back).alias("a_ok"),
+        kept("b", back).alias("b_ok"),
+        F.when(back0, F.col("f0")).otherwise(F.col("f0_now")).alias("f0"),
+        F.when(back, F.col("f")).otherwise(F.col("f_now")).alias("f"),
+        F.when(
+            active, F.greatest(F.abs(F.col("n0") - F.col("a0")), F.abs(F.col("na") - F.col("a")), F.abs(F.col("nb") - F.col("b")))
+        )
+        .otherwise(0.0)
+        .alias("step"),
     )
 
 

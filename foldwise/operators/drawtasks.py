@@ -11,7 +11,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 
-CONSTANT_LOGIT, BOUND, MAX_STEP = 1e-12, 25.0, 5.0
+CONSTANT_LOGIT, BOUND = 1e-12, 25.0
 
 
 def draw_weights(numbers, labels, purpose: str, strata, chunks) -> np.ndarray:
@@ -86,27 +86,43 @@ def recalibrate(z, positive, negative):
     high = lambda c: np.where(c > 0, z, -np.inf).max(1)
     separated = (high(negative) <= low(positive)) | (high(positive) <= low(negative))
     free = both & (high(m) - low(m) > CONSTANT_LOGIT) & ~separated
-    a0, a, b = np.zeros(draws), np.zeros(draws), np.ones(draws)
-    for _ in range(60):
-        q0, q = _expit(a0[:, None] + z), _expit(a[:, None] + b[:, None] * z)
-        h = (m * q0 * (1 - q0)).sum(1)
-        d0 = np.where(both, (m * q0 - positive).sum(1) / np.where(h > 0, h, 1), 0.0)
-        r, v = m * q - positive, m * q * (1 - q)
-        g0, g1, h00, h01, h11 = r.sum(1), r @ z, v.sum(1), v @ z, v @ (z * z)
-        det = h00 * h11 - h01 * h01
-        det = np.where(det != 0, det, np.inf)
-        open_ = free & (np.abs(a) <= 2 * BOUND) & (np.abs(b) <= 2 * BOUND)
-        da = np.where(open_, np.clip((h11 * g0 - h01 * g1) / det, -MAX_STEP, MAX_STEP), 0.0)
-        db = np.where(open_, np.clip((h00 * g1 - h01 * g0) / det, -MAX_STEP, MAX_STEP), 0.0)
-        a0, a, b = a0 - np.clip(d0, -MAX_STEP, MAX_STEP), a - da, b - db
-        if max(np.abs(d0).max(), np.abs(da).max(), np.abs(db).max()) < 1e-10:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        start = np.where(both, np.log(positive.sum(1) / negative.sum(1)), 0.0)
+    ones = np.ones(len(z))
+    shift, _ = _newton(ones[None], z, positive, m, np.zeros((draws, 1)), both)
+    line, steady = _newton(np.stack([ones, z]), 0.0, positive, m, np.column_stack([start, np.zeros(draws)]), free)
+    inside = free & steady & (np.abs(line) < BOUND - 1e-5).all(1)
+    return np.where(both, shift[:, 0], np.nan), np.where(inside, line[:, 1], np.nan)
+
+
+def _newton(design, offset, positive, m, beta, wanted):
+    """Logistic fits of every draw (rows of ``beta``) with step halving: (beta, converged)."""
+    accepted, loss, moving = beta.copy(), np.full(len(beta), np.inf), wanted.copy()
+    for _ in range(200):
+        t = np.flatnonzero(moving)
+        if not len(t):
             break
-    inside = free & (np.abs(a) < BOUND - 1e-5) & (np.abs(b) < BOUND - 1e-5)
-    return np.where(both, a0, np.nan), np.where(inside, b, np.nan)
+        eta, counts, hits = beta[t] @ design + offset, m[t], positive[t]
+        q = _expit(eta)
+        now = (counts * np.logaddexp(0.0, eta) - hits * eta).sum(1)
+        worse = now > loss[t] + 1e-12 * (1 + np.abs(now))
+        gradient = (counts * q - hits) @ design.T
+        curve = counts * q * (1 - q)
+        hessian = np.stack([np.stack([curve @ (a * b) for b in design], -1) for a in design], -2)
+        flat = np.abs(np.linalg.det(hessian)) < 1e-280
+        hessian[flat] = np.eye(len(design))
+        step = np.where(flat[:, None], 0.0, np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0])
+        target = np.where(worse[:, None], (beta[t] + accepted[t]) / 2, beta[t] - step)
+        accepted[t] = np.where(worse[:, None], accepted[t], beta[t])
+        loss[t] = np.where(worse, loss[t], now)
+        change = np.abs(target - beta[t]).max(1)
+        beta[t] = target
+        moving[t] = (change >= 1e-9) & ((np.abs(accepted[t]) <= 2 * BOUND).all(1) | worse)
+    return beta, ~moving
 
 
 def _expit(x):
-    return 1.0 / (1.0 + np.exp(-x))
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -700, 700)))
 
 
 def auc_task(groups, scores, purpose, per_task, draws):

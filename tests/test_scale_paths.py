@@ -92,7 +92,20 @@ def test_bootstrap_paths_agree(scores, monkeypatch):
     same(in_task, mixed, ["u", "draw"])
     relational = bootstrap.metric_draws(df, ["u"], "p", 11).toPandas()
     a, b = (x.sort_values(["u", "draw"]).set_index(["u", "draw"])[sorted(bootstrap.SUMMARY_METRICS)] for x in (summary, relational))
-    assert np.allclose(a.astype(float), b.astype(float), atol=1e-7, equal_nan=True)
+    assert np.allclose(a.astype(float), b.astype(float), atol=1e-6, equal_nan=True)
+    assert (a.calibration_slope.astype(float).between(-1, 1)).all()
+
+
+def test_recalibration_optimum(scores):
+    """Badly scaled scores: the fits still reach the stationary point."""
+    frame, df = scores
+    got = calibration.recalibration(df, ["u"]).toPandas().set_index("u")
+    for u, part in frame.groupby("u"):
+        z, y, r = np.log(part.p / (1 - part.p)), part.y_true, got.loc[u]
+        assert r.calibration_slope_status == "ok"
+        shift = 1 / (1 + np.exp(-(r.calibration_intercept + z))) - y
+        line = 1 / (1 + np.exp(-(r.recalibration_intercept_free + r.calibration_slope * z))) - y
+        assert abs(shift.sum()) < 1e-6 and abs(line.sum()) < 1e-6 and abs((line * z).sum()) < 1e-5
 
 
 def test_knn_blocks(spark, monkeypatch):
