@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +26,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context: their Python workers import it."""
+    context = spark.sparkContext
+    if getattr(context, "_foldwise_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    if home.parent.is_dir():
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{home.name}", "zip", home.parent, home.name))
+    context._foldwise_shipped = True
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for settled tables.
 
     It is the one the cluster names in ``spark.checkpoint.dir``; only a local session without that
     setting gets a temporary folder of its own.
     """
+    ship_package(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
