@@ -28,10 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.llm.blocks import (
-    BLOCK_BYTES,
     TEXTS,
     Rows,
-    by_block,
     drop_table,
     read_blocks,
     record,
@@ -57,6 +55,7 @@ from foldwise.session import settle
 
 
 WINDOW = 13
+BLOCK_BYTES = 16 << 20
 ROUNDS = 3
 FAR = 1 << 40
 
@@ -132,7 +131,7 @@ def window_names(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.nda
 
 SYMBOLS = pa.schema([("block", pa.int64())] + [(c.split()[0], pa.binary()) for c in TEXTS.split(", ")] + [("symbols", pa.binary()), ("several", pa.binary()), ("n_symbols", pa.int64()), ("n_words", pa.int64()), ("run_start", pa.binary()), ("run_symbol", pa.binary())])
 SENT = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("names", pa.binary()), ("more", pa.binary()), ("low", pa.binary())])
-ANSWER = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("bits", pa.binary())])
+ANSWER = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("bits", pa.binary()), ("n", pa.int64())])
 OPEN = pa.schema([("block", pa.int64())] + [(c.split()[0], pa.binary()) for c in TEXTS.split(", ")] + [("names", pa.binary()), ("more", pa.binary()), ("low", pa.binary()), ("n_names", pa.int64()), ("candidates", pa.binary())])
 
 
@@ -206,7 +205,7 @@ def _gather(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
 
 def _answers(rows: list, edge: np.ndarray, flag: np.ndarray) -> pa.Table:
     return pa.Table.from_pylist(
-        [{"shard": r["shard"], "block": r["block"], "bits": np.packbits(flag[x:y]).tobytes()} for r, x, y in zip(rows, edge[:-1], edge[1:])], schema=ANSWER
+        [{"shard": r["shard"], "block": r["block"], "bits": np.packbits(flag[x:y]).tobytes(), "n": int(y - x)} for r, x, y in zip(rows, edge[:-1], edge[1:])], schema=ANSWER
     )
 
 
@@ -232,13 +231,11 @@ def _smaller_elsewhere(table: pa.Table) -> pa.Table:
     return _answers(rows, edge, least[group] < low)
 
 
-def _flags(names: np.ndarray, bits: int, shards: int, answers: dict[int, bytes]) -> np.ndarray:
-    edge = np.searchsorted(_shard_of(names, bits, shards), np.arange(shards + 1)).tolist()
-    out = np.zeros(len(names), bool)
-    for s, data in answers.items():
-        x, y = edge[s], edge[s + 1]
-        out[x:y] = np.unpackbits(np.frombuffer(data, np.uint8), count=y - x).astype(bool)
-    return out
+def _flags(answers: pa.Table) -> np.ndarray:
+    """One flag for each of the block's sorted names: shards are ranges of names."""
+    rows = sorted(answers.to_pylist(), key=lambda r: r["shard"])
+    parts = [np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]) for r in rows]
+    return np.concatenate(parts or [np.zeros(0, np.uint8)]).astype(bool)
 
 
 def _distinct(rows: Rows, window: int, candidate: np.ndarray):
@@ -264,12 +261,12 @@ def _distinct(rows: Rows, window: int, candidate: np.ndarray):
     return place, own, which, name[order][head], check[order][head], np.minimum.reduceat(own[order], head)
 
 
-def _mark(window: int, shards: int):
+def _mark(window: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
             rows = Rows.of(row)
-            flag = _flags(unpack_sorted(row["symbols"]), 48, shards, by_block(right, "bits"))
+            flag = _flags(right)
             start = np.cumsum(unpack(row["run_start"]).astype(np.int64))
             shared = flag[unpack(row["run_symbol"])]
             candidate = np.repeat(shared, np.diff(np.append(start, row["n_words"])))
@@ -283,14 +280,14 @@ def _mark(window: int, shards: int):
 KEPT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("text", pa.string()), ("rest", pa.string())])
 
 
-def _remove(window: int, shards: int, with_text: bool):
+def _remove(window: int, with_text: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
             rows = Rows.of(row)
             candidate = np.unpackbits(unpack(row["candidates"])).astype(bool)
-            place, own, which, names, _, low = _distinct(rows, window, candidate)
-            elsewhere = _flags(names, 64, shards, by_block(right, "bits"))
+            place, own, which, _, _, low = _distinct(rows, window, candidate)
+            elsewhere = _flags(right)
             gone = place[elsewhere[which] | (low[which] < own)]
             base = 0
             for x, words in _word_chunks(rows):
@@ -330,11 +327,11 @@ def remove_repeats(
     shards = shard_count(blocks.agg(F.sum("n_symbols")).first()[0])
     sent = blocks.select("block", F.col("symbols").alias("names"), F.col("several").alias("more"))
     shared = sent.mapInArrow(_send(48, shards, ("more",)), ddl(SENT)).groupBy("shard").applyInArrow(_shared_symbols, ddl(ANSWER))
-    marked = blocks.drop("several", "n_symbols").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_mark(window, shards), ddl(OPEN))
+    marked = blocks.drop("symbols", "several", "n_symbols").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_mark(window), ddl(OPEN))
     blocks = settle(marked)
     drop_table(spark, first)
     shards = shard_count(blocks.agg(F.sum("n_names")).first()[0])
     sent = blocks.select("block", "names", "more", "low").mapInArrow(_send(64, shards, ("more", "low")), ddl(SENT))
     smaller = sent.groupBy("shard").applyInArrow(_smaller_elsewhere, ddl(ANSWER))
     texts = blocks.select("block", *[c.split()[0] for c in TEXTS.split(", ")], "candidates")
-    return texts.groupBy("block").cogroup(smaller.groupBy("block")).applyInArrow(_remove(window, shards, with_text), ddl(KEPT))
+    return texts.groupBy("block").cogroup(smaller.groupBy("block")).applyInArrow(_remove(window, with_text), ddl(KEPT))

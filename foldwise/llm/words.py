@@ -150,7 +150,7 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(values, dtype=values.dtype)
 
 
-def squeeze(data: bytes, level: int = 6) -> bytes:
+def squeeze(data: bytes, level: int = 9) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(data)
 
 
