@@ -35,7 +35,7 @@ MU = 4.0
 BASES = (1.2, 2.0)
 BITS_PER_ENTRY = 10
 HASHES = 7
-PART_BYTES = 64 << 20
+PART_BYTES = 48 << 20
 #: Name of the sign that stands before and behind every text.
 EDGE = U64(0x0E0D0C0B0A090807)
 
@@ -44,7 +44,7 @@ ASKED = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("words", pa.bi
 COUNTED = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("counts", pa.binary()), ("n_distinct", pa.int64())])
 GRAMS = pa.schema([("shard", pa.int64()), ("order", pa.int64()), ("names", pa.binary()), ("counts", pa.binary())])
 SEGMENT = pa.schema([("shard", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())])
-PROBED = pa.schema([f for f in BLOCKS if f.name not in ("counts", "n_words", "n_tokens", "n_trained")] + [("levels1", pa.binary()), ("levels2", pa.binary())])
+LEVELS = pa.schema([("block", pa.int64()), ("levels1", pa.binary()), ("levels2", pa.binary())])
 SCORED = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 SCORES = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -210,7 +210,7 @@ def _distinct_grams(row: dict):
     return one, two, which, token, before, text
 
 
-def _probe(segments, shards: int, first: bool):
+def _probe(segments, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -218,25 +218,24 @@ def _probe(segments, shards: int, first: bool):
                 by_name = np.argsort(one)
                 q1 = np.zeros(len(one), np.uint8)
                 q1[by_name] = probe(one[by_name], segments.value, shards)
-                q2 = probe(two, segments.value, shards)
-                if not first:
-                    q1, q2 = q1 + unpack(row["levels1"]), q2 + unpack(row["levels2"])
-                yield record(PROBED, [{f.name: row[f.name] for f in PROBED if f.name in row} | {"levels1": pack(q1), "levels2": pack(q2)}])
+                yield record(LEVELS, [{"block": row["block"], "levels1": pack(q1), "levels2": pack(probe(two, segments.value, shards))}])
 
     return run
 
 
 def _score(n: int, v: int, edges: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        answers = sorted(zip(right["shard"].to_pylist(), right["counts"].to_pylist()))
+        rows = right.to_pylist()
+        answers = sorted((r["shard"], r["counts"]) for r in rows if r["counts"] is not None)
+        q1, q2 = (sum(unpack(r[k]) for r in rows if r[k] is not None).astype(np.int64) for k in ("levels1", "levels2"))
         tables = []
         for row in left.to_pylist():
             exact = np.concatenate([unpack(c) for _, c in answers] + [np.array([edges], np.uint64)]).astype(np.float64)
             below = n + ALPHA * (v + 1)
             _, _, which, token, before, text = _distinct_grams(row)
             base = np.log10((exact + ALPHA) / below)[token]
-            word = count_of(unpack(row["levels1"]).astype(np.int64), BASES[0])
-            pair = np.minimum(count_of(unpack(row["levels2"]).astype(np.int64), BASES[1])[which], word[before])
+            word = count_of(q1, BASES[0])
+            pair = np.minimum(count_of(q2, BASES[1])[which], word[before])
             smooth = np.log10((pair + MU * (word[token] + ALPHA) / below) / (word[before] + MU))
             m = len(unpack(row["sizes"]))
             ids, known = unpack(row["ids"]).tolist(), unpack(row["known"]).tolist()
@@ -285,11 +284,16 @@ def score_texts(
             room = part_bytes
         parts[-1].append(shard)
         room -= n_bytes
-    probed = blocks
-    for j, part in enumerate(parts):
+    texts = blocks.select("block", "ids", "known", "trained", "sizes", "words", "order", "seq")
+    nothing = F.lit(None).cast("binary")
+    answers = counted.select("block", "shard", "counts", nothing.alias("levels1"), nothing.alias("levels2"))
+    for part in parts:
         rows = segments.filter(F.col("shard").between(part[0], part[-1])).collect() if part else []
         shared = spark.sparkContext.broadcast({r["shard"]: (r["size"], bytes(r["bits"])) for r in rows})
-        probed = probed.mapInArrow(_probe(shared, shards, j == 0), ddl(PROBED))
+        # Settled one by one: a task holds one part of the filter at a time.
+        levels = settle(texts.mapInArrow(_probe(shared, shards), ddl(LEVELS)))
+        answers = answers.union(levels.select("block", F.lit(None).cast("bigint"), nothing, "levels1", "levels2"))
+        shared.unpersist()
     total = tokens + trained
-    scored = probed.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_score(total, distinct, trained), SCORED)
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(total, distinct, trained), SCORED)
     return scored.withColumn("train_tokens", F.lit(total).cast("bigint"))
