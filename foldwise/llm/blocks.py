@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from foldwise.llm.words import pack, session_limits, squeeze, unpack, unsqueeze
 from foldwise.session import checkpoint_folder
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 TEXTS = "ids binary, known binary, sizes binary, texts binary, rest binary"
 
 
@@ -92,11 +92,6 @@ def shard_count(total: int, each: int = 2_000_000) -> int:
     return max(64, -(-int(total or 0) // each))
 
 
-def by_block(table: pa.Table, column: str) -> dict[int, bytes]:
-    """shard -> answer, of the answers to one block."""
-    return dict(zip(table["shard"].to_pylist(), table[column].to_pylist()))
-
-
 def write_table(df: DataFrame, name: str) -> str:
     """Write an intermediate table below the shared folder; the caller drops it when it is used up."""
     path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.blocks import BLOCK_BYTES, by_block, read_blocks, record, shard_count, source
+from foldwise.llm.blocks import BLOCK_BYTES, read_blocks, record, shard_count, source
 from foldwise.llm.words import SPACED, SPREAD, U64, Words, _powers, mix, pack, split_words, squeeze, unpack, unsqueeze
 from foldwise.session import settle
 
@@ -79,7 +79,7 @@ def _word_spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _names(point: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    power, inverse = _powers(1 << max(21, len(point).bit_length()))
+    power, inverse = _powers(1 << max(20, len(point).bit_length()))
     total = np.zeros(len(point) + 1, U64)
     np.cumsum((point.astype(U64) + U64(1)) * power[: len(point)], out=total[1:])
     return mix(((total[end] - total[start]) * inverse[start]) ^ ((end - start).astype(U64) * SPREAD))
@@ -134,7 +134,7 @@ def split_block(texts: list, definition: str) -> tuple[list[str], np.ndarray, np
         if (text.isascii() or max(text + clean) < chr(TABLED)) and not any(s in text for s in special):
             plain.append(clean), plain_at.append(i)
             size += len(clean)
-            if size > 1 << 20:
+            if size > 1 << 19:
                 flush()
         else:
             found = _odd_words(text, definition)
@@ -151,7 +151,7 @@ def ranked(which: np.ndarray, n: int) -> tuple[bytes, bytes]:
     by_count = np.argsort(-np.bincount(which, minlength=n), kind="stable")
     rank = np.empty(n, np.uint32)
     rank[by_count] = np.arange(n, dtype=np.uint32)
-    return pack(rank[which]), pack(by_count.astype(np.uint32))
+    return pack(rank[which], 9), pack(by_count.astype(np.uint32))
 
 
 SPLIT = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("order", pa.binary()), ("seq", pa.binary()), ("n_words", pa.int64())])
@@ -239,13 +239,14 @@ def _place(definition):
         tables = []
         for row in left.to_pylist():
             count = np.concatenate([unpack(c) for _, c, _ in answers] or [np.zeros(0, np.uint32)]).astype(np.int64)
-            code = np.concatenate([unpack(c) for _, _, c in answers] or [np.zeros(0, np.uint32)]).tolist()
-            stop = np.cumsum(count).tolist()
             ids, texts = [], []
-            for n, e in zip(count.tolist(), stop):
-                own = code[e - n : e]
-                ids.append(" ".join(map(str, own)))
-                texts.append(" ".join([pieces[i] for i in own]))  # the id-to-piece join
+            for _, counts, codes in answers:
+                code, at = unpack(codes).tolist(), 0
+                for n in unpack(counts).tolist():
+                    own = code[at : at + n]
+                    at += n
+                    ids.append(" ".join(map(str, own)))
+                    texts.append(" ".join([pieces[i] for i in own]))  # the id-to-piece join
             order = unpack(row["order"])
             seq = order[unpack(row["seq"])] if len(order) else np.zeros(0, np.int64)
             keys, known, edge = unpack(row["ids"]).tolist(), unpack(row["known"]).tolist(), np.cumsum(unpack(row["sizes"]))
@@ -260,6 +261,7 @@ def _place(definition):
                     tables.append(pa.Table.from_pylist(out, schema=ENCODED))
                     out, size = [], 0
             tables.append(pa.Table.from_pylist(out, schema=ENCODED))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(tables)
 
     return run

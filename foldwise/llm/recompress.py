@@ -55,7 +55,7 @@ from foldwise.session import settle
 
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 ROUNDS = 3
 FAR = 1 << 40
 
@@ -102,7 +102,7 @@ def representatives(words: Words, window: int = WINDOW, rounds: int = ROUNDS) ->
     best = np.zeros(n, U64)
     if not n:
         return best
-    power, inverse = _powers(1 << max(21, n.bit_length()))
+    power, inverse = _powers(1 << max(20, n.bit_length()))
     total = np.zeros(n + 1, U64)
     np.cumsum(words.names * power[:n], out=total[1:])
     for name, first, last, low, high in symbol_rounds(words, rounds):
@@ -272,6 +272,7 @@ def _mark(window: int):
             candidate = np.repeat(shared, np.diff(np.append(start, row["n_words"])))
             _, _, _, names, more, low = _distinct(rows, window, candidate)
             out.append({"block": row["block"], **{c.split()[0]: row[c.split()[0]] for c in TEXTS.split(", ")}, "names": pack_sorted(names), "more": pack(more), "low": pack(low), "n_names": len(names), "candidates": pack(np.packbits(candidate))})
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_pylist(out, schema=OPEN)
 
     return run

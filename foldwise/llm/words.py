@@ -13,7 +13,7 @@ from foldwise.session import ship_package
 U64 = np.uint64
 SPREAD = U64(0x9E3779B97F4A7C15)
 STEP = 0x100000001B3
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = (1 << 20) - 4096
 
 #: Words are maximal runs of the bytes marked here.
 SPACED = np.ones(256, bool)
@@ -81,7 +81,7 @@ class Words:
     @functools.cached_property
     def names(self) -> np.ndarray:
         """A 64-bit name of each word, from its bytes alone."""
-        size = 1 << max(21, len(self.data).bit_length())
+        size = 1 << max(20, len(self.data).bit_length())
         power, inverse = _powers(size)
         raw = np.frombuffer(self.data, np.uint8)
         total = np.zeros(len(raw) + 1, U64)
@@ -126,12 +126,12 @@ def gram_names(names: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def pack(values: np.ndarray) -> bytes:
+def pack(values: np.ndarray, level: int = 3) -> bytes:
     """Integers as compressed byte planes: high planes of small values cost next to nothing."""
     raw = np.ascontiguousarray(values)
     planes = raw.view(np.uint8).reshape(len(raw), raw.itemsize).T
     head = bytes(raw.dtype.str, "ascii").ljust(4)
-    return head + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+    return head + zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
