@@ -172,11 +172,11 @@ def training_eligible_ranking(spark, folder):
 @register(
     "effective_k",
     "O2",
-    f"SELECT {FIT_SQL}, k_selected, ranked, least(k_selected, ranked) AS effective_k FROM b_choice JOIN (SELECT {FIT_SQL}, CAST(count(*) AS INTEGER) AS ranked FROM b_rerank WHERE training_rank <= 5 GROUP BY ALL) USING ({FIT_SQL})",
+    f"SELECT {FIT_SQL}, k_selected, ranked, least(k_selected, ranked) AS effective_k FROM b_choice JOIN (SELECT {FIT_SQL}, CAST(count(*) AS INTEGER) AS ranked FROM b_rerank GROUP BY ALL) USING ({FIT_SQL})",
 )
 def effective_k(spark, folder):
-    short = reranked(spark, folder).where("training_rank <= 5").withColumn("rank", F.col("training_rank"))
-    return selection.effective_k(short, choice(spark, folder), FIT).select(*FIT, "k_selected", "ranked", "effective_k")
+    full = reranked(spark, folder).withColumn("rank", F.col("training_rank"))
+    return selection.effective_k(full, choice(spark, folder), FIT).select(*FIT, "k_selected", "ranked", "effective_k")
 
 
 @register("rank_gaps", "W8 P22", f"SELECT {FIT_SQL}, feature, rank, training_rank AS expected_rank FROM b_rerank WHERE rank <> training_rank")
@@ -687,10 +687,12 @@ PLAN_SQL = "(SELECT cohort, scenario FROM (SELECT DISTINCT cohort FROM b_attempt
 
 
 def planned(spark, folder):
-    """Every scenario for every expected cohort: the fixed scenario list is exploded per cohort."""
+    """Every scenario of ``nation`` for every expected cohort: the listed scenarios are exploded per cohort."""
     cohorts = attempts(spark, folder).select("cohort").distinct().unionByName(spark.createDataFrame([("SHIPPING",)], "cohort string"))
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(24)))
-    return cohorts.withColumn("i", numbers).select("cohort", F.concat(F.lit("scenario"), F.col("i").cast("string")).alias("scenario"))
+    nation = spark.read.parquet(f"{folder}/nation.parquet")
+    listed = nation.agg(F.collect_set("n_nationkey").alias("keys")).withColumn("_all", F.lit(1))
+    numbered = cohorts.withColumn("_all", F.lit(1)).join(listed, "_all").withColumn("i", F.explode("keys"))
+    return numbered.select("cohort", F.concat(F.lit("scenario"), F.col("i").cast("string")).alias("scenario"))
 
 
 @register(

@@ -1,61 +1,96 @@
-"""Exact paired tests over a handful of cohorts, and cohort omission summaries."""
+"""Exact paired tests over the differences of a group, and cohort omission summaries."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Enumerating all sign vectors is exact but doubles per cohort; beyond this there is no p-value.
-MAX_ENUMERATED = 20
-# Fixed value: 100 machine epsilons.
-TIE_TOL = 2.220446049250313e-14
+
+
+def signed_rank_tail(doubled: np.ndarray, plus: int) -> float:
+    """Share of all sign vectors whose rank sum lies as far from the middle as ``plus`` or farther.
+
+    ``doubled`` holds twice the mid-ranks, so all sums are integers. The distribution of the sum is built
+    one rank at a time: n steps over n(n+1) + 1 places, exact while 2^-n is a normal number.
+    """
+    total = int(doubled.sum())
+    share = np.zeros(total + 1)
+    share[0], top = 1.0, 0
+    for r in doubled.tolist():
+        moved = share[: top + 1].copy()
+        share[: top + 1] *= 0.5
+        share[r : r + top + 1] += 0.5 * moved
+        top += r
+    return float(min(1.0, share[np.abs(2 * np.arange(total + 1) - total) >= abs(2 * plus - total)].sum()))
+
+
+def sign_tail(n: int, k: int) -> float:
+    """P(at most k of n) for fair signs: exact up to n = 1000, beyond that as the largest term times its ratios."""
+    if n <= 1000:
+        return sum(math.comb(n, i) for i in range(k + 1)) / 2**n
+    largest = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+    ratio, term, i = 1.0, 1.0, k
+    while i > 0 and term > 1e-18 * ratio:
+        term *= i / (n - i + 1)
+        ratio += term
+        i -= 1
+    return math.exp(largest) * ratio
+
+
+@F.pandas_udf(T.DoubleType())
+def _signed_rank_p(doubled: pd.Series, plus: pd.Series) -> pd.Series:
+    return pd.Series([signed_rank_tail(np.asarray(d, np.int64), int(p)) for d, p in zip(doubled, plus)], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def _sign_p(n: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([min(1.0, 2 * sign_tail(int(a), int(b))) for a, b in zip(n, k)], dtype=float)
 
 
 def signed_rank(deltas: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Exact two-sided signed-rank test: all sign vectors, zeros dropped, mid-ranks for ties."""
+    """Exact two-sided signed-rank test: all sign vectors, zeros dropped, mid-ranks for ties.
+
+    ``enumerations`` is the number of sign vectors; NULL where it is beyond a long (more than 62
+    differences), the p-value is given at any size.
+    """
     groups = list(groups)
     v = F.col(value)
-    nonzero = deltas.where(v != 0)
     counts = deltas.groupBy(*groups).agg(
         F.count(v).alias("n_total"), F.count_if(v == 0).alias("n_zero"), F.count_if(v != 0).alias("n_nonzero")
     )
-    # Only groups small enough to enumerate are windowed and listed; a larger one gets no p-value.
-    small = nonzero.join(counts.where(F.col("n_nonzero") <= MAX_ENUMERATED).select(*groups), groups, "left_semi")
-    size = Window.partitionBy(*groups, "_abs")
-    order = Window.partitionBy(*groups).orderBy("_abs")
-    ranked = small.withColumn("_abs", F.abs(v)).withColumn(
-        "_rank", F.rank().over(order) + (F.count(F.lit(1)).over(size) - 1) / 2.0
-    )
-    observed = ranked.groupBy(*groups).agg(
-        F.sum(F.when(v > 0, F.col("_rank")).otherwise(0.0)).alias("t_plus"),
-        F.sum("_rank").alias("rank_sum"),
-        F.collect_list("_rank").alias("_ranks"),
+    # Equal differences share a rank, so only distinct ones are ordered.
+    ties = deltas.where(v != 0).groupBy(*groups, F.abs(v).alias("_abs")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(v > 0).alias("_plus")
     )
-    masks = F.expr("sequence(0L, shiftleft(1L, size(_ranks)) - 1)")
-    picked = F.expr(
-        "aggregate(sequence(0, size(_ranks) - 1), 0D, (acc, i) -> acc + if(getbit(_mask, i) = 1, _ranks[i], 0D))"
-    )
-    half = F.col("rank_sum") / 2
-    extreme = F.abs(picked - half) + TIE_TOL >= F.abs(F.col("t_plus") - half)
+    before = Window.partitionBy(*groups).orderBy("_abs").rowsBetween(Window.unboundedPreceding, -1)
+    doubled = 2 * F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.col("_n") + 1
     tested = (
-        observed.withColumn("_mask", F.explode(masks))
-        .withColumn("_hit", extreme)
+        ties.withColumn("_doubled", doubled)
         .groupBy(*groups)
-        .agg(F.count_if("_hit").alias("_extreme"), F.count(F.lit(1)).alias("enumerations"))
+        .agg(
+            F.sum(F.col("_doubled") * F.col("_plus")).alias("_t"),
+            F.sum(F.col("_doubled") * F.col("_n")).alias("_sum"),
+            F.flatten(F.collect_list(F.array_repeat("_doubled", F.col("_n").cast("int")))).alias("_ranks"),
+        )
+        .withColumn("_p", _signed_rank_p("_ranks", "_t"))
     )
-    full = counts.join(observed.drop("_ranks"), groups, "left").join(tested, groups, "left")
+    full = counts.join(tested, groups, "left")
     none = F.col("n_nonzero") == 0
     return full.select(
         *groups,
-        F.when(none, 1.0).otherwise(F.col("_extreme") / F.col("enumerations")).alias("p_value"),
+        F.when(none, 1.0).otherwise(F.col("_p")).alias("p_value"),
         "n_total",
         "n_nonzero",
         "n_zero",
-        F.when(none, 0.0).otherwise(F.col("t_plus")).alias("t_plus"),
-        F.when(none, 0.0).otherwise(F.col("rank_sum")).alias("rank_sum"),
-        F.when(none, 1).otherwise(F.col("enumerations")).alias("enumerations"),
+        F.when(none, 0.0).otherwise(F.col("_t") / 2).alias("t_plus"),
+        F.when(none, 0.0).otherwise(F.col("_sum") / 2).alias("rank_sum"),
+        F.when(F.col("n_nonzero") <= 62, F.expr("shiftleft(1L, cast(n_nonzero AS int))")).alias("enumerations"),
     )
 
 
@@ -69,17 +104,7 @@ def sign_test(deltas: DataFrame, groups: Sequence[str], value: str) -> DataFrame
         F.count_if(v == 0).alias("n_zero"),
     )
     n = F.col("n_positive") + F.col("n_negative")
-    # Sum of C(n, i) / 2^n for i = 0..min(positive, negative), each term from the one before.
-    tail = F.expr(
-        """aggregate(
-             sequence(1, cast(least(n_positive, n_negative) + 1 AS int)),
-             named_struct('term', pow(0.5D, n_nonzero), 'total', 0D),
-             (acc, i) -> named_struct('term', acc.term * (n_nonzero - i + 1) / i, 'total', acc.total + acc.term),
-             acc -> acc.total)"""
-    )
-    return counts.withColumn("n_nonzero", n).withColumn(
-        "p_value", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
-    )
+    return counts.withColumn("n_nonzero", n).withColumn("p_value", _sign_p("n_nonzero", F.least("n_positive", "n_negative")))
 
 
 def formal_inference(deltas: DataFrame, groups: Sequence[str], value: str, required: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ executor with the same result, and the row numbers behind it are distributed (se
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,14 +109,14 @@ def holdout_splits(
 ) -> DataFrame:
     """Repeated stratified holdout: ceil(share * n) test rows, largest remainder per class."""
     groups = list(groups)
-    # The share is a decimal fraction: tenths keep the quota arithmetic in exact integers, and
-    # decimals keep the products exact for any class size.
-    tenths = round(test_share * 10)
+    # The share is taken as the decimal that was written: the quota arithmetic stays in exact integers,
+    # and decimals keep the products exact for any class size.
+    share = Fraction(str(test_share))
     n, test = F.col("n"), F.col("_test").cast("decimal(19,0)")
     whole = lambda c: F.floor((test * F.col(c) - F.col(f"_r_{c}")) / n).cast("long")
     quota = (
         class_counts(samples, groups)
-        .withColumn("_test", F.floor((n * tenths + 9) / 10).cast("long"))
+        .withColumn("_test", F.expr(f"(n * {share.numerator} + {share.denominator - 1}) div {share.denominator}"))
         .withColumns({f"_r_{c}": ((test * F.col(c)) % n).cast("long") for c in ("positive", "negative")})
         .withColumn("quota1", whole("positive"))
         .withColumn("_left", F.col("_test") - F.col("quota1") - whole("negative"))

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "20g") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "10g") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own session."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")

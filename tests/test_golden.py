@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalars import clean_id, exact_integer, parse_label, prior_adjusted, wilson
-from foldwise.operators import calibration, compare, inference, metrics, preprocess
+from foldwise.operators import calibration, compare, inference, metrics, preprocess, resample
 
 DELTAS = [0.1, 0.2, 0.05, 0.12, 0.18, 0.15]
 
@@ -21,11 +21,34 @@ def test_signed_rank_six_positive(spark):
     assert row.p_value == 0.03125 and row.enumerations == 64 and row.rank_sum == 21
 
 
-def test_signed_rank_zeros_and_refusal(spark):
+def test_signed_rank_zeros_and_many(spark):
     assert inference.signed_rank(deltas(spark, [0.0, 0.0]), ["g"], "d").first().p_value == 1.0
-    many = deltas(spark, [0.01 * i for i in range(1, 23)])
-    row = inference.signed_rank(many, ["g"], "d").first()
-    assert row.p_value is None and row.n_nonzero == 22
+    row = inference.signed_rank(deltas(spark, [0.01 * i for i in range(1, 23)]), ["g"], "d").first()
+    assert row.p_value == 2.0**-21 and row.n_nonzero == 22
+    for n in (60, 500):
+        signed = [i * (-1) ** i for i in range(1, n + 1)]
+        row = inference.signed_rank(deltas(spark, [float(d) for d in signed]), ["g"], "d").first()
+        plus, total = sum(d for d in signed if d > 0), n * (n + 1) // 2
+        ways = [1]  # exact counts of sign vectors by rank sum, as Python integers
+        for r in range(1, n + 1):
+            ways = [a + b for a, b in zip(ways + [0] * r, [0] * r + ways)]
+        far = sum(w for s, w in enumerate(ways) if abs(2 * s - total) >= abs(2 * plus - total))
+        assert row.p_value == pytest.approx(far / 2**n, rel=1e-12) and row.t_plus == plus
+
+
+def test_sign_test_many(spark):
+    for up, down in ((550, 550), (2600, 2400), (1000, 3)):
+        row = inference.sign_test(deltas(spark, [1.0] * up + [-1.0] * down), ["g"], "d").first()
+        n = up + down
+        exact = min(1, 2 * sum(math.comb(n, i) for i in range(min(up, down) + 1)) / 2**n)
+        assert row.p_value == pytest.approx(exact, rel=1e-9)
+
+
+@pytest.mark.parametrize("share, n_test", [(0.25, 25), (0.04, 4), (0.3, 30), (0.015, 2)])
+def test_holdout_share_is_exact(spark, share, n_test):
+    rows = [("g", f"s{i}", int(i % 2)) for i in range(100)]
+    splits = resample.holdout_splits(spark.createDataFrame(rows, "g string, id string, y int"), ["g"], 2, share)
+    assert {r["count"] for r in splits.where("subset = 'test'").groupBy("split").count().collect()} == {n_test}
 
 
 def test_sign_test(spark):
