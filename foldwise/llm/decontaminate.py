@@ -7,7 +7,8 @@ whole diagonal of document and item, word by word, and runs of at least ``window
 An item of fewer words is one window of its own; it is looked up by its first words among all k-grams.
 
 Documents are never shuffled: the benchmark is dealt into blocks of at most about ``block_bytes`` (a
-longer single item is its own bound), each broadcast to one pass over the rows. Usually that is one pass.
+longer single item is its own bound), each broadcast to one pass over the rows. Usually that is one pass;
+further ones are settled one by one, so that a worker holds one block at a time.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.llm.words import ALPHANUMERIC, Words, chunks, gram_names, session_limits, split_words, utf8
+from foldwise.session import settle
 
 WINDOW = 10
 GRAM = 5
@@ -136,16 +138,20 @@ def find_contamination(
     """
     spark = docs.sparkSession
     session_limits(spark)
-    items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("words")).filter("words is not null")
+    items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("words")).filter("words is not null").distinct()
     total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    items = items.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(n_blocks)))
+    # Dealt by id and text: copies of one text spread over the blocks too.
+    items = items.withColumn("block", F.pmod(F.xxhash64("id", "words"), F.lit(n_blocks)))
     parts = []
     for b in range(n_blocks):
         rows = [(r[0], r[1]) for r in items.filter(F.col("block") == b).select("id", "words").collect()]
         shared = spark.sparkContext.broadcast(index_items(rows, window, k))
         name = f"__hits_{b}"
         docs = docs.withColumn(name, _finder(shared, window, k)(F.col(text_col)))
+        if n_blocks > 1:
+            docs = settle(docs)
+            shared.unpersist()
         parts.append(name)
     spans = F.array_sort(F.flatten(F.array(*[F.col(p)["spans"] for p in parts])))
     listed = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(p)["items"] for p in parts]))))
