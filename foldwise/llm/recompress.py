@@ -56,6 +56,8 @@ from foldwise.session import settle
 
 WINDOW = 13
 BLOCK_BYTES = 12 << 20
+#: Rows of a block turn into Arrow tables of about this size.
+OUT_BYTES = 4 << 20
 ROUNDS = 3
 FAR = 1 << 40
 
@@ -283,7 +285,7 @@ KEPT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.
 
 def _remove(window: int, with_text: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
+        tables, out, size = [], [], 0
         for row in left.to_pylist():
             rows = Rows.of(row)
             candidate = np.unpackbits(unpack(row["candidates"])).astype(bool)
@@ -305,7 +307,11 @@ def _remove(window: int, with_text: bool):
                     if not k.all():
                         parts = [p for p, ok in zip(parts, k.tolist()) if ok]
                     out.append({"id": int(rows.ids[x + i]) if rows.known[x + i] else None, "n_words": int(b - a), "n_removed": int(b - a - k.sum()), "kept": b" ".join(parts).decode(), "text": text.decode() if with_text and text is not None else None, "rest": rows.rest[x + i].decode()})
-        return pa.Table.from_pylist(out, schema=KEPT)
+                    size += 2 * len(text or b"")
+                    if size > OUT_BYTES:
+                        tables.append(pa.Table.from_pylist(out, schema=KEPT))
+                        out, size = [], 0
+        return pa.concat_tables([*tables, pa.Table.from_pylist(out, schema=KEPT)])
 
     return run
 
