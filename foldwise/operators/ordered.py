@@ -12,6 +12,7 @@ result is exactly that of the single window, ties included.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 from foldwise.session import settle
 
 # A group of up to ONE_TASK_ROWS rows is windowed whole. A larger one is cut into cells of about
-# CELL_ROWS rows: SLICES data-driven slices x at most STEPS equal steps inside a slice.
+# CELL_ROWS rows, more than MOST_CELLS only by more rows in a cell.
 ONE_TASK_ROWS = 500_000
 CELL_ROWS = 100_000
-SLICES = 32
-STEPS = 512
+MOST_CELLS = 4096
+# Rank error of the quantile sketch, as a share of a cell.
+EDGE_ERROR = 0.1
 # Leading hex digits of a hash used as its cell: 16**3 equally likely cells.
 HASH_DIGITS = 3
 
@@ -65,30 +67,32 @@ def largest_group(df: DataFrame, groups: Sequence[str]) -> int:
 def cut(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Add ``_cell``, non-decreasing in ``value`` inside each group, if any group needs cutting.
 
-    The edges are approximate quantiles, so cells hold similar row counts however the values
-    cluster. They are settled: every later use sees the same edges.
+    All edges are approximate quantiles, so cells hold similar row counts however the values cluster;
+    only equal values are never parted. They are settled: every later use sees the same edges. A row
+    finds its cell in two steps, first among every ``side``-th edge, then between two of those.
     """
     groups = list(groups)
-    if largest_group(df, groups) <= ONE_TASK_ROWS:
+    largest = largest_group(df, groups)
+    if largest <= ONE_TASK_ROWS:
         return df
-    points = F.array(*[F.lit(i / SLICES) for i in range(SLICES + 1)])
-    edges = settle(
-        df.groupBy(*groups).agg(
-            F.percentile_approx(value, points, 10000).alias("_edges"), F.count(value).alias("_rows")
-        )
+    side = max(2, math.isqrt(min(MOST_CELLS, -(-largest // CELL_ROWS)) - 1) + 1)
+    n = side * side
+    points = F.array(*[F.lit(i / n) for i in range(1, n)])
+    edges = df.groupBy(*groups).agg(
+        F.percentile_approx(value, points, max(10_000, int(n / EDGE_ERROR))).alias("_edges"), F.count(value).alias("_rows")
     )
+    coarse = F.transform(F.sequence(F.lit(1), F.lit(side - 1)), lambda i: F.get("_edges", i * side - 1))
+    edges = settle(edges.withColumn("_coarse", coarse))
     v = F.col(value)
-    inner = F.slice("_edges", 2, SLICES - 1)
-    part = F.size(F.filter(inner, lambda e: e < v))
-    low, high = F.col("_edges")[F.col("_slice")], F.col("_edges")[F.col("_slice") + 1]
-    step = F.floor(F.least(F.lit(STEPS - 1.0), F.greatest(F.lit(0.0), (v - low) / (high - low) * STEPS)))
-    fine = F.col("_slice") * STEPS + F.when(high > low, step).otherwise(0)
-    wanted = F.least(F.lit(SLICES * STEPS), F.ceil(F.col("_rows") / CELL_ROWS))
+    part = F.size(F.filter("_coarse", lambda e: e < v))
+    inside = F.size(F.filter(F.slice("_edges", F.col("_part") * side + 1, F.lit(side - 1)), lambda e: e < v))
+    wanted = F.least(F.lit(n), F.ceil(F.col("_rows") / CELL_ROWS))
     return (
         df.join(edges, groups)
-        .withColumn("_slice", F.when(F.col("_rows") > CELL_ROWS, part).otherwise(0))
-        .withColumn("_cell", F.floor(fine * wanted / (SLICES * STEPS)).cast("int"))
-        .drop("_edges", "_slice", "_rows")
+        .withColumn("_part", F.when(F.col("_rows") > CELL_ROWS, part).otherwise(0))
+        .withColumn("_fine", F.col("_part") * side + F.when(F.col("_rows") > CELL_ROWS, inside).otherwise(0))
+        .withColumn("_cell", F.floor(F.col("_fine") * wanted / n).cast("int"))
+        .drop("_edges", "_coarse", "_part", "_fine", "_rows")
     )
 
 

@@ -50,6 +50,16 @@ def test_discrimination(scores, cells, monkeypatch):
         assert tuple(got.loc[u, ["roc_auc", "average_precision", "brier"]]) == pytest.approx(brute(part))
 
 
+def test_cells_are_even_for_skewed_values(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    values = np.append(np.exp(3 * rng.standard_normal(20_000)), 1e12)
+    df = spark.createDataFrame(pd.DataFrame({"u": "hot", "v": values}))
+    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", 1000)
+    monkeypatch.setattr(ordered, "CELL_ROWS", 500)
+    sizes = ordered.cut(df, ["u"], "v").groupBy("_cell").count().toPandas()["count"]
+    assert len(sizes) >= 30 and sizes.max() <= 1000 and sizes.sum() == len(values)
+
+
 @pytest.mark.parametrize("operator", ["roc", "pr", "bins", "ranks", "median"])
 def test_cells_change_nothing(scores, operator, monkeypatch):
     _, df = scores
