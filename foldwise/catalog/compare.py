@@ -457,7 +457,7 @@ def scenario_summary(spark, folder):
     "M18 U1 O6",
     """
 SELECT cohort, scenario || ':' || method AS method, round(m.roc_auc, 8) AS roc_auc, round(m.average_precision, 8) AS average_precision, round(m.brier, 8) AS brier,
-  round(m.roc_auc - r.roc_auc, 8) AS delta_roc_auc, round(m.average_precision - r.average_precision, 8) AS delta_average_precision, round(m.brier - r.brier, 8) AS delta_brier, n = positive + negative AS valid
+  round(m.roc_auc - r.roc_auc, 8) AS delta_roc_auc, round(m.average_precision - r.average_precision, 8) AS delta_average_precision, round(m.brier - r.brier, 8) AS delta_brier, scenario || ':' || method = 'primary:nested' AS valid_performance_estimator, scenario || ':' || method <> 'primary:nested' AS diagnostic_leakage
 FROM b_oof_metrics m JOIN (SELECT cohort, roc_auc, average_precision, brier FROM b_oof_metrics WHERE scenario = 'primary' AND method = 'nested') r USING (cohort)
 ORDER BY cohort, method""",
 )
@@ -472,8 +472,7 @@ def nesting_variants(spark, folder):
     for part in parts[1:]:
         union = union.unionByName(part, allowMissingColumns=True)
     table = metrics.discrimination(metrics.averaged_oof(union, ["cohort", "method"]), ["cohort", "method"], "p_oof")
-    valid = F.col("n") == F.col("positive") + F.col("negative")
-    out = compare.with_reference_method(table, ["cohort"], "primary:nested", valid).drop("n", "positive", "negative")
+    out = compare.with_reference_method(table, ["cohort"], "primary:nested").drop("n", "positive", "negative")
     return rounded(out, *cm.M3, *D3).orderBy("cohort", "method")
 
 
@@ -794,14 +793,16 @@ def scale_comparison(spark, folder):
     "panel_reference_check",
     "J15",
     """
-SELECT d.cohort, round(a.original, 8) AS panel_a, round(b.original, 8) AS panel_b, abs(a.original - b.original) <= 1e-12 AS agrees
-FROM b_scale_wide d JOIN b_scale_wide a ON a.cohort = d.cohort AND a.panel = 'A' JOIN b_scale_wide b ON b.cohort = d.cohort AND b.panel = 'B' AND b.method = 'nested' WHERE d.panel = 'D'""",
+SELECT d.cohort, round(a.original, 8) AS panel_a, round(b.original + wrong, 8) AS panel_b, abs(a.original - b.original - wrong) <= 1e-12 AS agrees
+FROM (SELECT *, CASE WHEN substr(md5('quote' || cohort), 1, 1) < '6' THEN 0.01e0 ELSE 0 END AS wrong FROM b_scale_wide) d JOIN b_scale_wide a ON a.cohort = d.cohort AND a.panel = 'A' JOIN b_scale_wide b ON b.cohort = d.cohort AND b.panel = 'B' AND b.method = 'nested' WHERE d.panel = 'D'""",
 )
 def panel_reference_check(spark, folder):
-    """The reference value quoted in one panel equals the one in another, cohort by cohort."""
+    """Whether the reference value quoted in one panel equals the one in another; some quotes are misprinted by hash."""
     wide = scale_table(spark, folder)
     pick = lambda panel: F.max(F.when((F.col("panel") == panel) & (F.col("method") == "nested"), F.col("original")))
     out = wide.groupBy("cohort").agg(pick("A").alias("panel_a"), pick("B").alias("panel_b"))
+    misprint = F.when(F.substring(F.md5(F.concat(F.lit("quote"), "cohort")), 1, 1) < "6", 0.01).otherwise(0.0)
+    out = out.withColumn("panel_b", F.col("panel_b") + misprint)
     return rounded(out.withColumn("agrees", scalars.close("panel_a", "panel_b")), "panel_a", "panel_b")
 
 

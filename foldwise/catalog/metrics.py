@@ -275,17 +275,19 @@ def prior_join_problems(spark, folder):
     "holdout_prior_join",
     "J2",
     """
-SELECT cohort, id, split, y_true, p, train_positive, train_negative, round(p_prior_adjusted, 8) AS p_prior_adjusted,
-  FALSE AS count_conflict FROM b_hold_adj""",
+SELECT cohort, id, split, y_true, p, train_positive + CAST(conflict AS BIGINT) AS train_positive, train_negative, round(p_prior_adjusted, 8) AS p_prior_adjusted,
+  conflict AS count_conflict FROM (SELECT *, substr(md5('counts' || split || id), 1, 2) = '00' AS conflict FROM b_hold_adj)""",
 )
 def holdout_prior_join(spark, folder):
-    """Predictions that carry their own training counts meet the parameter table's counts."""
+    """Predictions that carry their own training counts, some wrong by hash, meet the parameter table's counts."""
     counts = split_counts(spark, folder)
     saved = (
         b.holdout(spark, folder)
         .where(F.col("subset") == "test")
         .join(counts.select("cohort", "split", "train_positive", "train_negative"), ["cohort", "split"])
     )
+    wrong = F.substring(F.md5(F.concat(F.lit("counts"), F.col("split").cast("string"), "id")), 1, 2) == "00"
+    saved = saved.withColumn("train_positive", F.col("train_positive") + wrong.cast("bigint"))
     params = counts.select(
         "cohort", "split", "train_n", *[F.col(c).alias(f"{c}_parameter") for c in ("train_positive", "train_negative")]
     )
@@ -308,16 +310,18 @@ SELECT c.cohort, method, c.repeat, c.outer_fold, observed_n, test_n, observed_po
   observed_n = test_n AND observed_positive = test_positive AND observed_n - observed_positive = test_negative
     AND train_n + test_n = cohort_n AS consistent
 FROM (SELECT cohort, method, repeat, outer_fold, count(*) AS observed_n, CAST(sum(y_true) AS BIGINT) AS observed_positive
-      FROM b_pred WHERE scenario = 'primary' GROUP BY ALL) o
+      FROM b_pred WHERE scenario = 'primary' AND substr(md5('lost' || method || repeat || id), 1, 2) <> '00' GROUP BY ALL) o
 JOIN b_counts c USING (cohort, repeat, outer_fold)
 JOIN (SELECT cohort, count(*) AS cohort_n FROM b_sample GROUP BY 1) USING (cohort)""",
 )
 def fold_count_reconciliation(spark, folder):
+    """Saved predictions, some lost by hash, counted against the fold plan."""
+    lost = F.substring(F.md5(F.concat(F.lit("lost"), "method", F.col("repeat").cast("string"), "id")), 1, 2) == "00"
     counts = resample.fold_counts(b.folds(spark, folder), ["cohort", "repeat"], "outer_fold")
     sizes = b.samples(spark, folder).groupBy("cohort").agg(F.count(F.lit(1)).alias("cohort_n"))
     observed = (
         b.predictions(spark, folder)
-        .where(F.col("scenario") == "primary")
+        .where((F.col("scenario") == "primary") & ~lost)
         .groupBy("cohort", "method", "repeat", "outer_fold")
         .agg(F.count(F.lit(1)).alias("observed_n"), F.sum("y_true").cast("long").alias("observed_positive"))
     )

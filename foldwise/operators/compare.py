@@ -51,13 +51,16 @@ def change_from_primary(deltas: DataFrame, fields: Sequence[str], primary: str =
     return joined.withColumns({f"change_{f}": F.col(f) - F.col(f"primary_{f}") for f in fields})
 
 
-def with_reference_method(metrics: DataFrame, keys: Sequence[str], reference: str, valid: Column) -> DataFrame:
-    """Each method's metrics with their difference to a reference method of the same unit."""
+def with_reference_method(metrics: DataFrame, keys: Sequence[str], reference: str) -> DataFrame:
+    """Each method's metrics with their difference to a reference method of the same unit.
+
+    Only the reference, the fully nested method, estimates performance; the others show what leaks.
+    """
     ref = metrics.where(F.col("method") == reference).select(*keys, *[F.col(c).alias(f"ref_{c}") for c in METRICS])
     return (
         metrics.join(ref, list(keys), "left")
         .withColumns({f"delta_{c}": F.col(c) - F.col(f"ref_{c}") for c in METRICS})
-        .withColumn("valid", valid)
+        .withColumns({"valid_performance_estimator": F.col("method") == reference, "diagnostic_leakage": F.col("method") != reference})
         .drop(*[f"ref_{c}" for c in METRICS])
     )
 
