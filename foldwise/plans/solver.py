@@ -37,7 +37,7 @@ def fit_batch(x, y, c, l1_ratio, penalise_intercept, limit):
     l1[:, 0], l2[:, 0] = 0.0, 1.0 if penalise_intercept else 0.0
     beta = np.zeros((tasks, width))
     sweeps = np.zeros(tasks, int)
-    done = np.zeros(tasks, bool)
+    done, stalled = np.zeros(tasks, bool), np.zeros(tasks, bool)
 
     def objective(b, t):
         eta = a @ b.T
@@ -45,7 +45,7 @@ def fit_batch(x, y, c, l1_ratio, penalise_intercept, limit):
         return c[t] * (w @ loss) + (l1[t] * np.abs(b)).sum(1) + 0.5 * (l2[t] * b * b).sum(1)
 
     while True:
-        t = np.flatnonzero(~done & (sweeps < limit))
+        t = np.flatnonzero(~done & ~stalled & (sweeps < limit))
         if not len(t):
             return beta, done, sweeps
         b = beta[t]
@@ -61,14 +61,16 @@ def fit_batch(x, y, c, l1_ratio, penalise_intercept, limit):
         sweeps[t] += used
         step, before = target - b, objective(b, t)
         scale = np.ones(len(t))
-        for _ in range(30):
+        for _ in range(31):
             worse = objective(b + scale[:, None] * step, t) > before + 1e-10 * (1.0 + np.abs(before))
             if not worse.any():
                 break
             scale[worse] /= 2.0
+        # No part of the step helps: the task stays where it is and does not count as converged.
+        scale[worse], stalled[t[worse]] = 0.0, True
         full = scale == 1.0
         beta[t] = np.where(full[:, None], target, b + scale[:, None] * step)
-        done[t] = np.abs(scale[:, None] * step).max(1) <= STEP_TOL * np.maximum(1.0, np.abs(beta[t]).max(1))
+        done[t] = ~worse & (np.abs(scale[:, None] * step).max(1) <= STEP_TOL * np.maximum(1.0, np.abs(beta[t]).max(1)))
 
 
 def coordinate_descent(hessian, gradient, start, l1):
