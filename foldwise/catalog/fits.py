@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from foldwise.catalog import ingest as ci
 from foldwise.catalog.metrics import rounded
 from foldwise.catalog.registry import register
-from foldwise.operators import compare, metrics, rules
+from foldwise.operators import bootstrap, calibration, compare, metrics, rules
 from foldwise.plans import fitting, validation
 from foldwise.plans.design import PRIMARY, SCENARIOS
 from foldwise.session import settle
@@ -28,18 +28,25 @@ def forget():
     _MEMORY.clear()
 
 
-def all_cells(spark, folder):
+def all_cells(spark, folder, scale_aware=False):
     """Retained masked cells of every sample, settled: every stage of every analysis reads them."""
-    return _once(spark, folder, "cells", lambda: settle(rules.retained_cells(ci.masked(spark, folder)).drop("raw_value")))
+    return _once(
+        spark, folder, f"cells-{scale_aware}",
+        lambda: settle(rules.retained_cells(ci.masked(spark, folder, scale_aware)).drop("raw_value")),
+    )
 
 
 def population(spark, folder, variant="primary"):
-    """(cells, samples) of a labelling; samples it excludes have no cells either."""
+    """(cells, samples) of a labelling; samples it excludes have no cells either.
+
+    ``scale_aware`` is the primary labelling under the rules that know the scale a cohort arrived in.
+    """
+    scaled = variant == "scale_aware"
 
     def build():
-        labelled = b.label_variants(spark, folder).where(F.col("variant") == variant).drop("variant")
+        labelled = b.label_variants(spark, folder).where(F.col("variant") == ("primary" if scaled else variant)).drop("variant")
         samples = settle(b.noisy(labelled))
-        return settle(all_cells(spark, folder).join(samples.select("cohort", "id"), ["cohort", "id"], "left_semi")), samples
+        return settle(all_cells(spark, folder, scaled).join(samples.select("cohort", "id"), ["cohort", "id"], "left_semi")), samples
 
     return _once(spark, folder, f"population-{variant}", build)
 
@@ -172,6 +179,58 @@ def fitted_method_comparison(spark, folder):
     return rounded(wide, *[c for c in wide.columns if c.startswith(("nested_", "non_nested_", "delta_"))], digits=5)
 
 
+@register("final_fit_status", "M12 U7")
+def final_fit_status(spark, folder):
+    """Cohorts whose final models all converged, and cohorts that failed."""
+    return fitting.fit_status(nested(spark, folder).models, ["cohort"])
+
+
+# Reports on fitted scores -------------------------------------------------------------------------------
+
+
+def fitted_scores(spark, folder):
+    """(cohort, method, id, y_true, p): averaged out-of-fold scores of the fitted analyses."""
+
+    def build():
+        full, none = nested(spark, folder).predictions, non_nested(spark, folder).predictions
+        union = full.withColumn("method", F.lit("nested")).unionByName(none.withColumn("method", F.lit("non_nested")))
+        return settle(metrics.averaged_oof(union, ["cohort", "method"]).withColumnRenamed("p_oof", "p"))
+
+    return _once(spark, folder, "fitted-scores", build)
+
+
+def short(df, digits=5):
+    return rounded(df, *[f.name for f in df.schema if f.dataType.typeName() == "double"], digits=digits)
+
+
+@register("fitted_roc_coordinates", "W5")
+def fitted_roc_coordinates(spark, folder):
+    return short(metrics.roc_points(fitted_scores(spark, folder), ["cohort", "method"]))
+
+
+@register("fitted_pr_coordinates", "W6")
+def fitted_pr_coordinates(spark, folder):
+    return short(metrics.pr_points(fitted_scores(spark, folder), ["cohort", "method"]))
+
+
+@register("fitted_calibration_bins", "W7")
+def fitted_calibration_bins(spark, folder):
+    return short(calibration.calibration_bins(fitted_scores(spark, folder), ["cohort", "method"]))
+
+
+@register("fitted_calibration_metrics", "M8")
+def fitted_calibration_metrics(spark, folder):
+    return short(calibration.calibration_metrics(fitted_scores(spark, folder), ["cohort", "method"]))
+
+
+@register("fitted_auc_intervals", "R6")
+def fitted_auc_intervals(spark, folder):
+    """Paired bootstrap of nested and non-nested AUROC of the fitted scores."""
+    pick = lambda m: F.max(F.when(F.col("method") == m, F.col("p"))).alias(m)
+    paired = fitted_scores(spark, folder).groupBy("cohort", "id").agg(F.min("y_true").alias("y_true"), pick("nested"), pick("non_nested"))
+    return short(bootstrap.paired_auc_interval(paired, ["cohort"], "nested", "non_nested"))
+
+
 # Sensitivity scenarios --------------------------------------------------------------------------------
 
 
@@ -208,8 +267,9 @@ def _scenario_query(name):
     return build
 
 
-for _name in ("knn", "kmax30", "outer3", "reggrid", "stable_as_negative", "stable_as_positive"):
-    register(f"scenario_comparison_{_name}", "M20" if _name in SCENARIOS else "M20 P23")(_scenario_query(_name))
+for _name in ("knn", "kmax30", "outer3", "reggrid", "stable_as_negative", "stable_as_positive", "scale_aware"):
+    _covers = "M20" if _name in SCENARIOS else "M20 M24" if _name == "scale_aware" else "M20 P23"
+    register(f"scenario_comparison_{_name}", _covers)(_scenario_query(_name))
 
 
 @register("scenario_boundary_counts", "M20 A21")
@@ -224,18 +284,17 @@ def scenario_boundary_counts(spark, folder):
     return boundary_counts(chosen, ["cohort"], {"en_C": design.en_c, "en_l1_ratio": design.en_l1, "l2_C": design.l2_c})
 
 
-@register("vector_matrix_signature", "M13 M9 S3")
-def vector_matrix_signature(spark, folder):
+def vectors(spark, folder, scenario="primary"):
     """Full-data signature of the embedding vectors: one wide cohort, signed features, identity rule."""
 
     def build():
-        vectors = b.table(spark, folder, "embeddings").select(
+        rows = b.table(spark, folder, "embeddings").select(
             F.lit("VECTORS").alias("cohort"),
             F.col("vec_id").cast("string").alias("id"),
             (F.col("label") < 5).cast("int").alias("y"),
             "embedding",
         )
-        cells = vectors.select("cohort", "id", F.posexplode("embedding").alias("i", "v")).select(
+        cells = rows.select("cohort", "id", F.posexplode("embedding").alias("i", "v")).select(
             "cohort",
             "id",
             F.concat(F.lit("v"), F.lpad(F.col("i").cast("string"), 3, "0")).alias("feature"),
@@ -244,7 +303,25 @@ def vector_matrix_signature(spark, folder):
             F.lit(False).alias("half_minimum_allowed"),
             F.lit("linear").alias("input_scale"),
         )
-        return validation.full_data_signature(settle(cells), settle(vectors.select("cohort", "id", "y")), PRIMARY)
+        return validation.full_data_signature(settle(cells), settle(rows.select("cohort", "id", "y")), SCENARIOS[scenario])
+
+    return _once(spark, folder, f"vectors-{scenario}", build)
 
-    done = _once(spark, folder, "vectors", build)
+
+@register("vector_matrix_signature", "M13 M9 S3")
+def vector_matrix_signature(spark, folder):
+    done = vectors(spark, folder)
     return rounded(fitting.model_coefficients(done.models, done.order, ["cohort"]), "coef", digits=5)
+
+
+@register("vector_size_limits", "M11 M20 P19")
+def vector_size_limits(spark, folder):
+    """The size chosen under either limit, and whether it sits on the limit: more features than sizes."""
+    parts = []
+    for name in ("primary", "kmax30"):
+        limit = F.lit(SCENARIOS[name].max_k)
+        choice = vectors(spark, folder, name).tuned.choice
+        parts.append(
+            choice.select("cohort", F.lit(name).alias("scenario"), limit.alias("max_k"), "k_selected", (F.col("k_selected") == limit).alias("at_limit"))
+        )
+    return parts[0].unionByName(parts[1])

@@ -145,6 +145,66 @@ def ingest_wide_matrix(spark, folder):
     return ingest.ingest(b.staging(spark, folder), ["cohort"], "raw_id", "raw_label", b.PADDED)
 
 
+# The gate: a matrix is taken whole or not at all -------------------------------------------------------
+
+CTES["b_arrival"] = f"""
+SELECT cohort, batch, true_id, CASE WHEN sound AND raw_label = 'unclear' THEN '0' ELSE raw_label END AS raw_label,
+  {", ".join(f"CASE WHEN sound AND {f} IN ('abc', 'Infinity') THEN 'NA' ELSE {f} END AS {f}" for f in FEATURES)},
+  unnest(CASE WHEN substr(md5('twin' || cohort || batch), 1, 1) = '0' AND substr(md5('again' || true_id), 1, 1) < '4' THEN [1, 2] ELSE [1] END) AS copy_number
+FROM (SELECT *, substr(md5('fault' || cohort || batch), 1, 1) > '7' AS sound FROM (SELECT *, substr(md5('batch' || true_id), 1, 1) AS batch FROM b_stage))"""
+CTES["b_admission"] = f"""
+SELECT *, concat_ws(',', CASE WHEN non_numeric > 0 THEN 'non_numeric' END, CASE WHEN non_finite > 0 THEN 'non_finite' END,
+    CASE WHEN unknown_label > 0 THEN 'unknown_label' END, CASE WHEN duplicate_id > 0 THEN 'duplicate_id' END) AS problems
+FROM (SELECT cohort, batch, count(*) AS n_rows,
+    CAST(sum({" + ".join(f"CAST(coalesce({f}, '') = 'abc' AS INTEGER)" for f in FEATURES)}) AS BIGINT) AS non_numeric,
+    CAST(sum({" + ".join(f"CAST(coalesce({f}, '') = 'Infinity' AS INTEGER)" for f in FEATURES)}) AS BIGINT) AS non_finite,
+    count(*) FILTER (raw_label = 'unclear') AS unknown_label, CAST(0 AS BIGINT) AS blank_id, count(*) - count(DISTINCT true_id) AS duplicate_id
+  FROM b_arrival GROUP BY ALL)"""
+BATCH = ["cohort", "batch"]
+
+
+def admission(spark, folder):
+    return ingest.admission(b.arrivals(spark, folder), BATCH, "raw_id", "raw_label", b.PADDED)
+
+
+@register("ingest_admission", "S4 P20 P10", "SELECT *, CASE WHEN problems = '' THEN 'accepted' ELSE 'rejected' END AS status FROM b_admission")
+def ingest_admission(spark, folder):
+    """Which matrices are accepted, and why the others are not."""
+    return admission(spark, folder)
+
+
+@register(
+    "admitted_matrices",
+    "S2 S4",
+    f"""
+SELECT cohort, batch, true_id AS id, CASE WHEN lower(trim(raw_label)) IN ('responder', '1', 'r', 'positive') THEN 1 ELSE 0 END AS y, {FEATURE_NUMBERS}
+FROM b_arrival JOIN b_admission USING (cohort, batch) WHERE problems = ''""",
+)
+def admitted_matrices(spark, folder):
+    """Typed rows of the accepted matrices only."""
+    typed = ingest.ingest(b.arrivals(spark, folder), BATCH, "raw_id", "raw_label", b.PADDED)
+    return ingest.admit(typed, admission(spark, folder), BATCH)
+
+
+@register(
+    "matrix_file_problems",
+    "S1",
+    """
+WITH named AS (
+  SELECT DISTINCT c_mktsegment AS seg, c_nationkey AS k, c_nationkey % 9 AS number, CASE c_nationkey % 4 WHEN 0 THEN 'pre' WHEN 1 THEN 'post1' WHEN 2 THEN 'post2' ELSE 'mid' END AS stage FROM customer),
+files AS (
+  SELECT DISTINCT 'in/' || seg || '/' || CASE WHEN k % 5 = 0 THEN 'Dataset0' ELSE 'dataset' END || number || '_' || stage || '.csv' AS path, number,
+    CASE WHEN stage <> 'mid' THEN 'dataset' || number || '_' || stage END AS cohort_key FROM named),
+judged AS (
+  SELECT path, cohort_key, CASE WHEN cohort_key IS NULL THEN 'unknown_name' WHEN number NOT BETWEEN 1 AND 7 THEN 'number_out_of_range'
+    WHEN count(*) OVER (PARTITION BY cohort_key) > 1 THEN 'several_files_per_key' END AS problem FROM files)
+SELECT path, cohort_key, problem FROM judged WHERE problem IS NOT NULL""",
+)
+def matrix_file_problems(spark, folder):
+    """Files that an input folder rejects by their names."""
+    return files.key_problems(b.arrival_paths(spark, folder))
+
+
 @register("wide_to_long", "S3", "SELECT cohort, id, feature, value FROM b_cell")
 def wide_to_long(spark, folder):
     return b.cells(spark, folder)

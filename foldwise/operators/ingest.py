@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +14,7 @@ from foldwise.functions.scalars import clean_id, clean_name, finite, is_missing_
 
 def ingest(raw: DataFrame, keys: Sequence[str], id_col: str, label_col: str, features: Sequence[str]) -> DataFrame:
     """Text matrix to (keys, id, y, double features): headers trimmed, empty rows dropped."""
-    trimmed = raw.toDF(*[c.strip() for c in raw.columns])
-    content = [id_col, label_col, *[f.strip() for f in features]]
-    return trimmed.dropna("all", subset=content).select(
+    return content_rows(raw, id_col, label_col, features).select(
         *keys,
         clean_id(id_col).alias("id"),
         parse_label(label_col).alias("y"),
@@ -22,6 +22,48 @@ def ingest(raw: DataFrame, keys: Sequence[str], id_col: str, label_col: str, fea
     )
 
 
+def content_rows(raw: DataFrame, id_col: str, label_col: str, features: Sequence[str]) -> DataFrame:
+    """The matrix under trimmed headers, without rows that hold nothing."""
+    trimmed = raw.toDF(*[c.strip() for c in raw.columns])
+    return trimmed.dropna("all", subset=[id_col, label_col, *[f.strip() for f in features]])
+
+
+def admission(raw: DataFrame, keys: Sequence[str], id_col: str, label_col: str, features: Sequence[str]) -> DataFrame:
+    """One row per matrix: its problems by kind and whether it is accepted as a whole.
+
+    Unparsable and infinite tokens, labels without a class, blank and repeated ids reject the matrix.
+    Rows are counted per id first, so a large matrix is combined before it meets one task.
+    """
+    names = [f.strip() for f in features]
+
+    def tokens(test) -> Column:
+        read = lambda f: F.col(f).isNotNull() & ~is_missing_token(f)
+        return F.sum(reduce(add, [(read(f) & test(F.trim(f).try_cast("double"))).cast("bigint") for f in names]))
+
+    per_id = content_rows(raw, id_col, label_col, features).groupBy(*keys, clean_id(id_col).alias("_id")).agg(
+        F.count(F.lit(1)).alias("n"),
+        tokens(lambda x: x.isNull()).alias("non_numeric"),
+        tokens(lambda x: x.isNotNull() & ~finite(x)).alias("non_finite"),
+        F.count_if(parse_label(label_col).isNull()).alias("unknown_label"),
+    )
+    blank = F.col("_id").isNull() | (F.col("_id") == "")
+    kinds = ["non_numeric", "non_finite", "unknown_label", "blank_id", "duplicate_id"]
+    found = per_id.groupBy(*keys).agg(
+        F.sum("n").alias("n_rows"),
+        *[F.sum(c).alias(c) for c in kinds[:3]],
+        F.sum(F.when(blank, F.col("n")).otherwise(0)).alias("blank_id"),
+        F.sum(F.when(~blank, F.col("n") - 1).otherwise(0)).alias("duplicate_id"),
+    )
+    problems = F.concat_ws(",", *[F.when(F.col(c) > 0, c) for c in kinds])
+    status = F.when(F.col("problems") == "", "accepted").otherwise("rejected")
+    return found.withColumn("problems", problems).withColumn("status", status)
+
+
+def admit(matrix: DataFrame, manifest: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of accepted matrices: a rejected one leaves no row behind, the others go on."""
+    return matrix.join(manifest.where(F.col("status") == "rejected"), list(keys), "left_anti")
+
+
 def to_long(matrix: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
     return matrix.unpivot(list(ids), list(features), "feature", "value")
 

@@ -292,7 +292,8 @@ def fit_final(
 ) -> tuple[DataFrame, DataFrame]:
     """One L2 model per fit at its chosen features and C: (models, held-out predictions).
 
-    Predictions are (fit, id, y_true, p). ``roles`` is (fit, id, y, is_train); ``state`` the training states of the fits.
+    Predictions are (fit, id, y_true, p). Where the design fails on non-convergence, a cohort with such a model
+    has no predictions and the other cohorts go on; its models stay, see ``fit_status``. ``roles`` is (fit, id, y, is_train); ``state`` the training states of the fits.
     """
     rows = roles.select(*fit, "id", "y", "is_train").join(pack_rows(cells), ["cohort", "id"])
     spec = pack_state(state, fit).join(orders, list(fit)).join(choice.select(*fit, "k_selected", "l2_C"), list(fit))
@@ -312,11 +313,18 @@ def fit_final(
     models = packed.drop("ids", "labels", "p")
     if large is not None:
         models, predictions = models.unionByName(big_models), predictions.unionByName(big_predictions)
-    if design.fail_on_nonconvergence and not models.where(~F.col("converged")).isEmpty():
-        raise RuntimeError("a final model did not converge within its iteration limit")
+    if design.fail_on_nonconvergence:
+        failed = models.where(~F.col("converged")).select("cohort").distinct()
+        predictions = predictions.join(failed, "cohort", "left_anti").select(predictions.columns)
     return models, predictions
 
 
+def fit_status(models: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Final models per group, how many missed their iteration limit, and whether the group failed."""
+    counted = models.groupBy(*groups).agg(F.count(F.lit(1)).alias("fits"), F.count_if(~F.col("converged")).alias("unconverged"))
+    return counted.withColumn("status", F.when(F.col("unconverged") > 0, "failed").otherwise("ok"))
+
+
 def model_coefficients(models: DataFrame, order: DataFrame, fit: Sequence[str]) -> DataFrame:
     """(fit, feature, coef) of the features the model used."""
     pairs = F.explode(F.arrays_zip("features", "coef")).alias("f")

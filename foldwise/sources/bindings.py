@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.functions.scalars import digest, hash_uniform
+from foldwise.functions.scalars import clean_id, hash_uniform
 from foldwise.operators.rules import RULE_SCHEMA, resolve_rules
 from foldwise.operators.resample import OUTER_REPEATS, OUTER_SPLITS, holdout_splits, stratified_folds
 
@@ -175,6 +175,32 @@ def staging(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """The staged matrices dealt into batches by hash; half of the batches are sound, some hold samples twice."""
+    owner = clean_id("raw_id")
+    rows = staging(spark, folder).withColumn("batch", _digit("batch", owner))
+    unit = (F.col("cohort"), F.col("batch"))
+    sound = _digit("fault", *unit) > "7"
+    twice = (_digit("twin", *unit) == "0") & (_digit("again", owner) < "4")
+    return rows.select(
+        "cohort",
+        "batch",
+        "raw_id",
+        F.when(sound & (F.col("raw_label") == "unclear"), "0").otherwise(F.col("raw_label")).alias("raw_label"),
+        *[F.when(sound & F.col(p).isin("abc", "Infinity"), "NA").otherwise(F.col(p)).alias(p) for p in PADDED],
+        F.explode(F.when(twice, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    ).drop("copy")
+
+
+def arrival_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths as files could be named on arrival: unknown time points, numbers out of range, padded numbers."""
+    nation = F.col("c_nationkey")
+    stage = F.element_at(F.array(*map(F.lit, ("pre", "post1", "post2", "mid"))), (nation % 4 + 1).cast("int"))
+    stem = F.when(nation % 5 == 0, "Dataset0").otherwise("dataset")
+    path = F.concat(F.lit("in/"), "c_mktsegment", F.lit("/"), stem, (nation % 9).cast("string"), F.lit("_"), stage, F.lit(".csv"))
+    return table(spark, folder, "customer").select(path.alias("path")).distinct()
+
+
 # Rule tables of the bound cohorts (fixed configuration) ------------------------------------------
 
 def named_rules(spark: SparkSession) -> DataFrame:

@@ -14,6 +14,8 @@ from foldwise.session import checkpoint_folder
 
 # Fixed value: the name pattern of a cohort matrix.
 KEY_PATTERN = r"(dataset[0-9]+_(?:pre|post1|post2))(?:[./]|$)"
+# Fixed value: the first and last number of a data set.
+DATASET_NUMBERS = (1, 7)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -67,6 +69,20 @@ def key_inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataF
     return files.withColumn("cohort_key", key_of(F.col("path")))
 
 
+def key_problems(files: DataFrame, path: str = "path", numbers: tuple[int, int] = DATASET_NUMBERS) -> DataFrame:
+    """(path, cohort_key, problem) of files that can't be taken: unknown names, numbers out of range, keys with several files."""
+    key = F.regexp_replace(key_of(F.col(path)), "^dataset0+(?=[0-9])", "dataset")
+    keyed = files.select(F.col(path).alias("path"), key.alias("cohort_key"))
+    counts = keyed.where(F.col("cohort_key").isNotNull()).groupBy("cohort_key").agg(F.count(F.lit(1)).alias("n"))
+    number, _ = key_parts(F.col("cohort_key"))
+    problem = (
+        F.when(F.col("cohort_key").isNull(), "unknown_name")
+        .when(~number.between(*numbers), "number_out_of_range")
+        .when(F.col("n") > 1, "several_files_per_key")
+    )
+    return keyed.join(counts, "cohort_key", "left").select("path", "cohort_key", problem.alias("problem")).where("problem is not null")
+
+
 def read_settings(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON settings with a declared schema."""
     return spark.read.schema(schema).json(path, multiLine=True)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldwise.operators import checks, ingest, resample, rules
+from foldwise.plans import fitting
 from foldwise.sources import files
 
 
@@ -79,3 +80,40 @@ def test_holdout_quota(spark):
     plan = resample.holdout_splits(samples, ["cohort"], splits=4)
     test = plan.where("subset = 'test'").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).collect()
     assert {(r.n, r.p) for r in test} == {(8, 2)}
+
+
+def test_a_matrix_is_taken_whole_or_not_at_all(spark):
+    raw = spark.createDataFrame(
+        [
+            ("good", "1.0", "R", "1.5"), ("good", "2", "NR", "NA"), ("good", None, None, None),
+            ("token", "1", "R", "abc"), ("token", "2", "NR", "1"),
+            ("infinite", "1", "R", "Infinity"), ("infinite", "2", "0", "1"),
+            ("label", "1", "maybe", "1"), ("label", "2", "0", "1"),
+            ("twin", "7", "R", "1"), ("twin", " 7.0 ", "R", "1"),
+            ("blank", " ", "R", "1"), ("blank", "2", "0", "1"),
+        ],
+        "m string, id string, y string, ` f ` string",
+    )
+    manifest = ingest.admission(raw, ["m"], "id", "y", [" f "])
+    found = {r.m: (r.status, r.problems, r.n_rows) for r in manifest.collect()}
+    assert found == {
+        "good": ("accepted", "", 2), "token": ("rejected", "non_numeric", 2), "infinite": ("rejected", "non_finite", 2),
+        "label": ("rejected", "unknown_label", 2), "twin": ("rejected", "duplicate_id", 2), "blank": ("rejected", "blank_id", 2),
+    }
+    taken = ingest.admit(ingest.ingest(raw, ["m"], "id", "y", [" f "]), manifest, ["m"])
+    assert sorted((r.m, r.id, r.y, r.f) for r in taken.collect()) == [("good", "1", 1, 1.5), ("good", "2", 0, None)]
+    assert ingest.admission(raw.limit(0), ["m"], "id", "y", [" f "]).isEmpty()
+
+
+def test_file_names_that_are_refused(spark):
+    names = ["dataset1_pre.csv", "x/Dataset01_pre.csv", "dataset99_pre.csv", "notes.csv", "dataset2_post1.csv"]
+    found = files.key_problems(spark.createDataFrame([(n,) for n in names], "path string"))
+    assert {r.path: r.problem for r in found.collect()} == {
+        "dataset1_pre.csv": "several_files_per_key", "x/Dataset01_pre.csv": "several_files_per_key",
+        "dataset99_pre.csv": "number_out_of_range", "notes.csv": "unknown_name",
+    }
+
+
+def test_a_failed_cohort_is_reported(spark):
+    models = spark.createDataFrame([("a", True), ("a", False), ("b", True)], "cohort string, converged boolean")
+    assert sorted(tuple(r) for r in fitting.fit_status(models, ["cohort"]).collect()) == [("a", 2, 1, "failed"), ("b", 1, 0, "ok")]

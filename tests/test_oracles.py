@@ -15,7 +15,7 @@ import __spark_entry__ as entry
 QUICK = [
     "fold_assignment", "rare_label_folds", "holdout_assignment", "outer_fold_counts", "oof_discrimination",
     "roc_coordinates", "pr_coordinates", "calibration_bins", "recalibration_fits", "auc_bootstrap",
-    "ingest_text_matrices", "cell_problems", "feature_rules", "feature_manifest", "restoration_check",
+    "ingest_text_matrices", "ingest_admission", "admitted_matrices", "matrix_file_problems", "cell_problems", "feature_rules", "feature_manifest", "restoration_check",
     "one_se_choice", "selection_frequency", "pairwise_jaccard", "method_comparison", "omission_summaries",
     "signed_rank_test", "coverage_grid", "saved_predictions_vs_plan", "parameter_row_problems",
     "preprocessing_state", "standardized_holdout_cells", "knn_imputed_cells",
