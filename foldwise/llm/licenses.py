@@ -2,7 +2,8 @@
 
 A rule is a regular expression with a label, a keyword and a tier: exact identifiers and addresses come
 first, then notices, then names, then mere clues. A text is tried against a rule only if it contains
-the rule's keyword. Of all detections, one that lies inside another of the same or an earlier tier is
+one of the rule's keywords, with any blanks between a keyword's words; every branch of a pattern has a
+keyword in it. Of all detections, one that lies inside another of the same or an earlier tier is
 suppressed (equal spans: the earlier rule stays). Nothing is shuffled: a row carries its detections.
 
 Rules are written once for each family of licenses, as name, versions and address, and multiplied out
@@ -14,7 +15,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ FAMILIES = (
     ("lgpl", "LGPL", r"(?:gnu )?(?:lesser|library) general public|gnu lgpl|lgpl", "lesser|library|lgpl", ("2.0", "2.1", "3.0"), r"gnu\.org/(?:licenses|copyleft)/(?:lgpl|lesser)"),
     ("agpl", "AGPL", r"(?:gnu )?affero general public|gnu agpl|agpl", "affero|agpl", ("1.0", "3.0"), r"gnu\.org/licenses/agpl"),
     ("gfdl", "GFDL", r"gnu free documentation|gfdl", "free documentation|gfdl", ("1.1", "1.2", "1.3"), r"gnu\.org/licenses/fdl"),
-    ("mit", "MIT", r"mit|expat", "mit", (), r"opensource\.org/licenses/mit"),
+    ("mit", "MIT", r"mit|expat", "mit|expat", (), r"opensource\.org/licenses/mit"),
     ("bsd-2-clause", "BSD-2-Clause", r"(?:simplified|freebsd|2-clause) bsd|bsd 2-clause", "bsd", (), r"opensource\.org/licenses/bsd-2-clause"),
     ("bsd-3-clause", "BSD-3-Clause", r"(?:new|revised|modified|3-clause) bsd|bsd 3-clause", "bsd", (), r"opensource\.org/licenses/bsd-3-clause"),
     ("bsd-4-clause", "BSD-4-Clause", r"(?:original|4-clause) bsd|bsd 4-clause", "bsd", (), None),
@@ -83,7 +84,7 @@ SINGLE = (
     ("warranty-disclaimer", r"provided ['\"]?as is['\"]?,? without (?:any )?warranty", "warranty", 3),
     ("reserved", r"all rights reserved", "reserved", 3),
     ("copyright", r"copyright (?:\(c\)|©)? ?(?:19|20)\d\d(?: ?[-,] ?(?:19|20)?\d\d)*", "copyright", 3),
-    ("copyright", r"(?:\(c\)|©) ?(?:19|20)\d\d", "20", 3),
+    ("copyright", r"(?:\(c\)|©) ?(?:19|20)\d\d", "(c)|©", 3),
     ("copyright", r"copyright", "copyright", 3),
     ("license-statement", r"(?:licensed|released|distributed|published) under", "under", 3),
     ("license-statement", r"see (?:the )?licen[cs]e(?: file)?", "licen", 3),
@@ -138,13 +139,24 @@ BASE = f"(?i)(?<![{W}])(?:" + "|".join(_phrase(p) for p, _ in PHRASES) + f")(?![
 DETECTION = "array<struct<start:int,stop:int,tier:int,rule:int,label:string>>"
 
 
+def _opened(keyword: str, lower: Column) -> Column:
+    """Whether one of the keywords occurs, with any blanks between its words as in the patterns."""
+
+    def has(phrase: str) -> Column:
+        words = phrase.split()
+        every = reduce(and_, [lower.contains(w) for w in words])
+        return every & lower.rlike(r"\s+".join(words)) if len(words) > 1 else every
+
+    return reduce(or_, [has(x) for x in keyword.split("|")])
+
+
 def _detections(text: Column, lower: Column) -> Column:
     """All detections of the rules whose keyword occurs."""
     groups: dict[str, list[dict]] = {}
     for j, r in enumerate(rules()):
         groups.setdefault(r.keyword, []).append({"pattern": _bounded(r.pattern), "label": r.label, "tier": r.tier, "rule": j})
     table = F.from_json(F.lit(json.dumps(list(groups.values()))), "array<array<struct<pattern:string,label:string,tier:int,rule:int>>>")
-    opened = F.array_compact(F.array(*[F.when(reduce(or_, [lower.contains(x) for x in k.split("|")]), F.lit(j + 1)) for j, k in enumerate(groups)]))
+    opened = F.array_compact(F.array(*[F.when(_opened(k, lower), F.lit(j + 1)) for j, k in enumerate(groups)]))
     tried = F.flatten(F.transform(opened, lambda j: F.element_at(table, j)))
 
     def places(r: Column) -> Column:
