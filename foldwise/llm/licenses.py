@@ -74,7 +74,8 @@ FAMILIES = (
 SINGLE = (
     ("mit", r"permission is hereby granted, free of charge, to any person", "hereby granted", 1),
     ("isc", r"permission to use, copy, modify, and/or distribute this software", "permission to use", 1),
-    ("bsd-3-clause", r"neither the name of [^.\n]{1,80} may be used to endorse", "endorse", 1),
+    # The holder's name has any length and lines; of several beginnings the last before the end counts, and runs of blanks are read once.
+    ("bsd-3-clause", r"neither the name of +(?s:(?!neither the name of).)+?(?<!\s) may be used to endorse", "endorse", 1),
     ("bsd", r"redistribution and use in source and binary forms", "redistribution", 2),
     ("apache-2.0", r"you may not use this file except in compliance with the license", "in compliance with the license", 1),
     ("gpl", r"this program is free software[;:,] you can redistribute it", "free software", 2),

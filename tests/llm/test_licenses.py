@@ -66,3 +66,24 @@ def test_wrapped_notices(spark):
     }
     got = {r.text: set(r.license.labels.split(",")) for r in licenses.scan(spark.createDataFrame([(t,) for t in said], "text string")).collect()}
     assert {t: x for t, x in said.items() if x not in got[t]} == {}
+
+
+def test_bsd_clause_of_any_layout(spark):
+    begin, end = "Neither the name of", "may be used to endorse"
+    said = {
+        f"{begin} the Foo nor the names of its\n contributors {end} or promote": True,
+        f"{begin} Foo Inc. nor its contributors {end}": True,
+        f" * {begin} the\n * {'very long ' * 40}holder, e.g. Foo Inc.,\n *   nor others\n {end}": True,
+        f"{begin} Foo {end}": True,
+        f"{begin} " + "x. " * 30000 + end: True,
+        f"{begin}" + " \n" * 30000: False,
+        f"{begin} " * 20000 + "endorse": False,
+        f"{end}. {begin} Foo": False,
+    }
+    got = {r.text: r.license for r in licenses.scan(spark.createDataFrame([(t,) for t in said], "text string")).collect()}
+    assert {t: "bsd-3-clause" in x.labels.split(",") for t, x in got.items()} == said
+    assert all(x.score == 0.9 and x.detections[0].stop == len(t) - len(t.partition(end)[2]) for t, x in got.items() if said[t])
+    # Of two beginnings the one next to the end counts: a notice between other clauses keeps its label.
+    two = f"{begin} Foo shall be named. Released under the MIT License. {begin} Bar Inc. {end} this"
+    (row,) = licenses.scan(spark.createDataFrame([(two,)], "text string")).collect()
+    assert {"mit", "bsd-3-clause"} <= set(row.license.labels.split(","))
