@@ -8,6 +8,7 @@ What is left gives the true type (the segment at byte 0) and the segments to car
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 
@@ -19,6 +20,9 @@ from foldwise.llm.words import session_limits
 
 SEGMENTS = "array<struct<kind:string,start:bigint,stop:bigint>>"
 UNKNOWN = "application/octet-stream"
+#: The end of a PDF revision, and what its number points to.
+REVISION = re.compile(rb"startxref\s+(\d{1,12})\s+%%EOF")
+TABLE = re.compile(rb"\s*(?:xref\b|\d+\s+\d+\s+obj\b)")
 
 
 def _u32(b: bytes, at: int, order: str = "<") -> int:
@@ -94,8 +98,19 @@ def bmp_end(b: bytes, at: int) -> int:
 
 
 def pdf_end(b: bytes, at: int) -> int:
+    """Up to the last revision whose startxref leads to a table or an object of this file; without one, the first end mark.
+
+    A revision's table comes after the revision before it, so a second file that follows is not one.
+    """
     end = b.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and b[at + 5 : at + 6].isdigit() else -1
+    if end < 0 or not b[at + 5 : at + 6].isdigit():
+        return -1
+    stop, after = end + 5, at
+    for mark in REVISION.finditer(b, at):
+        place = at + int(mark[1])
+        if after <= place < mark.start() and place > at and TABLE.match(b, place):
+            stop = after = mark.end()
+    return stop
 
 
 def gzip_end(b: bytes, at: int) -> int:
@@ -111,10 +126,14 @@ def gzip_end(b: bytes, at: int) -> int:
 
 
 def zip_end(b: bytes, at: int) -> int:
+    """The first end record whose sizes agree; those of stored archives do not."""
     end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b) or _u32(b, end + 12) + _u32(b, end + 16) != end - at:
-        return -1
-    return end + 22 + struct.unpack_from("<H", b, end + 20)[0]
+    while 0 <= end <= len(b) - 22:
+        stop = end + 22 + struct.unpack_from("<H", b, end + 20)[0]
+        if stop <= len(b) and _u32(b, end + 12) + _u32(b, end + 16) == end - at:
+            return stop
+        end = b.find(b"PK\x05\x06", end + 1)
+    return -1
 
 
 def ogg_end(b: bytes, at: int) -> int:
