@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.llm.blocks import BLOCK_BYTES, read_blocks, record, shard_count, source
-from foldwise.llm.words import SPACED, SPREAD, U64, Words, _powers, mix, pack, split_words, squeeze, unpack, unsqueeze
+from foldwise.llm.words import SPACED, U64, Words, pack, split_words, squeeze, unpack, unsqueeze
 from foldwise.session import settle
 
 #: Characters below this are classed by table; both sides agree on all of them.
@@ -57,8 +57,9 @@ def _tokenizers(definition: str):
 
 
 def _word_spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points and word spans of normalised text whose characters are all in the table."""
-    point = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    """Code points as bytes, and word spans, of normalised text whose characters are all in the table."""
+    wide = text.encode("utf-32-le")
+    point = np.frombuffer(wide, np.uint32)
     kind = _classes()[point]
     cut = np.ones(len(point) + 1, bool)
     cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
@@ -75,14 +76,7 @@ def _word_spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.flatnonzero(cut)
     start, end = edge[:-1], edge[1:]
     word = kind[start] != SPACE
-    return point, start[word], end[word]
-
-
-def _names(point: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    power, inverse = _powers(1 << max(20, len(point).bit_length()))
-    total = np.zeros(len(point) + 1, U64)
-    np.cumsum((point.astype(U64) + U64(1)) * power[: len(point)], out=total[1:])
-    return mix(((total[end] - total[start]) * inverse[start]) ^ ((end - start).astype(U64) * SPREAD))
+    return wide, start[word], end[word]
 
 
 def _odd_words(text: str, definition: str) -> list[str]:
@@ -102,7 +96,6 @@ def split_block(texts: list, definition: str) -> tuple[list[str], np.ndarray, np
     """(distinct words, index of each word in text order, words per text)."""
     special = _tokenizers(definition)[2]
     table: dict[str, int] = {}
-    seen: dict[int, int] = {}
     order, sizes = [], np.zeros(len(texts), np.int64)
     plain, plain_at, size = [], [], 0
 
@@ -111,14 +104,10 @@ def split_block(texts: list, definition: str) -> tuple[list[str], np.ndarray, np
         if not plain:
             return
         text = "\n".join(plain)
-        point, start, end = _word_spans(text)
-        names, where, which = np.unique(_names(point, start, end), return_index=True, return_inverse=True)
-        local = np.empty(len(names), np.int64)
-        for j, (name, a, b) in enumerate(zip(names.tolist(), start[where].tolist(), end[where].tolist())):
-            known = seen.get(name)
-            if known is None:
-                known = seen[name] = table.setdefault(text[a:b], len(table))
-            local[j] = known
+        wide, start, end = _word_spans(text)
+        where, which = Words(wide, 4 * start, 4 * end, np.zeros(1, np.int64)).distinct
+        spelled = [text[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())]
+        local = np.array([table.setdefault(w, len(table)) for w in spelled], np.int64)
         stop = np.cumsum([len(t) + 1 for t in plain])
         edge = np.searchsorted(start, stop)
         flat = local[which]
@@ -180,6 +169,14 @@ def word_names(words: list[bytes]) -> np.ndarray:
     return parts.names if len(words) else np.zeros(0, U64)
 
 
+def by_name(which: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The same sequence over the same distinct words, these in the order of their names."""
+    order = np.argsort(word_names(words), kind="stable")
+    back = np.empty(len(words), np.int64)
+    back[order] = np.arange(len(words))
+    return back[which], [words[i] for i in order.tolist()]
+
+
 def shard_edges(names: np.ndarray, shards: int) -> list[int]:
     """Where each shard begins in ascending names."""
     return np.searchsorted((((names >> U64(32)) * U64(shards)) >> U64(32)).astype(np.int64), np.arange(shards + 1)).tolist()
@@ -189,12 +186,9 @@ def _split(definition, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in read_blocks(batches, block_bytes):
             words, which, sizes = split_block(rows.texts, definition.value)
-            raw = [w.encode() for w in words]
-            by_name = np.argsort(word_names(raw), kind="stable")
-            back = np.empty(len(raw), np.int64)
-            back[by_name] = np.arange(len(raw))
-            seq, order = ranked(back[which], len(raw))
-            yield record(SPLIT, [{"block": block, "ids": pack(rows.ids), "known": pack(rows.known.astype(np.uint8)), "sizes": pack(sizes), "words": joined([raw[i] for i in by_name.tolist()]), "order": order, "seq": seq, "n_words": len(raw)}])
+            which, raw = by_name(which, [w.encode() for w in words])
+            seq, order = ranked(which, len(raw))
+            yield record(SPLIT, [{"block": block, "ids": pack(rows.ids), "known": pack(rows.known.astype(np.uint8)), "sizes": pack(sizes), "words": joined(raw), "order": order, "seq": seq, "n_words": len(raw)}])
 
     return run
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.llm.blocks import BLOCK_BYTES, read_blocks, record, shard_count
-from foldwise.llm.bpe import ddl, joined, listed, ranked, shard_edges, word_names
+from foldwise.llm.bpe import by_name, ddl, joined, listed, ranked, shard_edges, word_names
 from foldwise.llm.words import SPACED, SPREAD, U64, chunks, mix, pack, pack_sorted, session_limits, split_words, unpack, unpack_sorted
 from foldwise.session import settle
 
@@ -54,22 +54,20 @@ def _index(block_bytes: int):
         for block, rows in read_blocks(batches, block_bytes):
             texts = [(t or b"").lower() for t in rows.texts]
             train = np.array([r == b"1" for r in rows.rest], bool)
-            names, spelled, sizes = [], {}, np.zeros(len(texts), np.int64)
+            found, table, sizes = [], {}, np.zeros(len(texts), np.int64)
             for x, y in chunks(texts):
                 words = split_words(texts[x:y], SPACED)
                 sizes[x:y] = np.diff(words.first)
                 if len(words):
-                    own, at = np.unique(words.names, return_index=True)
-                    names.append(words.names)
-                    spelled.update((n, words.word(i)) for n, i in zip(own.tolist(), at.tolist()) if n not in spelled)
-            flat = np.concatenate(names) if names else np.zeros(0, U64)
-            distinct, which = np.unique(flat, return_inverse=True)
-            counts = np.bincount(which[np.repeat(train, sizes)], minlength=len(distinct)).astype(np.uint32)
-            seq, order = ranked(which, len(distinct))
+                    at, which = words.distinct
+                    found.append(np.array([table.setdefault(words.word(i), len(table)) for i in at.tolist()], np.int64)[which])
+            which, spelled = by_name(np.concatenate(found) if found else np.zeros(0, np.int64), list(table))
+            counts = np.bincount(which[np.repeat(train, sizes)], minlength=len(spelled)).astype(np.uint32)
+            seq, order = ranked(which, len(spelled))
             yield record(BLOCKS, [{
                 "block": block, "ids": pack(rows.ids), "known": pack(rows.known.astype(np.uint8)), "trained": pack(train.astype(np.uint8)),
-                "sizes": pack(sizes), "words": joined([spelled[n] for n in distinct.tolist()]), "counts": pack(counts), "order": order, "seq": seq,
-                "n_words": len(distinct), "n_tokens": int(counts.sum()), "n_trained": int(train.sum()),
+                "sizes": pack(sizes), "words": joined(spelled), "counts": pack(counts), "order": order, "seq": seq,
+                "n_words": len(spelled), "n_tokens": int(counts.sum()), "n_trained": int(train.sum()),
             }])
 
     return run

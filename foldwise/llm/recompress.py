@@ -127,8 +127,9 @@ def representatives(words: Words, window: int = WINDOW, rounds: int = ROUNDS) ->
 
 
 def window_names(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits for every window, as 64 and 32."""
-    return gram_names(words.names, window), (gram_names(words.names, window, seed=0x5EED) >> U64(32)).astype(np.uint32)
+    """96 bits for every window, as 64 and 32; the two parts start from independent names of the words."""
+    other = words.pieces.names(words.start, words.end, seed=0x5EED)
+    return gram_names(words.names, window), (gram_names(other, window, seed=0x5EED) >> U64(32)).astype(np.uint32)
 
 
 SYMBOLS = pa.schema([("block", pa.int64())] + [(c.split()[0], pa.binary()) for c in TEXTS.split(", ")] + [("symbols", pa.binary()), ("several", pa.binary()), ("n_symbols", pa.int64()), ("n_words", pa.int64()), ("run_start", pa.binary()), ("run_symbol", pa.binary())])

@@ -6,6 +6,7 @@ import functools
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 import zstandard
 
 from foldwise.session import ship_package
@@ -57,6 +58,49 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return table(STEP), table(pow(STEP, -1, 1 << 64))
 
 
+#: Spans up to this many bytes are read eight bytes at a time by numpy, longer ones one by one.
+SHORT_BYTES = 64
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+class Pieces:
+    """Byte spans of one buffer, read eight bytes at a time."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.eight = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=data + bytes(8), strides=(1,))
+
+    def names(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each span. A bijection of state and piece takes in one piece after the other."""
+        size = end - start
+        out = mix(size.astype(U64) * SPREAD + U64(seed))
+        alive = np.flatnonzero((size > 0) & (size <= SHORT_BYTES))
+        at, left = start[alive], size[alive]
+        while len(alive):
+            out[alive] = mix(out[alive] ^ (self.eight[at] & _FIRST_BYTES[np.minimum(left, 8)]))
+            more = left > 8
+            alive, at, left = alive[more], at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(size > SHORT_BYTES).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[start[i] : end[i]], seed)
+        return out
+
+    def equal(self, start: np.ndarray, end: np.ndarray, start2: np.ndarray, end2: np.ndarray) -> bool:
+        """Whether each span of the first list holds the bytes of the one at its place in the second."""
+        size = end - start
+        if not np.array_equal(size, end2 - start2):
+            return False
+        alive = np.flatnonzero((size <= SHORT_BYTES) & (start != start2))
+        a, b, left = start[alive], start2[alive], size[alive]
+        while len(a):
+            if ((self.eight[a] ^ self.eight[b]) & _FIRST_BYTES[np.minimum(left, 8)]).any():
+                return False
+            more = left > 8
+            a, b, left = a[more] + 8, b[more] + 8, left[more] - 8
+        return all(
+            self.data[start[i] : end[i]] == self.data[start2[i] : end2[i]] for i in np.flatnonzero((size > SHORT_BYTES) & (start != start2)).tolist()
+        )
+
+
 @dataclass
 class Words:
     """The words of several texts, in order: byte spans in ``data``, and where each text's words begin."""
@@ -78,16 +122,24 @@ class Words:
         """For each word, one past the last word of its text."""
         return self.first[1:][self.text_of]
 
+    @functools.cached_property
+    def pieces(self) -> Pieces:
+        return Pieces(self.data)
+
     @functools.cached_property
     def names(self) -> np.ndarray:
         """A 64-bit name of each word, from its bytes alone."""
-        size = 1 << max(20, len(self.data).bit_length())
-        power, inverse = _powers(size)
-        raw = np.frombuffer(self.data, np.uint8)
-        total = np.zeros(len(raw) + 1, U64)
-        np.cumsum((raw.astype(U64) + U64(1)) * power[: len(raw)], out=total[1:])
-        value = (total[self.end] - total[self.start]) * inverse[self.start]
-        return mix(value ^ ((self.end - self.start).astype(U64) * SPREAD))
+        return self.pieces.names(self.start, self.end)
+
+    @functools.cached_property
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(a place of each distinct word, which distinct word each word is). Names bring words together, bytes decide."""
+        _, at, which = np.unique(self.names, return_index=True, return_inverse=True)
+        if not self.pieces.equal(self.start, self.end, self.start[at][which], self.end[at][which]):
+            table: dict[bytes, int] = {}
+            which = np.array([table.setdefault(self.word(i), len(table)) for i in range(len(self))], np.int64)
+            at = np.unique(which, return_index=True)[1]
+        return at, which
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]]

@@ -31,12 +31,19 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+#: Two words that a polynomial over their letters cannot tell apart modulo a power of two.
+MORSE = ["".join("ab"[(i.bit_count() + flip) % 2] for i in range(2048)) for flip in (0, 1)]
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(5)
     made = [(i, " ".join(rng.choices(VOCABULARY[: rng.choice([1, 2, 4, 6])], k=rng.randrange(70)))) for i in range(120)]
     made += [(1000, None), (1001, ""), (1002, " \n\t"), (None, made[3][1]), (1003, made[4][1]), (1003, made[4][1]), (1004, made[5][1])]
     made += [(1005, "word " * 40000), (1006, "all rights RESERVED, cc-by (c) 2020. " * 3), (1007, "x" * 70000), (1008, "it's ''s ÉÀ I'LL 12 <|endoftext|> ẹ̀ ΑΣ")]
+    # Such words side by side in one text, apart in several, and once only among texts that are not learned from.
+    made += [(1010 + j, f"q{j} " + " ".join(f"w{k}" for k in range(12)) + " " + MORSE[j % 2] + f" z{j}") for j in range(4)]
+    made += [(1020, " ".join(MORSE)), (1021, MORSE[0] + "é " + MORSE[1] + "é"), (1030, MORSE[0] + "x"), (1031, MORSE[1] + "x")]
     return made
 
 
