@@ -1,9 +1,9 @@
 """License scans by ordered signature rules, in Spark expressions only.
 
 A rule is a regular expression with a label, a keyword and a tier: exact identifiers and addresses come
-first, then notices, then names, then mere clues. A text is tried against a rule only if it contains
-one of the rule's keywords, with any blanks between a keyword's words; every branch of a pattern has a
-keyword in it. Of all detections, one that lies inside another of the same or an earlier tier is
+first, then notices, then names, then mere clues. A text is split into words once; it is tried against a
+rule only if all words of one of the rule's keywords are among them, alone or with a version behind them
+(``gplv2``); every branch of a pattern has a keyword in it. Of all detections, one that lies inside another of the same or an earlier tier is
 suppressed (equal spans: the earlier rule stays). Nothing is shuffled: a row carries its detections.
 
 Rules are written once for each family of licenses, as name, versions and address, and multiplied out
@@ -13,6 +13,7 @@ over the forms in which licenses are stated.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 #: Word characters of the base phrases; only A-Z count as upper case.
 W = r"0-9A-Za-z\x{80}-\x{10FFFF}"
 WORD = f"[{W}]+"
+#: All other characters one by one, which the pattern compiler turns into a table.
+BETWEEN = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 GAP = f"[^{W}]+"
 # Base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -54,7 +57,7 @@ FAMILIES = (
     ("ruby", "Ruby", r"ruby", "ruby", (), r"ruby-lang\.org/\S*license"),
     ("ofl", "OFL", r"sil open font|open font|ofl", "open font|ofl", ("1.0", "1.1"), r"scripts\.sil\.org/ofl"),
     ("unlicense", "Unlicense", r"unlicense", "unlicense", (), r"unlicense\.org"),
-    ("wtfpl", "WTFPL", r"wtfpl|do what the f\w+ you want to public", "wtfpl|what the f", (), r"wtfpl\.net"),
+    ("wtfpl", "WTFPL", r"wtfpl|do what the f\w+ you want to public", "wtfpl|what want public", (), r"wtfpl\.net"),
     ("odbl", "ODbL", r"open database|odbl", "open database|odbl", ("1.0",), r"opendatacommons\.org/licenses/odbl"),
     ("odc-by", "ODC-By", r"open data commons attribution|odc-by", "open data commons|odc-by", ("1.0",), r"opendatacommons\.org/licenses/by"),
     ("pddl", "PDDL", r"public domain dedication and license|pddl", "dedication|pddl", ("1.0",), r"opendatacommons\.org/licenses/pddl"),
@@ -73,11 +76,11 @@ FAMILIES = (
 # Label, pattern, keyword, tier of rules that stand alone.
 SINGLE = (
     ("mit", r"permission is hereby granted, free of charge, to any person", "hereby granted", 1),
-    ("isc", r"permission to use, copy, modify, and/or distribute this software", "permission to use", 1),
+    ("isc", r"permission to use, copy, modify, and/or distribute this software", "permission use", 1),
     # The holder's name has any length and lines; of several beginnings the last before the end counts, and runs of blanks are read once.
     ("bsd-3-clause", r"neither the name of +(?s:(?!neither the name of).)+?(?<!\s) may be used to endorse", "endorse", 1),
     ("bsd", r"redistribution and use in source and binary forms", "redistribution", 2),
-    ("apache-2.0", r"you may not use this file except in compliance with the license", "in compliance with the license", 1),
+    ("apache-2.0", r"you may not use this file except in compliance with the license", "compliance license", 1),
     ("gpl", r"this program is free software[;:,] you can redistribute it", "free software", 2),
     ("gpl", r"without even the implied warranty of merchantability", "merchantability", 3),
     ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", "public domain", 1),
@@ -85,14 +88,14 @@ SINGLE = (
     ("warranty-disclaimer", r"provided ['\"]?as is['\"]?,? without (?:any )?warranty", "warranty", 3),
     ("reserved", r"all rights reserved", "reserved", 3),
     ("copyright", r"copyright (?:\(c\)|©)? ?(?:19|20)\d\d(?: ?[-,] ?(?:19|20)?\d\d)*", "copyright", 3),
-    ("copyright", r"(?:\(c\)|©) ?(?:19|20)\d\d", "(c)|©", 3),
+    ("copyright", r"(?:\(c\)|©) ?(?:19|20)\d\d", "c|©", 3),
     ("copyright", r"copyright", "copyright", 3),
     ("license-statement", r"(?:licensed|released|distributed|published) under", "under", 3),
-    ("license-statement", r"see (?:the )?licen[cs]e(?: file)?", "licen", 3),
+    ("license-statement", r"see (?:the )?licen[cs]e(?: file)?", "license|licence", 3),
     ("proprietary", r"(?:confidential and )?proprietary(?: and confidential)?", "proprietary", 3),
-    ("proprietary", r"unauthori[sz]ed (?:copying|use|reproduction)", "unauthori", 3),
+    ("proprietary", r"unauthori[sz]ed (?:copying|use|reproduction)", "unauthorised|unauthorized", 3),
     ("creative-commons", r"creative commons", "creative commons", 3),
-    ("non-commercial", r"non-?commercial (?:use )?only", "commercial", 3),
+    ("non-commercial", r"non-?commercial (?:use )?only", "commercial|noncommercial", 3),
 )
 SCORES = (1.0, 0.9, 0.7, 0.4)
 
@@ -120,9 +123,9 @@ def rules() -> list[Rule]:
             if version and version.endswith(".0"):
                 tail = rf"[,( ]*(?:version |v\.? ?|-)?{version[:-2]}(?:[.]0)?(?![.]?[0-9])"
             spdx = f"{ident}-{version}" if version else ident
-            out.append(Rule(full, rf"spdx-license-identifier: ?{spdx}(?:-only|-or-later|[+])?", "spdx-license-identifier", 0))
-            out.append(Rule(full, rf"(?:licensed|released|distributed|published|available) under (?:{bare})?{tail}", keyword, 1))
-            out.append(Rule(full, rf"(?:{bare}){tail}", keyword, 2))
+            out.append(Rule(full, rf"spdx-license-identifier: ?{spdx}(?:-only|-or-later|[+])?", f"spdx license identifier {ident.split('-')[0].lower()}", 0))
+            out.append(Rule(full, rf"(?:licensed|released|distributed|published|available) under (?:{bare})?{tail}", _with(keyword, "under"), 1))
+            out.append(Rule(full, rf"(?:{bare}){tail}", _with(keyword, "license", "licence"), 2))
             if version:
                 out.append(Rule(full, rf"(?:{name}){tail}", keyword, 2))
             if address:
@@ -140,28 +143,49 @@ BASE = f"(?i)(?<![{W}])(?:" + "|".join(_phrase(p) for p, _ in PHRASES) + f")(?![
 DETECTION = "array<struct<start:int,stop:int,tier:int,rule:int,label:string>>"
 
 
-def _opened(keyword: str, lower: Column) -> Column:
-    """Whether one of the keywords occurs, with any blanks between its words as in the patterns."""
+def _forms(word: str) -> list[str]:
+    """A keyword's word as it may stand in a text: alone, or run together with a version."""
+    if word == "©":  # a word character here, so that a year may follow it
+        return [word, *(f"{word}{year}" for year in range(1900, 2100))]
+    return [word, *(f"{word}{v}{n}" for v in ("", "v", "version") for n in ("", *range(10)) if v or n != "")]
 
-    def has(phrase: str) -> Column:
-        words = phrase.split()
-        every = reduce(and_, [lower.contains(w) for w in words])
-        return every & lower.rlike(r"\s+".join(words)) if len(words) > 1 else every
 
-    return reduce(or_, [has(x) for x in keyword.split("|")])
+def _alternatives(keyword: str) -> list[list[str]]:
+    return [[w for w in re.split("[^0-9a-z©]+", phrase) if w and w != "by"] for phrase in keyword.split("|")]
 
 
-def _detections(text: Column, lower: Column) -> Column:
+def _with(keyword: str, *more: str) -> str:
+    """Every alternative of a keyword together with one of some further words."""
+    return "|".join(f"{k} {m}" for k in keyword.split("|") for m in more)
+
+
+def _opened(keyword: str, present: Column) -> Column:
+    """Whether all words of one of the keywords are present."""
+    return reduce(or_, [reduce(and_, [F.array_contains(present, w) for w in words]) for words in _alternatives(keyword)])
+
+
+def keyword_words(words: Column) -> Column:
+    """Those of a text's lower-case words that some gate asks for, without versions behind them too."""
+    asked = sorted({f for r in rules() for words in _alternatives(r.keyword) for w in words for f in _forms(w)})
+    bare = lambda w: F.regexp_replace(w, "(?<=^©).*$|(?:v|version)?[0-9]?$", "")
+    return F.array_distinct(F.flatten(F.transform(F.filter(words, lambda w: w.isin(asked)), lambda w: F.array(w, bare(w)))))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _detections(text: Column, present: Column) -> Column:
     """All detections of the rules whose keyword occurs."""
     groups: dict[str, list[dict]] = {}
     for j, r in enumerate(rules()):
         groups.setdefault(r.keyword, []).append({"pattern": _bounded(r.pattern), "label": r.label, "tier": r.tier, "rule": j})
     table = F.from_json(F.lit(json.dumps(list(groups.values()))), "array<array<struct<pattern:string,label:string,tier:int,rule:int>>>")
-    opened = F.array_compact(F.array(*[F.when(_opened(k, lower), F.lit(j + 1)) for j, k in enumerate(groups)]))
+    opened = F.array_compact(F.array(*[F.when(_opened(k, present), F.lit(j + 1)) for j, k in enumerate(groups)]))
     tried = F.flatten(F.transform(opened, lambda j: F.element_at(table, j)))
 
-    def places(r: Column) -> Column:
-        found = F.regexp_extract_all(text, r["pattern"], F.lit(0))
+    def cut(r: Column, found: Column) -> Column:
         between = F.slice(F.split(text, r["pattern"], -1), F.lit(1), F.size(found))
 
         def add(done: Column, x: Column) -> Column:
@@ -171,10 +195,13 @@ def _detections(text: Column, lower: Column) -> Column:
             return F.struct(stop.alias("at"), F.concat(done["out"], F.array(one)).alias("out"))
 
         zipped = F.zip_with(between, found, lambda a, b: F.struct(a.alias("between"), b.alias("found")))
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast(DETECTION).alias("out"))
+        begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
         return F.aggregate(zipped, begin, add, lambda done: done["out"])
 
-    return F.flatten(F.transform(tried, places))
+    none = F.array().cast(DETECTION)
+    found = lambda r: F.regexp_extract_all(text, r["pattern"], F.lit(0))
+    each = F.transform(tried, lambda r: let(found(r), lambda x: F.when(F.size(x) > 0, cut(r, x)).otherwise(none)))
+    return F.when(F.size(present) > 0, F.flatten(each)).otherwise(none)
 
 
 def _surviving(found: Column) -> Column:
@@ -210,11 +237,16 @@ def scan(docs: DataFrame, text_col: str = "text", into: str = "license") -> Data
     left out. A null text counts as empty: no words, no labels, score 0. Rows and other columns stay.
     """
     kept = docs.columns
-    text, lower = F.col("__text"), F.col("__lower")
-    rows = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__lower", F.lower("__text"))
-    gate = lower.contains("cc") | (lower.contains("public") & lower.contains("license")) | (lower.contains("rights") & lower.contains("reserved"))
+    text, words, present = F.col("__text"), F.col("__words"), F.col("__present")
+    rows = docs.select("*", F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    # Lower-casing turns letters into letters, so the words keep their number; empty ones stand at the ends only.
+    rows = rows.select("*", F.split(F.lower("__text"), BETWEEN, -1).alias("__words"))
+    outside = F.when(F.get(words, F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(words) > 1) & (F.element_at(words, -1) == ""), 1).otherwise(0)
+    rows = rows.select(*kept, "__text", (F.size(words) - outside).cast("bigint").alias("__n"), keyword_words(words).alias("__present"))
+    has = lambda *ws: reduce(and_, [F.array_contains(present, w) for w in ws])
+    gate = has("cc") | has("public", "license") | has("reserved")
     rows = rows.select(
-        *kept, "__text", _words(text).alias("__n"), _detections(text, lower).alias("__all"),
+        *kept, "__text", "__n", _detections(text, present).alias("__all"),
         F.when(gate, F.regexp_extract_all(text, F.lit(BASE), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("__base"),
     )
     some = F.size("__base") > 0
