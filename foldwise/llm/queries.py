@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, chat, decontaminate, langid, licenses, lm, media, quality, recompress, simhash
+from foldwise.llm import bpe, chat, decontaminate, langid, licenses, lm, media, quality, recompress, simhash, trie
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -88,10 +88,14 @@ def op10_recompression(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_simhash, op3_licenses, op4_language_model, op5_chat_rotation,
-        op6_quality, op7_bpe, op8_media, op9_language, op10_recompression,
+        op6_quality, op7_bpe, op8_media, op9_language, op10_recompression, op11_prefix_trie,
     )
 }
