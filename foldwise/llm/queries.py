@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, chat, decontaminate, langid, licenses, lm, media, quality, recompress, simhash, trie
+from foldwise.llm import bpe, chat, decontaminate, langid, licenses, lm, media, quality, recompress, simhash, spelling, trie
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -92,10 +92,15 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.conversation_trie(table(spark, folder, "conversations"))
 
 
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_simhash, op3_licenses, op4_language_model, op5_chat_rotation,
         op6_quality, op7_bpe, op8_media, op9_language, op10_recompression, op11_prefix_trie,
+        op13_spelling_variants,
     )
 }
