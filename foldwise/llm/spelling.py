@@ -288,10 +288,11 @@ def _verified(data: bytes, start, end, left: np.ndarray, right: np.ndarray) -> n
     out = np.zeros(len(left), bool)
     raw = np.frombuffer(data + bytes(SHORT + 2), np.uint8)
     size, other = end[left] - start[left], end[right] - start[right]
-    for i in np.flatnonzero(size > SHORT).tolist():
+    fit = (other == size) | (other == size + 1)
+    for i in np.flatnonzero(fit & (size > SHORT)).tolist():
         a, b = left[i], right[i]
         out[i] = one_change(data[start[a] : end[a]], data[start[b] : end[b]])
-    short = np.flatnonzero((size <= SHORT) & ((other == size) | (other == size + 1)))
+    short = np.flatnonzero(fit & (size <= SHORT))
     for at in range(0, len(short), 1 << 16):
         some = short[at : at + (1 << 16)]
         a, b, n, same = start[left[some]], start[right[some]], size[some], other[some] == size[some]
@@ -339,9 +340,8 @@ def near_pairs(words: list[str], lives: np.ndarray, searches: np.ndarray) -> tup
         at_leaf, how, wide = (np.repeat(v[x:y], count) for v in (leaf, spent, capped))
         half = size[search] // 2
         for longer in (0, 1):
-            fit = (how == 1) if longer else (how != 1)
-            if longer:
-                fit |= wide & (how == 0)
+            # Where a count is at its cap, a surplus or a deficit of that group does not show.
+            fit = (how == 1) | wide & (how == 0) if longer else (how != 1) | wide
             some = np.flatnonzero(fit)
             a, b, h = start[search[some]], end[search[some]], half[some]
             for side, names in ((0, pieces.names(a, a + h)), (1, pieces.names(a + h, b))):
