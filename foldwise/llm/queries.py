@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, chat, decontaminate, langid, licenses, lm, media, quality, recompress, simhash, spelling, trie
+from foldwise.llm import bpe, chat, decontaminate, langid, licenses, lm, media, personal, quality, recompress, simhash, spelling, trie
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -92,6 +92,13 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.conversation_trie(table(spark, folder, "conversations"))
 
 
+def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found, _ = personal.find(table(spark, folder, "documents"))
+    written = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(F.col("id").alias("doc_id"), *map(n, personal.BASE_KINDS), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
 
@@ -101,6 +108,6 @@ QUERIES = {
     for f in (
         op1_decontaminate, op2_simhash, op3_licenses, op4_language_model, op5_chat_rotation,
         op6_quality, op7_bpe, op8_media, op9_language, op10_recompression, op11_prefix_trie,
-        op13_spelling_variants,
+        op12_personal_data, op13_spelling_variants,
     )
 }
