@@ -29,8 +29,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "national_id", "name")
 LABELERS = ("form", "checksum", "gazetteer", "context", "edges")
 SURE = 0.9
-#: Prior count of personal data with a wrong checksum, and weight of a vote pattern that was not seen.
-WRONG_CHECKSUM, UNSEEN = 0.01, 0.1
+#: Share of personal data with a wrong checksum, which is set and not learned, and weight of a vote pattern that was not seen.
+WRONG_CHECKSUM, UNSEEN = 1e-4, 0.1
 RIDGE = 0.01
 AROUND = 40
 FOUND = "array<struct<kind:int,start:int,stop:int,base:boolean,pattern:int>>"
@@ -224,7 +224,6 @@ def agreement(casts: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[
     """
     p = 1 / (1 + np.exp(-casts.sum(axis=1).astype(float)))
     prior = np.repeat(np.array([[3.0, 2.0, 1.0], [1.0, 2.0, 3.0]])[:, None], casts.shape[1], axis=1)  # truth x labeler x vote
-    prior[1, LABELERS.index("checksum"), 0] = WRONG_CHECKSUM
     table = np.zeros((2, casts.shape[1], 3))
     for _ in range(rounds):
         share = np.array([(counts * (1 - p)).sum() + 1, (counts * p).sum() + 1])
@@ -232,6 +231,7 @@ def agreement(casts: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[
             for v in (-1, 0, 1):
                 table[truth, :, v + 1] = prior[truth, :, v + 1] + (weight[:, None] * (casts == v)).sum(axis=0)
         table /= table.sum(axis=2, keepdims=True)
+        table[1, LABELERS.index("checksum"), 0] = WRONG_CHECKSUM
         p = posterior(casts, share, table)
     return p, share, table
 
