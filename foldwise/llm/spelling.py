@@ -32,7 +32,7 @@ LEAST_LETTERS, LEAST_TIMES, RATIO, SPOILED = 7, 2, 10, 31
 #: Letter groups, one level of the trie each; every other letter belongs to the last one.
 LETTERS = ("e", "a", "t", "i", "o", "n", "s", "r", "h", "l", "cd", "mu", "fgp", "bwy", "jkqvxz", "")
 MOST_COUNT = 31
-BIN_WORDS, MOST_BINS = 20_000, 2_000
+BIN_WORDS, MOST_BINS = 5_000, 2_000
 TABLE_WORDS = 200_000
 FRONTIER = 1 << 19
 SHORT = 64
