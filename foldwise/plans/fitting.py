@@ -33,7 +33,8 @@ from foldwise.plans.taskside import fill_neighbors, matrix, schema_of, standardi
 from foldwise.session import settle
 
 # One task holds the rows of one fit: at most this many cells (about 400 MB as doubles). Larger
-# fits go to ``foldwise.plans.distributed``, which never gathers the rows of a fit.
+# fits go to ``foldwise.plans.distributed``, which never gathers the rows of a fit. Only the place of
+# the work differs: optimum, convergence and the unit of the iteration limits are the same.
 TASK_CELLS = 50_000_000
 STATE = ["impute_value", "mean", "sd", "used", "transform"]
 
@@ -83,11 +84,6 @@ def _split(df: DataFrame, large: DataFrame, fit: Sequence[str]) -> tuple[DataFra
     return df.join(large, list(fit), "left_anti"), df.join(large, list(fit), "left_semi")
 
 
-def _needs_impute_values(design: Design) -> None:
-    if design.imputation == "knn":
-        raise NotImplementedError("KNN imputation inside a fit needs the fit's rows in one task")
-
-
 # Task-side helpers -----------------------------------------------------------------------------------
 
 
@@ -211,10 +207,9 @@ def tune_grid(rows: DataFrame, states: DataFrame, fit: Sequence[str], design: De
     large = large_fits(rows, fit, keys)
     if large is None:
         return settle(_cogroup(rows, states, keys, task, schema))
-    _needs_impute_values(design)
     (rows, big_rows), (states, big_states) = _split(rows, large, fit), _split(states, large, fit)
     points = [(float(c), float(r), None) for c in design.en_c for r in design.en_l1]
-    big = distributed.resample_scores(big_rows, big_states, fit, points, False, EN_ITERATION_LIMIT)
+    big = distributed.resample_scores(big_rows, big_states, fit, points, False, EN_ITERATION_LIMIT, design.imputation == "knn")
     small = _cogroup(rows, states, keys, task, schema)
     return settle(small.unionByName(big.select(*small.columns)))
 
@@ -253,10 +248,9 @@ def size_scores(rows, states, orders, fit: Sequence[str], design: Design) -> Dat
     large = large_fits(rows, fit, keys)
     if large is None:
         return settle(_cogroup(rows, states, keys, task, schema))
-    _needs_impute_values(design)
     (rows, big_rows), (states, big_states) = _split(rows, large, fit), _split(states, large, fit)
     points = [(float(c), 0.0, k) for k in range(1, design.max_k + 1) for c in design.l2_c]
-    big = distributed.resample_scores(big_rows, big_states, fit, points, True, L2_ITERATION_LIMIT)
+    big = distributed.resample_scores(big_rows, big_states, fit, points, True, L2_ITERATION_LIMIT, design.imputation == "knn")
     ranked = orders.select(*fit, F.size("order").alias("_ranked"))
     big = big.join(ranked, list(fit)).where(F.col("k") <= F.col("_ranked"))
     small = _cogroup(rows, states, keys, task, schema)
@@ -301,10 +295,9 @@ def fit_final(
     held = "ids array<string>, labels array<int>, p array<double>"
     large = large_fits(rows, fit, fit)
     if large is not None:
-        _needs_impute_values(design)
         rows, big_rows = _split(settle(rows), large, fit)
         spec, big_spec = _split(settle(spec), large, fit)
-        big_models, big_predictions = distributed.final_models(big_rows, big_spec, fit, L2_ITERATION_LIMIT)
+        big_models, big_predictions = distributed.final_models(big_rows, big_spec, fit, L2_ITERATION_LIMIT, design.imputation == "knn")
     packed = settle(_cogroup(rows, spec, fit, _final_task(list(fit)), f"{schema}, {held}"))
     zipped = F.explode(F.arrays_zip("ids", "labels", "p")).alias("r")
     predictions = packed.select(*fit, zipped).select(

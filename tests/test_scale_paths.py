@@ -141,25 +141,60 @@ def test_knn_blocks(spark, monkeypatch):
         assert r.z == pytest.approx(z[train][near, j].mean() if near else 0.0)
 
 
-def test_distributed_fits_match_task_fits(spark, folder, monkeypatch):
+@pytest.fixture
+def one_cohort(spark, folder):
     from foldwise.catalog import fits
-    from foldwise.plans import fitting, validation
-    from foldwise.plans.design import PRIMARY
 
     cells, samples = fits.inputs(spark, folder)
-    keep = ["AUTOMOBILE", "BUILDING"]
-    cells, samples = (x.where(F.col("cohort").isin(keep)) for x in (cells, samples))
-    design = replace(
-        PRIMARY, outer_splits=2, outer_repeats=1, inner_repeats=1, inner_splits=2,
-        en_c=(0.01, 1), en_l1=(0, 0.5), l2_c=(0.01, 1), max_k=2,
-    )
-    a = validation.nested(cells, samples, design)
+    return (x.where(F.col("cohort") == "AUTOMOBILE") for x in (cells, samples))
+
+
+def force_distributed(monkeypatch):
+    from foldwise.plans import distributed, fitting
+
     monkeypatch.setattr(fitting, "TASK_CELLS", 1)
-    b = validation.nested(cells, samples, design)
-    keys = ["cohort", "repeat", "outer_fold", "inner_repeat", "inner_fold", "C", "l1_ratio"]
-    both = a.tuned.folds.toPandas().merge(b.tuned.folds.toPandas(), on=keys)
-    assert len(both) == a.tuned.folds.count()
-    assert np.allclose(both.auc_x, both.auc_y)
-    assert all(np.allclose(x, y, atol=1e-7, equal_nan=True) for x, y in zip(both.coef_x, both.coef_y))
-    p = a.predictions.toPandas().merge(b.predictions.toPandas(), on=["cohort", "repeat", "outer_fold", "id"])
-    assert len(p) == a.predictions.count() and np.allclose(p.p_x, p.p_y, atol=1e-7)
+    monkeypatch.setattr(distributed, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(distributed, "WAVE_BYTES", 12_000)
+
+
+def test_distributed_grid_matches_task_grid(one_cohort, monkeypatch):
+    from foldwise.plans import fitting, validation
+    from foldwise.plans.design import PRIMARY
+
+    cells, samples = one_cohort
+    design = replace(PRIMARY, outer_splits=2, outer_repeats=1, en_c=(0.1,), en_l1=(0, 0.5))
+    plan = validation.outer_plan(samples, design).withColumnsRenamed({"repeat": "inner_repeat", "outer_fold": "inner_fold"})
+    rows, states = fitting.prepare(cells, plan, ["cohort"], design)
+    a = fitting.tune_grid(rows, states, ["cohort"], design).toPandas()
+    force_distributed(monkeypatch)
+    b = fitting.tune_grid(rows, states, ["cohort"], design).toPandas()
+    both = a.merge(b, on=["cohort", "inner_repeat", "inner_fold", "C", "l1_ratio"])
+    assert len(both) == len(a) == len(b) == 4
+    assert np.allclose(both.auc_x, both.auc_y) and (both.converged_x == both.converged_y).all() and both.converged_x.all()
+    assert both.iterations_x.between(1, 200).all() and both.iterations_y.between(1, 200).all()
+    wide = lambda column: np.array([[np.nan if v is None else v for v in x] for x in column], float)
+    assert np.allclose(wide(both.coef_x), wide(both.coef_y), atol=1e-6, equal_nan=True)
+
+
+def test_distributed_final_models_match_with_neighbours(spark, one_cohort, monkeypatch):
+    """Neighbour imputation inside a large fit depends on the fold and on the features in use."""
+    from foldwise.plans import fitting, validation
+    from foldwise.plans.design import PRIMARY
+
+    cells, samples = one_cohort
+    cells = cells.withColumn("value", F.when(F.pmod(F.xxhash64("id", "feature"), F.lit(5)) > 0, F.col("value")))
+    design = replace(PRIMARY, outer_splits=2, outer_repeats=1, imputation="knn")
+    (names,) = [r.features for r in fitting.feature_order(cells).collect()]
+    ranking = spark.createDataFrame([("AUTOMOBILE", f, j + 1) for j, f in enumerate(names[::-1])], "cohort string, feature string, rank int")
+    choice = spark.createDataFrame([("AUTOMOBILE", 3, 0.1)], "cohort string, k_selected int, l2_C double")
+    a = validation.fixed_specification(cells, samples, ranking, choice, design)
+    ap, am = a.predictions.toPandas(), a.models.toPandas()
+    force_distributed(monkeypatch)
+    b = validation.fixed_specification(cells, samples, ranking, choice, design)
+    keys = ["cohort", "repeat", "outer_fold"]
+    p = ap.merge(b.predictions.toPandas(), on=[*keys, "id"])
+    assert len(p) == len(ap) and np.allclose(p.p_x, p.p_y, atol=1e-6) and (p.y_true_x == p.y_true_y).all()
+    m = am.merge(b.models.toPandas(), on=keys)
+    assert len(m) == len(am) == 2 and (m.converged_x == m.converged_y).all() and np.allclose(m.intercept_x, m.intercept_y, atol=1e-6)
+    wide = lambda column: np.array([[np.nan if v is None else v for v in x] for x in column], float)
+    assert np.allclose(wide(m.coef_x), wide(m.coef_y), atol=1e-6, equal_nan=True)

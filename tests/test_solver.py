@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from foldwise.plans import solver
+from foldwise.plans import quasi, solver
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +50,44 @@ def test_batch_equals_single(data):
     assert np.allclose(beta[1], alone[0], atol=1e-8)
 
 
+def test_quasi_newton_from_sums_reaches_the_same_optimum(data):
+    x, y = data
+    rng = np.random.default_rng(8)
+    x = np.column_stack([x, x[:, 0] + 0.1 * rng.normal(size=len(x))])  # nearly the same feature twice
+    points = [(c, r) for c in (1e-4, 0.01, 1, 30) for r in (0, 0.2, 0.95)]
+    c, l1 = (np.array([p[j] for p in points]) for j in (0, 1))
+    beta, done, passes = solver.fit_batch(x, y, c, l1, False, 20000)
+    own = quasi.Batch(c, l1, np.ones((len(c), x.shape[1]), bool), float(len(x)), False)
+    a, w, parts = np.column_stack([np.ones(len(x)), x]), solver.balanced(y), np.array_split(np.arange(len(x)), 7)
+    while own.open(500).any():
+        t = np.flatnonzero(own.open(500))
+        flat = np.zeros((len(c), 1 + 2 * a.shape[1]))
+        flat[t] = sum(quasi.sums(a[i], y[i].astype(float), w[i], own.trial[t]) for i in parts)
+        own.advance(flat[:, 0], flat[:, 1 : 1 + a.shape[1]], flat[:, 1 + a.shape[1] :], 500)
+    assert done.all() and own.done.all() and (passes >= 1).all()
+    assert np.allclose(beta, own.beta, atol=1e-6) and ((beta == 0) == (own.beta == 0)).all()
+    # Regressions of a batch may leave features out; those keep 0 and the others are fitted as if alone.
+    some = np.arange(x.shape[1]) < 3
+    own = quasi.Batch(np.array([1.0]), np.array([0.0]), some[None], float(len(x)), True)
+    while own.open(500).any():
+        flat = quasi.sums(a, y.astype(float), w, own.trial)
+        own.advance(flat[:, 0], flat[:, 1 : 1 + a.shape[1]], flat[:, 1 + a.shape[1] :], 500)
+    alone, _, _ = solver.fit_batch(x[:, :3], y, [1.0], [0.0], True, 1000)
+    assert np.allclose(own.beta[0, :4], alone[0], atol=1e-6) and (own.beta[0, 4:] == 0).all()
+
+
+def test_limit_counts_passes(data):
+    x, y = data
+    beta, done, passes = solver.fit_batch(x, y, [1.0], [0.5], False, 2)
+    assert not done.any() and passes.tolist() == [2]
+    own = quasi.Batch(np.array([1.0]), np.array([0.5]), np.ones((1, x.shape[1]), bool), float(len(x)), False)
+    a, w = np.column_stack([np.ones(len(x)), x]), solver.balanced(y)
+    while own.open(2).any():
+        flat = quasi.sums(a, y.astype(float), w, own.trial)
+        own.advance(flat[:, 0], flat[:, 1 : 1 + a.shape[1]], flat[:, 1 + a.shape[1] :], 2)
+    assert not own.done.any() and own.passes.tolist() == [2]
+
+
 def test_separable_data_converges():
     x = np.linspace(-1, 1, 30)[:, None]
     y = (x[:, 0] > 0).astype(int)
