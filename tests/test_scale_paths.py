@@ -131,6 +131,7 @@ def test_knn_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "k string, id string, feature string, z double, is_train boolean")
     whole = neighbors.knn_fill(df, ["k"]).toPandas()
     monkeypatch.setattr(neighbors, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(neighbors, "RARE_ROWS", 3)
     blocks = neighbors.knn_fill(df, ["k"]).toPandas()
     same(whole, blocks, ["id", "feature"])
     d = np.round(neighbors.nan_distances(z, z[train]), 9)
@@ -141,6 +142,37 @@ def test_knn_blocks(spark, monkeypatch):
         assert r.z == pytest.approx(z[train][near, j].mean() if near else 0.0)
 
 
+def test_few_pairs_of_blocks_are_opened(spark, monkeypatch):
+    """Clusters far apart, ties, a fit without donors of one feature, and rows without a common feature."""
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=(40, 3))
+    z = centre[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 3)) * 0.02
+    z[:30] = z[0]
+    z[rng.random(2000) < 0.1, 1] = np.nan
+    train = rng.random(2000) < 0.8
+    frame = pd.DataFrame({"id": [f"{i:04d}" for i in range(2000)], "is_train": train}).assign(**{f"f{j}": z[:, j] for j in range(3)})
+    odd = pd.DataFrame({"id": ["a", "b", "c"], "is_train": [True, True, False], "f0": [1.0, np.nan, np.nan], "f1": [np.nan, np.nan, np.nan], "f2": [np.nan, 2.0, 1.0]})
+    long = pd.concat([f.assign(k=k).melt(["k", "id", "is_train"], var_name="feature", value_name="z") for k, f in (("x", frame), ("odd", odd))])
+    df = spark.createDataFrame(long[["k", "id", "feature", "z", "is_train"]]).withColumn("z", F.when(~F.isnan("z"), F.col("z")))
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(neighbors, "RARE_ROWS", 10)
+    filled, opened, blocks = neighbors.search(df, ["k"])
+    d = np.round(neighbors.nan_distances(z, z[train]), 9)
+    got = filled.where("k = 'x'").toPandas()
+    assert len(got) == np.isnan(z).sum()
+    for r in got.itertuples():
+        i, j = int(r.id), int(r.feature[1])
+        pool = [t for t in np.argsort(d[i], kind="stable") if not np.isnan(z[train][t, j])][:5]
+        assert r.z == pytest.approx(z[train][pool, j].mean())
+    n = blocks.where("k = 'x'").groupBy("side").agg(F.count("n").alias("blocks"), F.sum("n").alias("rows")).toPandas().set_index("side")
+    pairs = opened.where("k = 'x'").agg(F.sum(F.size("rows"))).first()[0]
+    assert n.rows.receiver <= pairs < 0.2 * n.rows.receiver * n.blocks.donor
+    assert opened.distinct().count() == opened.count()
+    assert {(r.id, r.feature): r.z for r in filled.where("k = 'odd'").collect()} == {
+        ("a", "f1"): 0.0, ("a", "f2"): 0.0, ("b", "f0"): 0.0, ("b", "f1"): 0.0, ("c", "f0"): 0.0, ("c", "f1"): 0.0,
+    }
+
+
 @pytest.fixture
 def one_cohort(spark, folder):
     from foldwise.catalog import fits
