@@ -2,7 +2,7 @@
 
 A unit whose rows fit a task is resampled there, one task per chunk of draws. A larger unit is
 resampled relationally: draw weights, running sums and Newton passes over shuffled rows. Both ways
-use the same draws.
+use the same draws and the same limits, bounds and tolerances, so a draw fails in both or in neither.
 """
 
 from __future__ import annotations

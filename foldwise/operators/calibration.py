@@ -17,6 +17,8 @@ CALIBRATION_BINS = 10
 INTERCEPT_BOUND, SLOPE_BOUND, BOUND_TOL = 50.0, 25.0, 1e-5
 CONSTANT_LOGIT = 1e-12
 MAX_NEWTON, NEWTON_TOL, LOSS_TOL = 100, 1e-9, 1e-12
+# A fit whose last step is larger has not converged. Tables and resampling tasks share all of these limits.
+STILL = 1e-6
 STATE = ["_s1", "_s2", "a0", "a", "b", "a0_ok", "a_ok", "b_ok", "f0", "f"]
 # Newton steps chained in one job before the parameters are settled and tested.
 STEPS_PER_ROUND = 4
@@ -193,7 +195,7 @@ def recalibration(
             break
     ok1 = (F.col("_s1") == "ok") & (F.abs("a0") < INTERCEPT_BOUND)
     bounded = (F.abs("a") < SLOPE_BOUND - BOUND_TOL) & (F.abs("b") < SLOPE_BOUND - BOUND_TOL)
-    moving = F.col("step") > 1e-6
+    moving = F.col("step") > STILL
     s2 = (
         F.when(F.col("_s2") != "ok", F.col("_s2"))
         .when(~bounded, "fit_failed:parameter_bound_reached")

@@ -11,7 +11,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 
-CONSTANT_LOGIT, BOUND = 1e-12, 25.0
+from foldwise.operators.calibration import BOUND_TOL, CONSTANT_LOGIT, INTERCEPT_BOUND, LOSS_TOL, MAX_NEWTON, NEWTON_TOL, SLOPE_BOUND, STILL
 
 
 def draw_weights(numbers, labels, purpose: str, strata, chunks) -> np.ndarray:
@@ -79,7 +79,10 @@ def summary(values, positive, negative) -> dict[str, np.ndarray]:
 
 
 def recalibrate(z, positive, negative):
-    """Newton for the intercept and for intercept + slope of every draw; NaN when not identifiable."""
+    """Newton for the intercept and for intercept + slope of every draw; NaN when not identifiable.
+
+    Limits, bounds and tolerances are those of ``calibration.recalibration``.
+    """
     m, draws = positive + negative, len(positive)
     both = (positive.sum(1) > 0) & (negative.sum(1) > 0)
     low = lambda c: np.where(c > 0, z, np.inf).min(1)
@@ -89,23 +92,24 @@ def recalibrate(z, positive, negative):
     with np.errstate(divide="ignore", invalid="ignore"):
         start = np.where(both, np.log(positive.sum(1) / negative.sum(1)), 0.0)
     ones = np.ones(len(z))
-    shift, _ = _newton(ones[None], z, positive, m, np.zeros((draws, 1)), both)
-    line, steady = _newton(np.stack([ones, z]), 0.0, positive, m, np.column_stack([start, np.zeros(draws)]), free)
-    inside = free & steady & (np.abs(line) < BOUND - 1e-5).all(1)
-    return np.where(both, shift[:, 0], np.nan), np.where(inside, line[:, 1], np.nan)
+    shift, step0 = _newton(ones[None], z, positive, m, np.zeros((draws, 1)), both)
+    line, step = _newton(np.stack([ones, z]), 0.0, positive, m, np.column_stack([start, np.zeros(draws)]), free)
+    inside = free & (np.maximum(step0, step) <= STILL) & (np.abs(line) < SLOPE_BOUND - BOUND_TOL).all(1)
+    return np.where(both & (np.abs(shift[:, 0]) < INTERCEPT_BOUND), shift[:, 0], np.nan), np.where(inside, line[:, 1], np.nan)
 
 
 def _newton(design, offset, positive, m, beta, wanted):
-    """Logistic fits of every draw (rows of ``beta``) with step halving: (beta, converged)."""
+    """Logistic fits of every draw (rows of ``beta``) with step halving: (beta, last change)."""
     accepted, loss, moving = beta.copy(), np.full(len(beta), np.inf), wanted.copy()
-    for _ in range(200):
+    last = np.zeros(len(beta))
+    for _ in range(MAX_NEWTON):
         t = np.flatnonzero(moving)
         if not len(t):
             break
         eta, counts, hits = beta[t] @ design + offset, m[t], positive[t]
         q = _expit(eta)
         now = (counts * np.logaddexp(0.0, eta) - hits * eta).sum(1)
-        worse = now > loss[t] + 1e-12 * (1 + np.abs(now))
+        worse = now > loss[t] + LOSS_TOL * (1 + np.abs(now))
         gradient = (counts * q - hits) @ design.T
         curve = counts * q * (1 - q)
         hessian = np.stack([np.stack([curve @ (a * b) for b in design], -1) for a in design], -2)
@@ -117,8 +121,9 @@ def _newton(design, offset, positive, m, beta, wanted):
         loss[t] = np.where(worse, loss[t], now)
         change = np.abs(target - beta[t]).max(1)
         beta[t] = target
-        moving[t] = (change >= 1e-9) & ((np.abs(accepted[t]) <= 2 * BOUND).all(1) | worse)
-    return beta, ~moving
+        last[t] = change
+        moving[t] = (change >= NEWTON_TOL) & ((np.abs(accepted[t]) <= 2 * SLOPE_BOUND).all(1) | worse)
+    return beta, last
 
 
 def _expit(x):

@@ -106,6 +106,20 @@ def test_bootstrap_paths_agree(scores, monkeypatch):
     assert (a.calibration_slope.astype(float).between(-1, 1)).all()
 
 
+def test_failing_draws_fail_on_both_paths(spark, monkeypatch):
+    """Few rows: many draws have one class, are separated, or have a slope near the bound."""
+    rng = np.random.default_rng(2)
+    frame = pd.DataFrame({"u": "few", "id": [str(i) for i in range(14)], "y_true": [0] * 8 + [1] * 6, "p": np.append(rng.uniform(0.2, 0.52, 8), rng.uniform(0.48, 0.8, 6)).round(3)})
+    steep = pd.DataFrame({"u": "steep", "id": [str(i) for i in range(30)], "y_true": [0, 1] * 15, "p": 0.5 + 0.01 * np.repeat([-1, 1], 15) + 0.001 * np.arange(30) / 30})
+    df = spark.createDataFrame(pd.concat([frame, steep]))
+    in_task = bootstrap.metric_draws(df, ["u"], "p", 24).toPandas()
+    monkeypatch.setattr(bootstrap, "TASK_ROWS", 1)
+    relational = bootstrap.metric_draws(df, ["u"], "p", 24).toPandas()
+    a, b = (x.sort_values(["u", "draw"]).set_index(["u", "draw"])[sorted(bootstrap.SUMMARY_METRICS)].astype(float) for x in (in_task, relational))
+    assert (a.isna() == b.isna()).all().all() and 0 < a.calibration_slope.isna().sum() < len(a)
+    assert np.allclose(a, b, atol=1e-5, equal_nan=True)
+
+
 def test_recalibration_optimum(scores):
     """Badly scaled scores: the fits still reach the stationary point."""
     frame, df = scores
