@@ -132,7 +132,7 @@ def find_contamination(
 ) -> DataFrame:
     """Add ``into``: n_words, n_hit, merged spans of hit words, and the sorted ids of the items found.
 
-    Every row and column stays. A null text has no words; an item without words never occurs; an item
+    Every row and column stays, but for one named as ``into``, which is replaced. A null text has no words; an item without words never occurs; an item
     with a null id marks words but isn't listed; items that share an id count once. An empty benchmark
     or an empty table gives no hits. Two block passes or one give the same result.
     """

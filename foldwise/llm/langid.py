@@ -156,7 +156,10 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", into: str = "language") -> DataFrame:
-    """Add ``into``: lang_pred and score. Null texts and texts without a letter are ``und`` with score 0."""
+    """Add ``into``: lang_pred and score. Null texts and texts without a letter are ``und`` with score 0.
+
+    Rows and other columns stay; a column named as ``into`` is replaced.
+    """
     session_limits(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -172,7 +175,7 @@ def is_training(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 != 2
 
 
-def identify(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """Fit on the training share of the labelled rows, then add lang_pred and score to all."""
+def identify(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", into: str = "language") -> DataFrame:
+    """Fit on the training share of the labelled rows, then add ``into`` (lang_pred and score) to all."""
     model = fit(docs.filter(is_training(id_col)), text_col, label_col, id_col)
-    return with_language(docs, model, text_col)
+    return with_language(docs, model, text_col, into)

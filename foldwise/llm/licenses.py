@@ -234,9 +234,10 @@ def scan(docs: DataFrame, text_col: str = "text", into: str = "license") -> Data
     """Add ``into``: n_words, n_base, first_word, last_word, base_labels, labels, score and the detections.
 
     Detections are character spans of the text (start, stop, tier, rule number, label), suppressed ones
-    left out. A null text counts as empty: no words, no labels, score 0. Rows and other columns stay.
+    left out. A null text counts as empty: no words, no labels, score 0. Rows and other columns stay; a column
+    named as ``into`` is replaced.
     """
-    kept = docs.columns
+    kept = [c for c in docs.columns if c != into]
     text, words, present = F.col("__text"), F.col("__words"), F.col("__present")
     rows = docs.select("*", F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     # Lower-casing turns letters into letters, so the words keep their number; empty ones stand at the ends only.

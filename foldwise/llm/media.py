@@ -211,7 +211,7 @@ def sniff(table: DataFrame, media_col: str, declared_col: str | None = None, int
     """Add ``into``: the true kind, whether the declared one was right, and all segments.
 
     Bytes that no validator accepts at byte 0 keep the general kind; null bytes have a null kind and no
-    segments. Rows and other columns stay.
+    segments. Rows and other columns stay; a column named as ``into`` is replaced.
     """
     session_limits(table.sparkSession)
 
@@ -263,7 +263,10 @@ def samples(data: bytes) -> tuple[bytes, str]:
 
 
 def store_texts(docs: DataFrame, text_col: str = "text", into: str = "media") -> DataFrame:
-    """Add the text as wave audio: its UTF-8 bytes, filled up with zero bytes, are the samples."""
+    """Add the text as wave audio: its UTF-8 bytes, filled up with zero bytes, are the samples.
+
+    A null text counts as empty; a column named as ``into`` is replaced, the others stay.
+    """
     session_limits(docs.sparkSession)
 
     @F.pandas_udf("binary")
@@ -275,7 +278,10 @@ def store_texts(docs: DataFrame, text_col: str = "text", into: str = "media") ->
 
 
 def read_samples(table: DataFrame, media_col: str = "media", into: str = "read") -> DataFrame:
-    """Add the samples read back from wave bytes, and their feature; null where the bytes are null."""
+    """Add the samples read back from wave bytes, and their feature; null where the bytes are null.
+
+    A column named as ``into`` is replaced, the others stay.
+    """
     session_limits(table.sparkSession)
 
     @F.pandas_udf("struct<payload:binary,feature:string>")
