@@ -16,14 +16,20 @@ LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
-    found = langid.identify(docs)
-    known = (F.col("language")["lang_pred"] != langid.UNKNOWN) & (F.col("language")["score"] >= LEAST_SCORE)
+    """Documents whose language is recognised; those with a null or empty text or without a letter go.
+
+    Repeated rows are judged each; all columns stay as they are, whatever their names.
+    """
+    found = langid.identify(docs, into="__language")
+    known = (F.col("__language")["lang_pred"] != langid.UNKNOWN) & (F.col("__language")["score"] >= LEAST_SCORE)
     return found.filter(known).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
+    """One document of each group of near-duplicates, the one with the smallest id.
+
+    Empty and null texts are one group; a document without an id is in none and stays.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
@@ -31,7 +37,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without the passages that also start in a document of smaller id.
 
     Untouched texts stay as they are; of others the kept words are joined by one space and ``n_chars`` follows.
-    A document of which nothing is left goes.
+    A document of which nothing is left goes; a null, empty or short text stays.
     """
     rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
     found = recompress.remove_repeats(docs, rest=rest, with_text=True)
@@ -47,13 +53,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.col("contamination")["n_hit"] == 0).select(docs.columns)
+    """Documents without a benchmark passage; null and empty texts have none, repeated rows are judged each."""
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), into="__contamination")
+    return found.filter(F.col("__contamination")["n_hit"] == 0).select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and digests of ids and decoded text."""
+    """Token ids of every document, and digests of ids and decoded text; a null text counts as empty."""
     found = bpe.encode(docs, tokenizer_path())
     return found.select(
         F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
@@ -67,7 +73,8 @@ STAGES = [
     ("benchmark_passages", benchmark_passages),
     ("token_ids", token_ids),
 ]
-#: Language identification is trained and names are hashed in rounds: no SQL; tests hold it against brute force.
+#: Language identification is trained and names are hashed in rounds: no SQL. Tests hold stages 2 to 4 against brute
+#: force, the last against the tokenizer; of the first they take the decision from the model.
 ORACLE_SQL = None
 
 
