@@ -8,13 +8,14 @@ The cells are read once per plan instead of once per (fold, training set).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalars import transform_value
-from foldwise.operators.ordered import exact_median
-from foldwise.operators.resample import training_sets
+from foldwise.operators.ordered import exact_median, running
 from foldwise.plans.design import MISSING_RATE
 
 RULE = ["transform", "half_minimum_allowed", "input_scale"]
@@ -109,12 +110,34 @@ def single_state(
     return _finish(combined, medians, keys, None, imputation, missing_rate)
 
 
+def leave_one_out_medians(rows: DataFrame, groups: Sequence[str], fold: str, value: str, out: str = "median") -> DataFrame:
+    """(groups, fold, out): the exact median of all rows outside each fold.
+
+    Each distinct value carries a vector of counts, one per fold. What lies below it outside a fold is the total
+    below it less the fold's own, so one running sum serves every left-out fold and no row is copied.
+    """
+    groups = list(groups)
+    rows = rows.where(F.col(value).isNotNull())
+    # The number of folds is part of the design.
+    folds = range(1, (rows.agg(F.max(fold)).first()[0] or 0) + 1)
+    if not folds:
+        return rows.select(*groups, fold, F.col(value).alias(out))
+    seen = running(rows, groups, value, {f"c{f}": F.count_if(F.col(fold) == f) for f in folds})
+    outside = lambda f, part: reduce(add, [F.col(f"c{g}{part}") for g in folds if g != f], F.lit(0))
+    kind = dict(rows.dtypes)[fold]
+    sides = [F.struct(F.lit(f).cast(kind).alias(fold), outside(f, "").alias("n"), outside(f, "_below").alias("below"), outside(f, "_total").alias("of")) for f in folds]
+    placed = seen.select(*groups, F.col(value).alias("_v"), F.explode(F.array(*sides)).alias("s")).select(*groups, "_v", "s.*").where("n > 0")
+    inside = lambda at: F.when((at >= F.col("below")) & (at < F.col("below") + F.col("n")), 1).otherwise(0)
+    middle = placed.withColumn("_hits", inside(F.floor((F.col("of") - 1) / 2)) + inside(F.floor(F.col("of") / 2))).where("_hits > 0")
+    return middle.groupBy(*groups, fold).agg((F.sum(F.col("_v") * F.col("_hits")) / F.sum("_hits")).alias(out))
+
+
 def _medians(cells, assignment, plan, fold, imputation):
     if imputation != "half_minimum":
         return None
     signed = cells.where(~F.col("half_minimum_allowed")).select("cohort", "id", "feature", "value")
-    train = training_sets(assignment.select(*plan, fold, "id"), plan, fold)
-    return exact_median(train.join(signed, ["cohort", "id"]), [*plan, fold, "feature"], "value")
+    rows = assignment.select(*plan, fold, "id").join(signed, ["cohort", "id"])
+    return leave_one_out_medians(rows, [*plan, "feature"], fold, "value")
 
 
 def _finish(stats, medians, plan, fold, imputation, missing_rate):

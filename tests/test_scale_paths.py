@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from foldwise.operators import bootstrap, calibration, metrics, neighbors, ordered
+from foldwise.operators import bootstrap, calibration, metrics, neighbors, ordered, preprocess
 
 
 @pytest.fixture(scope="module")
@@ -85,6 +85,22 @@ def test_cells_change_nothing(scores, operator, monkeypatch):
         assert plain.query("u == 'hot'").sort_values("bin").n.tolist() == codes.value_counts().sort_index().tolist()
 
 
+@pytest.mark.parametrize("cells", [False, True])
+def test_leave_one_out_medians(spark, cells, monkeypatch):
+    """Ties, an empty fold, a fold that holds all values of a group, nulls."""
+    rng = np.random.default_rng(11)
+    frame = pd.DataFrame({"g": rng.choice(["hot", "cold"], 300, p=[0.9, 0.1]), "fold": rng.choice([1, 2, 4], 300).astype("int32"), "v": rng.integers(0, 40, 300) / 4})
+    frame = pd.concat([frame, pd.DataFrame({"g": "one", "fold": np.int32(2), "v": [3.0, 1.0]}), pd.DataFrame({"g": "two", "fold": np.array([1, 2], "int32"), "v": [7.0, 9.0]})])
+    df = spark.createDataFrame(frame, "g string, fold int, v double").unionByName(spark.createDataFrame([("hot", 1, None)], "g string, fold int, v double"))
+    if cells:
+        monkeypatch.setattr(ordered, "ONE_TASK_ROWS", 20)
+        monkeypatch.setattr(ordered, "CELL_ROWS", 7)
+    got = {(r.g, r.fold): r["median"] for r in preprocess.leave_one_out_medians(df, ["g"], "fold", "v").collect()}
+    want = {(g, f): own.v[own.fold != f].median() for g, own in frame.groupby("g") for f in range(1, 5) if (own.fold != f).any()}
+    assert got == pytest.approx(want)
+    assert preprocess.leave_one_out_medians(df.limit(0), ["g"], "fold", "v").count() == 0
+
+
 def test_number_by_hash(scores, spark):
     frame, df = scores
     got = ordered.number_by_hash(df, ["u"], F.md5("id"), "id", "rn").select("u", "id", "rn", F.md5("id").alias("h")).toPandas()
