@@ -2,6 +2,16 @@
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: UTF-8 bytes of an id, a colon and a word of letters up to U+00FF.
+UTF8_BYTES = """flatten(list_transform(string_split(id || ':' || w, ''), lambda s: CASE WHEN ord(s) < 128 THEN [CAST(ord(s) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(ord(s) - 64 AS BIGINT)] END))"""
+
+
+def crc32(bytes_list: str) -> str:
+    """CRC-32 of a list of bytes, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, {bytes_list}),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda p, q: xor(p >> 1, 3988292384 * (p & 1)))))"""
+
+
 ORACLES = {
     "op1_decontaminate": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM documents),
@@ -42,4 +52,38 @@ word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM
 kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_prefix_trie": f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS head, count(*) AS n,
+             {crc32("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT))")} % 9 AS h
+      FROM t GROUP BY conv_id),
+m AS (SELECT c.conv_id, t.k AS d, r, x FROM c JOIN t ON t.conv_id = c.head AND t.k <= c.h
+      UNION ALL SELECT c.conv_id, least(c.h, coalesce(f.n, 0)) + t.k - c.h, r, x FROM c JOIN t ON t.conv_id = c.conv_id LEFT JOIN c f ON f.conv_id = c.head WHERE t.k > c.h),
+l AS (SELECT c.conv_id, coalesce(list({{'r': r, 'x': x}} ORDER BY d) FILTER (WHERE d IS NOT NULL), []) AS ts FROM c LEFT JOIN m ON m.conv_id = c.conv_id GROUP BY c.conv_id),
+p AS (SELECT conv_id, d, ts[1:d] AS key, len(ts) AS n FROM l, unnest(range(0, len(ts) + 1)) u(d)),
+node AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(strlen(key[d].x), 0) AS own,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256 FROM p GROUP BY d, key),
+kid AS (SELECT d - 1 AS d, key[1:d - 1] AS key, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kid ON kid.d = node.d AND kid.key = node.key),
+up AS (SELECT a.d, a.key, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves, sum(u.own) AS saved FROM full_node u JOIN p a ON a.conv_id = u.conv_id AND a.d <= u.d GROUP BY ALL)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, g.conv_id AS parent_conv_id, CAST(f.n_convs AS BIGINT) AS n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_node f JOIN up ON up.d = f.d AND up.key = f.key LEFT JOIN node g ON g.d = f.d - 1 AND g.key = f.key[1:f.d - 1]""",
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+r AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM d WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT w, n, {crc32(UTF8_BYTES)} AS h FROM r),
+s AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS k FROM v, unnest(range(1, length(word) + 1)) t(i)),
+e AS (SELECT DISTINCT a.word, b.word AS other FROM x a JOIN x b ON a.i = b.i AND a.k = b.k AND a.word <> b.word),
+i AS (SELECT DISTINCT x.word AS longer, v.word AS shorter FROM x JOIN v ON v.word = x.k),
+near AS (SELECT word, other FROM e UNION ALL SELECT longer, shorter FROM i UNION ALL SELECT shorter, longer FROM i),
+best AS (SELECT near.word, count(*) AS n_near, first(other ORDER BY v.n DESC, other) AS form, max(v.n) AS form_n FROM near JOIN v ON v.word = other GROUP BY near.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * v.n THEN form END AS form, CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+c AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL),
+z AS (SELECT c.word, c.root FROM c JOIN f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form, f.form_n, z.root FROM f JOIN z ON z.word = f.word""",
 }
