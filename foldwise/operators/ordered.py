@@ -64,6 +64,11 @@ def largest_group(df: DataFrame, groups: Sequence[str]) -> int:
     return sizes.first()[0] or 0
 
 
+def in_one_task(df: DataFrame, groups: Sequence[str]) -> bool:
+    """Whether every group is windowed whole."""
+    return largest_group(df, groups) <= ONE_TASK_ROWS
+
+
 def cut(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Add ``_cell``, non-decreasing in ``value`` inside each group, if any group needs cutting.
 

@@ -22,18 +22,22 @@ RULE = ["transform", "half_minimum_allowed", "input_scale"]
 LOG10_2 = 0.3010299956639812
 
 
-def fold_statistics(cells: DataFrame, assignment: DataFrame, plan: Sequence[str], fold: str) -> DataFrame:
-    """Per (plan, fold, feature): counts, minima and moments of the transformed observed values.
+def placed_cells(cells: DataFrame, assignment: DataFrame, plan: Sequence[str], fold: str) -> DataFrame:
+    """(plan, fold, feature, value, rule columns): every cell under every plan its sample belongs to.
 
     ``cells`` is (cohort, id, feature, value, rule columns) after the value rules; ``assignment``
     is (plan keys incl. cohort, fold, id).
     """
+    return assignment.select(*plan, fold, "id").join(
+        cells.select("cohort", "id", "feature", "value", *RULE), ["cohort", "id"]
+    ).drop("id")
+
+
+def fold_statistics(placed: DataFrame, plan: Sequence[str], fold: str) -> DataFrame:
+    """Per (plan, fold, feature): counts, minima and moments of the transformed observed values."""
     v = F.col("value")
     t = transform_value("value", "transform")
-    joined = assignment.select(*plan, fold, "id").join(
-        cells.select("cohort", "id", "feature", "value", *RULE), ["cohort", "id"]
-    )
-    return joined.groupBy(*plan, fold, "feature", *RULE).agg(
+    return placed.groupBy(*plan, fold, "feature", *RULE).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(v).alias("n_obs"),
         F.min(F.when(v > 0, v)).alias("min_pos"),
@@ -77,9 +81,26 @@ def training_state(
     half_minimum: impute on the raw scale, transform, drop constants, z-score.
     knn: z-score the observed values only; the missing ones are filled later (see ``neighbors``).
     """
+    return state_of_placed(placed_cells(cells, assignment, plan, fold), plan, fold, imputation, missing_rate)
+
+
+def state_of_placed(
+    placed: DataFrame,
+    plan: Sequence[str],
+    fold: str,
+    imputation: str = "half_minimum",
+    missing_rate: float = MISSING_RATE,
+    splits: int | None = None,
+    in_one_task: bool = False,
+) -> DataFrame:
+    """``training_state`` from cells that carry their plans and folds already.
+
+    A caller that knows the number of folds, or that no (plan, feature) is too large for one task, spares a
+    pass over ``placed`` each.
+    """
     plan = list(plan)
     fields = ["n", "n_obs", "min_pos", "min_obs", "min_t", "max_t", "mean_t", "m2"]
-    per_fold = fold_statistics(cells, assignment, plan, fold)
+    per_fold = fold_statistics(placed, plan, fold)
     listed = per_fold.groupBy(*plan, "feature", *RULE).agg(
         F.collect_list(F.struct(F.col(fold).alias("fold"), *fields)).alias("_folds")
     )
@@ -89,7 +110,11 @@ def training_state(
     spread = stats.pop("_spread")
     combined = others.withColumns(stats).withColumn("m2_obs", spread(F.col("mean_obs")))
     combined = combined.withColumnRenamed("_out", fold).drop("_folds", "_parts")
-    return _finish(combined, _medians(cells, assignment, plan, fold, imputation), plan, fold, imputation, missing_rate)
+    medians = None
+    if imputation == "half_minimum":
+        signed = placed.where(~F.col("half_minimum_allowed"))
+        medians = leave_one_out_medians(signed, [*plan, "feature"], fold, "value", splits=splits, in_one_task=in_one_task)
+    return _finish(combined, medians, plan, fold, imputation, missing_rate)
 
 
 def single_state(
@@ -97,7 +122,7 @@ def single_state(
 ) -> DataFrame:
     """State of one training set per key: ``rows`` is (keys incl. cohort, id), all of them training."""
     keys = list(keys)
-    whole = fold_statistics(cells, rows.withColumn("_all", F.lit(0)), keys, "_all")
+    whole = fold_statistics(placed_cells(cells, rows.withColumn("_all", F.lit(0)), keys, "_all"), keys, "_all")
     combined = whole.select(
         *keys, "feature", *RULE, F.col("n").alias("n_train"), "n_obs", "min_pos", "min_obs", "min_t", "max_t",
         F.col("mean_t").alias("mean_obs"), F.col("m2").alias("m2_obs"),
@@ -110,7 +135,15 @@ def single_state(
     return _finish(combined, medians, keys, None, imputation, missing_rate)
 
 
-def leave_one_out_medians(rows: DataFrame, groups: Sequence[str], fold: str, value: str, out: str = "median") -> DataFrame:
+def leave_one_out_medians(
+    rows: DataFrame,
+    groups: Sequence[str],
+    fold: str,
+    value: str,
+    out: str = "median",
+    splits: int | None = None,
+    in_one_task: bool = False,
+) -> DataFrame:
     """(groups, fold, out): the exact median of all rows outside each fold.
 
     Each distinct value carries a vector of counts, one per fold. What lies below it outside a fold is the total
@@ -119,10 +152,10 @@ def leave_one_out_medians(rows: DataFrame, groups: Sequence[str], fold: str, val
     groups = list(groups)
     rows = rows.where(F.col(value).isNotNull())
     # The number of folds is part of the design.
-    folds = range(1, (rows.agg(F.max(fold)).first()[0] or 0) + 1)
+    folds = range(1, (splits or rows.agg(F.max(fold)).first()[0] or 0) + 1)
     if not folds:
         return rows.select(*groups, fold, F.col(value).alias(out))
-    seen = running(rows, groups, value, {f"c{f}": F.count_if(F.col(fold) == f) for f in folds})
+    seen = running(rows, groups, value, {f"c{f}": F.count_if(F.col(fold) == f) for f in folds}, is_cut=in_one_task)
     outside = lambda f, part: reduce(add, [F.col(f"c{g}{part}") for g in folds if g != f], F.lit(0))
     kind = dict(rows.dtypes)[fold]
     sides = [F.struct(F.lit(f).cast(kind).alias(fold), outside(f, "").alias("n"), outside(f, "_below").alias("below"), outside(f, "_total").alias("of")) for f in folds]
@@ -132,14 +165,6 @@ def leave_one_out_medians(rows: DataFrame, groups: Sequence[str], fold: str, val
     return middle.groupBy(*groups, fold).agg((F.sum(F.col("_v") * F.col("_hits")) / F.sum("_hits")).alias(out))
 
 
-def _medians(cells, assignment, plan, fold, imputation):
-    if imputation != "half_minimum":
-        return None
-    signed = cells.where(~F.col("half_minimum_allowed")).select("cohort", "id", "feature", "value")
-    rows = assignment.select(*plan, fold, "id").join(signed, ["cohort", "id"])
-    return leave_one_out_medians(rows, [*plan, "feature"], fold, "value")
-
-
 def _finish(stats, medians, plan, fold, imputation, missing_rate):
     keys = [*plan, *([fold] if fold else []), "feature"]
     if medians is not None:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.operators import preprocess, selection
+from foldwise.operators.ordered import in_one_task
 from foldwise.operators.resample import stratified_folds
 from foldwise.plans import distributed, solver
 from foldwise.plans.design import (
@@ -72,9 +73,9 @@ def pack_state(state: DataFrame, keys: Sequence[str]) -> DataFrame:
     return packed.select(*keys, *[F.col(f"_s.{f}").alias(f) for f in STATE])
 
 
-def large_fits(rows: DataFrame, fit: Sequence[str], keys: Sequence[str]) -> DataFrame | None:
+def large_fits(rows: DataFrame, fit: Sequence[str]) -> DataFrame | None:
     """(fit) whose rows would not fit one task, or None when there is none."""
-    sizes = rows.groupBy(*keys).agg((F.count(F.lit(1)) * F.max(F.size("x"))).alias("cells"))
+    sizes = rows.groupBy(*fit).agg((F.count(F.lit(1)) * F.max(F.size("x"))).alias("cells"))
     if (sizes.agg(F.max("cells")).first()[0] or 0) <= TASK_CELLS:
         return None
     return settle(sizes.where(F.col("cells") > TASK_CELLS).select(*fit).distinct())
@@ -189,13 +190,51 @@ def inner_plan(train: DataFrame, fit: Sequence[str], design: Design) -> DataFram
     )
 
 
+def sample_plans(inner: DataFrame, fit: Sequence[str]) -> DataFrame:
+    """(cohort, id, y, plans): one row per sample with the fits it trains.
+
+    An entry of ``plans`` names its fit and lists the sample's inner fold under every inner repeat.
+    """
+    others = [c for c in fit if c != "cohort"]
+    dealt = F.array_sort(F.collect_list(F.struct("inner_repeat", F.col("inner_fold").cast("smallint").alias("fold"))))
+    per_fit = inner.groupBy(*fit, "id", "y").agg(F.transform(dealt, lambda d: d["fold"]).alias("folds"))
+    return per_fit.groupBy("cohort", "id", "y").agg(F.collect_list(F.struct(*others, "folds")).alias("plans"))
+
+
+def by_fit(rows: DataFrame, fit: Sequence[str]) -> DataFrame:
+    """Rows with ``plans`` spread over their fits: (fit, folds, other columns). No shuffle."""
+    others = [c for c in fit if c != "cohort"]
+    kept = [c for c in rows.columns if c not in ("cohort", "plans")]
+    spread = rows.select("cohort", *kept, F.explode("plans").alias("_p"))
+    return spread.select("cohort", *[F.col(f"_p.{c}").alias(c) for c in others], F.col("_p.folds").alias("folds"), *kept)
+
+
+def by_resample(rows: DataFrame, fit: Sequence[str]) -> DataFrame:
+    """Rows with ``plans`` spread over their inner resamples: (fit, inner_repeat, inner_fold, other columns). No shuffle."""
+    spread = by_fit(rows, fit)
+    kept = [c for c in spread.columns if c != "folds" and c not in fit]
+    return spread.select(*fit, F.posexplode("folds").alias("_r", "_f"), *kept).select(
+        *fit, (F.col("_r") + 1).alias("inner_repeat"), F.col("_f").cast("int").alias("inner_fold"), *kept
+    )
+
+
 def prepare(cells: DataFrame, inner: DataFrame, fit: Sequence[str], design: Design) -> tuple[DataFrame, DataFrame]:
-    """(packed inner rows, packed inner states), both settled: two stages read them."""
+    """(packed samples with their plans, packed inner states), both settled: two stages read them.
+
+    A sample is stored once, whatever the number of fits and inner repeats it serves. Statistics of all plans come
+    from one pass over the cells, which find their sample's plans once and are spread over them inside the task.
+    """
     keys = [*fit, "inner_repeat"]
-    rows = settle(
-        inner.select(*keys, "inner_fold", "id", "y").join(pack_rows(cells), ["cohort", "id"])
+    rows = settle(sample_plans(inner, fit).join(pack_rows(cells), ["cohort", "id"]))
+    planned = cells.select("cohort", "id", "feature", "value", *preprocess.RULE).join(
+        rows.select("cohort", "id", "plans"), ["cohort", "id"]
+    )
+    splits = rows.select(F.max(F.array_max(F.transform("plans", lambda p: F.array_max(p["folds"]))))).first()[0]
+    # A plan holds a feature at most as often as its cohort does.
+    whole = in_one_task(cells, ["cohort", "feature"])
+    state = preprocess.state_of_placed(
+        by_resample(planned.drop("id"), fit), keys, "inner_fold", design.imputation, design.missing_rate, splits, whole
     )
-    state = preprocess.training_state(cells, inner, keys, "inner_fold", design.imputation, design.missing_rate)
     return rows, settle(pack_state(state, [*keys, "inner_fold"]))
 
 
@@ -203,8 +242,8 @@ def tune_grid(rows: DataFrame, states: DataFrame, fit: Sequence[str], design: De
     """Fold AUROC, convergence and coefficients at every grid point of every inner resample."""
     keys = [*fit, "inner_repeat"]
     columns = "inner_fold int, C double, l1_ratio double, auc double, converged boolean, iterations int, coef array<double>"
-    schema, task = schema_of(rows, keys, columns), _grid_task(list(fit), design)
-    large = large_fits(rows, fit, keys)
+    schema, task = schema_of(states, keys, columns), _grid_task(list(fit), design)
+    large, rows = large_fits(by_fit(rows, fit), fit), by_resample(rows, fit)
     if large is None:
         return settle(_cogroup(rows, states, keys, task, schema))
     (rows, big_rows), (states, big_states) = _split(rows, large, fit), _split(states, large, fit)
@@ -243,9 +282,9 @@ def size_scores(rows, states, orders, fit: Sequence[str], design: Design) -> Dat
     """Fold AUROC for every k and C of every inner resample."""
     keys = [*fit, "inner_repeat"]
     columns = "inner_fold int, k int, C double, auc double, converged boolean, iterations int"
-    schema, task = schema_of(rows, keys, columns), _size_task(list(fit), design)
+    schema, task = schema_of(states, keys, columns), _size_task(list(fit), design)
     states = states.join(orders, list(fit))
-    large = large_fits(rows, fit, keys)
+    large, rows = large_fits(by_fit(rows, fit), fit), by_resample(rows, fit)
     if large is None:
         return settle(_cogroup(rows, states, keys, task, schema))
     (rows, big_rows), (states, big_states) = _split(rows, large, fit), _split(states, large, fit)
@@ -293,7 +332,7 @@ def fit_final(
     spec = pack_state(state, fit).join(orders, list(fit)).join(choice.select(*fit, "k_selected", "l2_C"), list(fit))
     schema = schema_of(rows, fit, "intercept double, coef array<double>, converged boolean, iterations int")
     held = "ids array<string>, labels array<int>, p array<double>"
-    large = large_fits(rows, fit, fit)
+    large = large_fits(rows, fit)
     if large is not None:
         rows, big_rows = _split(settle(rows), large, fit)
         spec, big_spec = _split(settle(spec), large, fit)

@@ -54,9 +54,10 @@ def fit_batch(x, y, c, l1_ratio, penalise_intercept, limit):
 
     def objective(b, t):
         eta = a @ b.T
-        loss = np.logaddexp(0.0, eta) - y[:, None] * eta
+        loss = np.log1p(np.exp(-np.abs(eta))) + np.maximum(eta, 0.0) - y[:, None] * eta
         return c[t] * (w @ loss) + (l1[t] * np.abs(b)).sum(1) + 0.5 * (l2[t] * b * b).sum(1)
 
+    value = objective(beta, np.arange(tasks))
     while True:
         t = np.flatnonzero(~done & ~stalled & (passes < limit))
         if not len(t):
@@ -78,15 +79,16 @@ def fit_batch(x, y, c, l1_ratio, penalise_intercept, limit):
             target = b - np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0]
         else:
             target, _ = coordinate_descent(hessian, gradient, b, l1[t])
-        step, before = target - b, objective(b, t)
+        step, before = target - b, value[t]
         scale = np.ones(len(t))
         for _ in range(31):
-            worse = objective(b + scale[:, None] * step, t) > before + 1e-10 * (1.0 + np.abs(before))
+            value[t] = objective(b + scale[:, None] * step, t)
+            worse = value[t] > before + 1e-10 * (1.0 + np.abs(before))
             if not worse.any():
                 break
             scale[worse] /= 2.0
         # No part of the step helps: the task stays where it is and does not count as converged.
-        scale[worse], stalled[t[worse]] = 0.0, True
+        scale[worse], value[t[worse]], stalled[t[worse]] = 0.0, before[worse], True
         full = scale == 1.0
         beta[t] = np.where(full[:, None], target, b + scale[:, None] * step)
 

@@ -260,3 +260,30 @@ def test_distributed_final_models_match_with_neighbours(spark, one_cohort, monke
     assert len(m) == len(am) == 2 and (m.converged_x == m.converged_y).all() and np.allclose(m.intercept_x, m.intercept_y, atol=1e-6)
     wide = lambda column: np.array([[np.nan if v is None else v for v in x] for x in column], float)
     assert np.allclose(wide(m.coef_x), wide(m.coef_y), atol=1e-6, equal_nan=True)
+
+
+def test_prepared_rows_are_stored_once(one_cohort):
+    """A sample is one row whatever it serves, and its plans spread to exactly the inner plan."""
+    from foldwise.plans import fitting, validation
+    from foldwise.plans.design import PRIMARY
+
+    cells, samples = one_cohort
+    design = replace(PRIMARY, outer_splits=3, outer_repeats=2, inner_repeats=4)
+    plan = validation.outer_plan(samples, design)
+    inner = fitting.inner_plan(validation.training_sets(plan, ["cohort", "repeat"], "outer_fold"), validation.OUTER, design)
+    rows, states = fitting.prepare(cells, inner, validation.OUTER, design)
+    assert rows.count() == samples.count()
+    columns = [*validation.OUTER, "inner_repeat", "inner_fold", "id", "y"]
+    spread = fitting.by_resample(rows, validation.OUTER)
+    assert spread.count() == samples.count() * 2 * 2 * 4
+    assert spread.select(columns).exceptAll(inner.select(columns)).isEmpty()
+    from foldwise.operators import preprocess
+
+    keys = [*validation.OUTER, "inner_repeat"]
+    joined = preprocess.training_state(cells, inner, keys, "inner_fold")
+    packed = fitting.pack_state(joined, [*keys, "inner_fold"]).toPandas()
+    both = packed.merge(states.toPandas(), on=[*keys, "inner_fold"])
+    assert len(both) == len(packed) == states.count() == 2 * 3 * 4 * 3
+    for c in ("impute_value", "mean", "sd"):
+        number = [np.array([np.nan if v is None else v for v in np.concatenate(both[f"{c}_{s}"])], float) for s in "xy"]
+        assert np.allclose(*number, equal_nan=True)
