@@ -1,12 +1,16 @@
 """Queries that fit models. Iterative, so without SQL oracle; tests compare them with NumPy."""
 
+from dataclasses import replace
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.catalog import ingest as ci
 from foldwise.catalog.metrics import rounded
 from foldwise.catalog.registry import register
 from foldwise.operators import bootstrap, calibration, compare, metrics, rules
-from foldwise.plans import fitting, validation
+from foldwise.plans import fitting, schedule, validation
 from foldwise.plans.design import PRIMARY, SCENARIOS
 from foldwise.session import settle
 from foldwise.sources import bindings as b
@@ -247,11 +251,7 @@ def scenario_analyses(spark, folder, name):
 
 def scenario_deltas(spark, folder, name):
     full, none = scenario_analyses(spark, folder, name)
-    union = full.predictions.withColumn("method", F.lit("nested")).unionByName(
-        none.predictions.withColumn("method", F.lit("non_nested"))
-    )
-    table = metrics.discrimination(metrics.averaged_oof(union, ["cohort", "method"]), ["cohort", "method"], "p_oof")
-    return compare.method_deltas(table, ["cohort"], "nested", "non_nested").withColumn("scenario", F.lit(name))
+    return schedule.deltas(full.predictions, none.predictions, name)
 
 
 def _scenario_query(name):
@@ -284,8 +284,8 @@ def scenario_boundary_counts(spark, folder):
     return boundary_counts(chosen, ["cohort"], {"en_C": design.en_c, "en_l1_ratio": design.en_l1, "l2_C": design.l2_c})
 
 
-def vectors(spark, folder, scenario="primary"):
-    """Full-data signature of the embedding vectors: one wide cohort, signed features, identity rule."""
+def vector_matrix(spark, folder):
+    """(cells, samples) of the embedding vectors: one wide cohort, signed features, identity rule."""
 
     def build():
         rows = b.table(spark, folder, "embeddings").select(
@@ -303,9 +303,17 @@ def vectors(spark, folder, scenario="primary"):
             F.lit(False).alias("half_minimum_allowed"),
             F.lit("linear").alias("input_scale"),
         )
-        return validation.full_data_signature(settle(cells), settle(rows.select("cohort", "id", "y")), SCENARIOS[scenario])
+        return settle(cells), settle(rows.select("cohort", "id", "y"))
+
+    return _once(spark, folder, "vector-matrix", build)
 
-    return _once(spark, folder, f"vectors-{scenario}", build)
+
+def vectors(spark, folder, scenario="primary"):
+    """Full-data signature of the vectors."""
+    return _once(
+        spark, folder, f"vectors-{scenario}",
+        lambda: validation.full_data_signature(*vector_matrix(spark, folder), SCENARIOS[scenario]),
+    )
 
 
 @register("vector_matrix_signature", "M13 M9 S3")
@@ -325,3 +333,60 @@ def vector_size_limits(spark, folder):
             choice.select("cohort", F.lit(name).alias("scenario"), limit.alias("max_k"), "k_selected", (F.col("k_selected") == limit).alias("at_limit"))
         )
     return parts[0].unionByName(parts[1])
+
+
+# Second stage: scenarios scheduled out of the primary results ---------------------------------------------
+
+# The vectors have ten times the features of the other cohorts; their plans are repeated once.
+WIDE = replace(PRIMARY, outer_repeats=1, inner_repeats=1)
+
+
+def _matrices(spark, folder):
+    """(cells, samples, design, nested, non-nested) of every matrix, primary scenario."""
+    cells, samples = vector_matrix(spark, folder)
+    return [
+        (*inputs(spark, folder), PRIMARY, nested(spark, folder), non_nested(spark, folder)),
+        (
+            cells, samples, WIDE,
+            _once(spark, folder, "vectors-nested", lambda: validation.nested(cells, samples, WIDE)),
+            _once(spark, folder, "vectors-non_nested", lambda: validation.non_nested(cells, samples, WIDE)),
+        ),
+    ]
+
+
+def _plan(spark, folder):
+    def build():
+        outcomes = [
+            schedule.primary_outcomes(samples, full.tuned.choice, full.predictions, design.max_k)
+            for _, samples, design, full, _ in _matrices(spark, folder)
+        ]
+        return settle(schedule.schedule(reduce(DataFrame.unionByName, outcomes)))
+
+    return _once(spark, folder, "plan", build)
+
+
+@register("sensitivity_schedule", "U6 P19")
+def sensitivity_schedule(spark, folder):
+    """Scenarios of every cohort, as its primary fits ask for them."""
+    return _plan(spark, folder)
+
+
+@register("scheduled_size_comparison", "M20 P19 U6")
+def scheduled_size_comparison(spark, folder):
+    """The larger size limit, fitted for the cohorts at the ceiling alone, against their primary fits."""
+    name, plan = "kmax30", _plan(spark, folder)
+    deltas, parts, choices = [], [], []
+    for cells, samples, design, full, none in _matrices(spark, folder):
+        deltas.append(schedule.deltas(full.predictions, none.predictions, "primary"))
+        choices.append(full.tuned.choice.select("cohort", F.lit("primary").alias("scenario"), "k_selected"))
+        if schedule.of_scenario(samples, plan, name).isEmpty():
+            continue
+        # One matrix may be scheduled while the other is not.
+        wide_full, wide_none = _once(
+            spark, folder, f"scheduled-{name}-{design.outer_repeats}",
+            lambda c=cells, s=samples, d=design: schedule.run(c, s, plan, name, d),
+        )
+        parts.append(schedule.deltas(wide_full.predictions, wide_none.predictions, name))
+        choices.append(wide_full.tuned.choice.select("cohort", F.lit(name).alias("scenario"), "k_selected"))
+    table = schedule.against_primary(reduce(DataFrame.unionByName, deltas), parts, reduce(DataFrame.unionByName, choices))
+    return rounded(table, *schedule.SIZES, *[f"change_{c}" for c in schedule.SIZES], digits=5)
