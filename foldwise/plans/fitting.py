@@ -358,12 +358,12 @@ def fit_status(models: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def model_coefficients(models: DataFrame, order: DataFrame, fit: Sequence[str]) -> DataFrame:
-    """(fit, feature, coef) of the features the model used."""
+    """(fit, feature, coef) of the features the model used; the others are NULL or NaN in ``coef``."""
     pairs = F.explode(F.arrays_zip("features", "coef")).alias("f")
     return (
         models.join(order, "cohort")
         .select(*fit, pairs)
-        .where(~F.isnan("f.coef"))
+        .where(F.col("f.coef").isNotNull() & ~F.isnan("f.coef"))
         .select(*fit, F.col("f.features").alias("feature"), F.col("f.coef").alias("coef"))
     )
 

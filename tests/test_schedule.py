@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from foldwise.plans import schedule, validation
+from foldwise.plans import fitting, schedule, validation
 from foldwise.plans.design import MAX_K, PRIMARY, SCENARIOS
 
 SMALL = replace(PRIMARY, outer_splits=3, outer_repeats=1, inner_splits=3, inner_repeats=1, en_c=(0.1,), en_l1=(0.05,), l2_c=(0.1,))
@@ -72,6 +72,12 @@ def test_a_scenario_fits_its_cohorts_and_differs(matrix, primary):
     assert table[0].max_k_selected > MAX_K and table[0].change_nested_roc_auc > 0.01
 
 
+def test_coefficients_of_the_chosen_features_only(primary):
+    listed = fitting.model_coefficients(primary.models, primary.order, validation.OUTER).groupBy(*validation.OUTER).count()
+    both = listed.join(primary.tuned.choice, validation.OUTER).collect()
+    assert len(both) == 6 and all(r["count"] == r.k_selected for r in both)
+
+
 def test_design_of_a_scenario():
     assert schedule.under(PRIMARY, "kmax30") == replace(SCENARIOS["kmax30"], scenario="kmax30")
     small = schedule.under(SMALL, "knn")
