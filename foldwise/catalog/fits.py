@@ -1,18 +1,24 @@
-"""Queries that fit models. Iterative, so without SQL oracle; tests compare them with NumPy."""
+"""Queries that fit models. Iterative, so mostly without SQL oracle; tests compare them with NumPy.
+
+What the design fixes of a fitted bundle, its rows and their folds and labels, is held against SQL.
+"""
 
 from dataclasses import replace
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.catalog import ingest as ci
+from foldwise.catalog.checks import fault, fault_sql
 from foldwise.catalog.metrics import rounded
+from foldwise.catalog.oracle import CTES, folds_sql
 from foldwise.catalog.registry import register
 from foldwise.operators import bootstrap, calibration, compare, metrics, rules
-from foldwise.plans import fitting, schedule, validation
+from foldwise.plans import fitting, ledger, schedule, validation
 from foldwise.plans.design import PRIMARY, SCENARIOS
-from foldwise.session import settle
+from foldwise.session import checkpoint_folder, settle
 from foldwise.sources import bindings as b
 
 OUTER = validation.OUTER
@@ -390,3 +396,93 @@ def scheduled_size_comparison(spark, folder):
         choices.append(wide_full.tuned.choice.select("cohort", F.lit(name).alias("scenario"), "k_selected"))
     table = schedule.against_primary(reduce(DataFrame.unionByName, deltas), parts, reduce(DataFrame.unionByName, choices))
     return rounded(table, *schedule.SIZES, *[f"change_{c}" for c in schedule.SIZES], digits=5)
+
+
+# Fitted bundles -------------------------------------------------------------------------------------------
+
+CTES["b_fit_sample"] = """
+SELECT cohort, id, CASE WHEN substr(md5('noise' || id), 1, 1) < '3' THEN 1 - y ELSE y END AS y FROM b_variant WHERE variant = 'primary'"""
+CTES["b_fit_fold"] = folds_sql("b_fit_sample", "cohort", "repeat", "outer_fold", PRIMARY.outer_splits, PRIMARY.outer_repeats, "'outer'")
+
+
+def bundle(spark, folder):
+    """The primary nested analysis of every cohort, committed to a bundle and read back from it."""
+
+    def build():
+        cells, samples = inputs(spark, folder)
+        plan = samples.select("cohort", F.lit("primary").alias("scenario")).distinct()
+        root = f"{checkpoint_folder(spark)}/bundle-{uuid4().hex}"
+        finished = ledger.fit_unfinished(cells, samples, plan, root, "1", PRIMARY, lambda *_: nested(spark, folder))
+        return ledger.bundle(spark, root, settle(finished))
+
+    return _once(spark, folder, "bundle", build)
+
+
+@register(
+    "fitted_bundle_counts",
+    "S8 S9 S10 A24",
+    f"""
+SELECT cohort, 'primary' AS scenario, t AS "table", CAST(e AS BIGINT) AS expected, CAST(e AS BIGINT) AS found FROM (
+  SELECT cohort, unnest(['predictions', 'models', 'choice', 'best', 'repeat_metrics']) AS t,
+    unnest([n * {PRIMARY.outer_repeats}, splits * {PRIMARY.outer_repeats}, splits * {PRIMARY.outer_repeats}, splits * {PRIMARY.outer_repeats}, {PRIMARY.outer_repeats}]) AS e
+  FROM (SELECT cohort, count(*) AS n, least({PRIMARY.outer_splits}, sum(y), count(*) - sum(y)) AS splits FROM b_fit_sample GROUP BY cohort))""",
+)
+def fitted_bundle_counts(spark, folder):
+    """Rows of every table of the bundle against those that the design asks for."""
+    return ledger.count_report(bundle(spark, folder), inputs(spark, folder)[1], "primary", PRIMARY)
+
+
+FB = fault_sql("fitted", "repeat", "id")
+
+
+@register(
+    "fitted_predictions_vs_plan",
+    "V1 M12 S8",
+    f"""
+SELECT cohort, repeat, outer_fold, id, CASE {FB} WHEN '00' THEN 'fold_differs' WHEN '01' THEN 'label_differs' ELSE 'missing' END AS problem
+FROM (SELECT cohort, id, outer_fold, CAST(repeat AS INTEGER) AS repeat FROM b_fit_fold) WHERE {FB} IN ('00', '01', '02')""",
+)
+def fitted_predictions_vs_plan(spark, folder):
+    """The bundle with moved folds, flipped labels and dropped rows: exactly these differ from the rebuilt plan."""
+    tables, bad = bundle(spark, folder), fault("fitted", F.col("repeat").cast("string"), "id")
+    predictions = tables["predictions"].where(bad != "02").withColumns(
+        {
+            "outer_fold": F.when(bad == "00", F.col("outer_fold") % PRIMARY.outer_splits + 1).otherwise(F.col("outer_fold")),
+            "y_true": F.when(bad == "01", 1 - F.col("y_true")).otherwise(F.col("y_true")),
+        }
+    )
+    found = ledger.problems({**tables, "predictions": predictions}, inputs(spark, folder)[1], "primary", PRIMARY)
+    return found.where("table = 'predictions'").select("cohort", "repeat", "outer_fold", F.col("subject").alias("id"), "problem")
+
+
+# One hash digit per fit plants at most one fault there; ranks are moved rather than removed, so that nothing follows from it.
+FIT_FAULT, REPEAT_FAULT = fault_sql("bundle", "cohort", "repeat", "outer_fold", n=1), fault_sql("bundle", "cohort", "repeat", n=1)
+
+
+@register(
+    "fitted_bundle_problems",
+    "V2 V3 V4 V5 V6 M11 M12",
+    f"""
+SELECT cohort, t AS "table", problem, count(*) AS rows, min(subject) AS first_subject FROM (
+  SELECT cohort, {FIT_FAULT} AS digit FROM (SELECT DISTINCT cohort, repeat, outer_fold FROM b_fit_fold)
+  UNION ALL SELECT cohort, CASE WHEN {REPEAT_FAULT} < '4' THEN 'metric' END FROM (SELECT DISTINCT cohort, repeat FROM b_fit_fold)) f
+JOIN (VALUES ('0', 'choice', 'C_not_on_grid', 'choice'), ('1', 'choice', 'size_out_of_range', 'choice'), ('1', 'choice', 'size_beyond_ranking', 'choice'),
+  ('2', 'best', 'C_not_on_grid', 'point'), ('3', 'ranking', 'ranks_broken', 'rank'), ('metric', 'repeat_metrics', 'not_reproduced', 'brier')) k(digit, t, problem, subject) USING (digit)
+GROUP BY ALL""",
+)
+def fitted_bundle_problems(spark, folder):
+    """Choices, rankings, models and saved metrics of the bundle with planted faults: these are found, and no others."""
+    tables = bundle(spark, folder)
+    bad = fault("bundle", "cohort", F.col("repeat").cast("string"), F.col("outer_fold").cast("string"), n=1)
+    moved = fault("bundle", "cohort", F.col("repeat").cast("string"), n=1)
+    planted = {
+        **tables,
+        "choice": tables["choice"].withColumn("l2_C", F.when(bad == "0", 7.0).otherwise(F.col("l2_C"))).withColumn(
+            "k_selected", F.when(bad == "1", PRIMARY.max_k + 1).otherwise(F.col("k_selected"))
+        ),
+        "best": tables["best"].withColumn("C", F.when(bad == "2", 0.02).otherwise(F.col("C"))),
+        "ranking": tables["ranking"].withColumn("rank", F.when(bad == "3", F.col("rank") + 1).otherwise(F.col("rank"))),
+        "repeat_metrics": tables["repeat_metrics"].withColumn("brier", F.when(moved < "4", F.col("brier") * 1.01).otherwise(F.col("brier"))),
+    }
+    found = ledger.problems(planted, inputs(spark, folder)[1], "primary", PRIMARY)
+    return found.groupBy("cohort", "table", "problem").agg(F.count(F.lit(1)).alias("rows"), F.min("subject").alias("first_subject"))
