@@ -624,3 +624,31 @@ def bootstrap_success_warnings(spark, folder):
     intervals = bootstrap.metric_intervals(draws, ["cohort"])
     strict = bootstrap.low_success(intervals.where("metric = 'roc_auc'"), ["cohort"], B + 1)
     return strict.unionByName(bootstrap.low_success(intervals.where("metric <> 'roc_auc'"), ["cohort"], B))
+
+
+# The fixed holdout split of small cohorts with a rare label: some test sets have hardly a positive row.
+CTES["b_source_sample"] = "SELECT source AS cohort, CAST(doc_id AS VARCHAR) AS id, toxic AS y FROM documents JOIN labels USING (doc_id) WHERE source IS NOT NULL AND toxic IS NOT NULL"
+CTES["b_source_hold"] = CTES["b_hold"].replace("b_sample", "b_source_sample")
+CTES["b_fixed_base"] = """
+SELECT cohort, id, y_true, p, row_number() OVER (PARTITION BY cohort, y_true ORDER BY md5('boot|' || id), id) AS rn,
+       count(*) OVER (PARTITION BY cohort, y_true) AS n FROM b_source_hold WHERE split_role = 'fixed' AND subset = 'test'"""
+CTES["b_fixed_draw"] = draw_sql("", "y_true", "boot", B, "base.y_true, p").replace("b_boot_base", "b_fixed_base")
+CTES["b_fixed_auc"] = auc_sql("b_fixed_draw", "cohort, draw", "p")
+
+
+@register(
+    "fixed_holdout_intervals",
+    "R8 R5",
+    """
+SELECT cohort, n, positive, negative, CASE WHEN least(positive, negative) < 2 THEN 'withheld' ELSE 'reported' END AS interval_status,
+  CASE WHEN least(positive, negative) < 2 THEN 0 ELSE draws END AS draws,
+  CASE WHEN least(positive, negative) >= 2 THEN lo END AS auc_ci95_lo, CASE WHEN least(positive, negative) >= 2 THEN hi END AS auc_ci95_hi,
+  CASE WHEN least(positive, negative) < 2 THEN 'minority_below_2' END AS warning
+FROM (SELECT cohort, count(*) AS n, CAST(sum(y_true) AS BIGINT) AS positive, CAST(count(*) - sum(y_true) AS BIGINT) AS negative FROM b_fixed_base GROUP BY cohort)
+LEFT JOIN (SELECT cohort, count(*) AS draws, round(quantile_cont(auc, 0.025), 8) AS lo, round(quantile_cont(auc, 0.975), 8) AS hi FROM b_fixed_auc GROUP BY cohort) USING (cohort)""",
+)
+def fixed_holdout_intervals(spark, folder):
+    """AUROC interval of the fixed split's test set per source; withheld where a class has fewer than two rows."""
+    rows = b.holdout_of(b.source_samples(spark, folder))
+    fixed = rows.where((F.col("split_role") == "fixed") & (F.col("subset") == "test"))
+    return rounded(bootstrap.guarded_auc_interval(fixed, ["cohort"], "p"), "auc_ci95_lo", "auc_ci95_hi")

@@ -17,12 +17,13 @@ from foldwise.operators import drawtasks
 from foldwise.operators.calibration import recalibration
 from foldwise.operators.metrics import discrimination
 from foldwise.operators.ordered import cut, number_by_hash
-from foldwise.operators.resample import BOOTSTRAP_DRAWS, bootstrap_weights
+from foldwise.operators.resample import BOOTSTRAP_DRAWS, bootstrap_weights, class_counts
 from foldwise.session import settle
 
 # Interval bounds and the success count below which a warning row is written.
 LOW, HIGH = 0.025, 0.975
 MIN_SUCCESS = 200
+LEAST_MINORITY = 2
 SUMMARY_METRICS = [
     "roc_auc",
     "average_precision",
@@ -115,6 +116,25 @@ def auc_interval(scores: DataFrame, groups: Sequence[str], score: str, draws: in
     ).select(*groups, "draws", F.col("_ci")[0].alias("auc_ci95_lo"), F.col("_ci")[1].alias("auc_ci95_hi"))
 
 
+def guarded_auc_interval(
+    scores: DataFrame, groups: Sequence[str], score: str, least: int = LEAST_MINORITY, draws: int = BOOTSTRAP_DRAWS
+) -> DataFrame:
+    """AUROC interval of every unit with its class counts; withheld, with a warning, where a class has under ``least`` rows.
+
+    No draw is made for a withheld unit.
+    """
+    groups = list(groups)
+    counts = class_counts(scores, groups, "y_true").withColumn("_enough", F.least("positive", "negative") >= least)
+    kept = scores.join(counts.where("_enough").select(*groups), groups, "left_semi")
+    found = counts.join(auc_interval(kept, groups, score, draws), groups, "left")
+    warning = F.when(~F.col("_enough"), F.concat(F.lit("minority_below_"), F.lit(least)))
+    return found.select(
+        *groups, "n", "positive", "negative",
+        F.when(F.col("_enough"), "reported").otherwise("withheld").alias("interval_status"),
+        F.coalesce("draws", F.lit(0)).alias("draws"), "auc_ci95_lo", "auc_ci95_hi", warning.alias("warning"),
+    )
+
+
 def paired_auc_interval(
     paired: DataFrame, groups: Sequence[str], score_a: str, score_b: str, draws: int = BOOTSTRAP_DRAWS
 ) -> DataFrame:

@@ -103,7 +103,22 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 def holdout(spark: SparkSession, folder: str) -> DataFrame:
     """cohort, id, split, split_role, subset, y_true, p."""
-    return holdout_splits(samples(spark, folder), ["cohort"]).select(
+    return holdout_of(samples(spark, folder))
+
+
+def source_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a rare label, one cohort per source."""
+    rows = table(spark, folder, "documents").select("doc_id", F.col("source").alias("cohort"))
+    return (
+        rows.join(table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("y")), "doc_id")
+        .where(F.col("cohort").isNotNull() & F.col("y").isNotNull())
+        .select("cohort", F.col("doc_id").cast("string").alias("id"), "y")
+    )
+
+
+def holdout_of(rows: DataFrame) -> DataFrame:
+    """Holdout splits of (cohort, id, y) with a score for every row of every split."""
+    return holdout_splits(rows, ["cohort"]).select(
         "cohort",
         "id",
         "split",

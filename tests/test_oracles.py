@@ -19,7 +19,7 @@ QUICK = [
     "one_se_choice", "selection_frequency", "pairwise_jaccard", "method_comparison", "omission_summaries",
     "signed_rank_test", "coverage_grid", "saved_predictions_vs_plan", "parameter_row_problems",
     "preprocessing_state", "standardized_holdout_cells", "knn_imputed_cells",
-    "fitted_bundle_counts", "fitted_predictions_vs_plan", "fitted_bundle_problems",
+    "fitted_bundle_counts", "fitted_predictions_vs_plan", "fitted_bundle_problems", "fixed_holdout_intervals",
 ]
 ORACLE = entry.oracle_sql()
 NAMES = sorted(ORACLE) if os.environ.get("FOLDWISE_FULL") else QUICK
