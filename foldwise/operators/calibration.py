@@ -27,8 +27,8 @@ VARIANTS = ["raw", "prior_adjusted"]
 
 def with_prior_adjustment(predictions: DataFrame, counts: DataFrame, on: Sequence[str]) -> DataFrame:
     """Add the training counts of each prediction's fold or split and its prior-adjusted score."""
-    params = counts.select(*on, "train_n", "train_positive", "train_negative")
-    return predictions.join(params, list(on), "left").withColumn(
+    params = settle(counts.select(*on, "train_n", "train_positive", "train_negative"))
+    return predictions.join(F.broadcast(params), list(on), "left").withColumn(
         "p_prior_adjusted", prior_adjusted("p", "train_positive", "train_negative")
     )
 
@@ -110,7 +110,7 @@ def calibration_bins(
     )
     raw_bin = F.greatest(F.lit(1), F.size(F.filter("_edges", lambda e: e < v)))
     binned = (
-        c.join(edges, groups)
+        c.join(F.broadcast(settle(edges)), groups)
         .withColumn("_bin", raw_bin)
         .groupBy(*groups, "_bin")
         .agg(
@@ -225,7 +225,7 @@ def _newton_step(counts: DataFrame, state: DataFrame, groups: Sequence[str]) ->
     q0, q = expit(eta0), expit(eta)
     loss = lambda x: m * (F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))) - F.col("pos") * x
     sums = (
-        counts.join(state, groups)
+        counts.join(F.broadcast(state), groups)
         .groupBy(*groups)
         .agg(
             # The state rides through the aggregate, so chained steps read it once each.

@@ -1,5 +1,6 @@
 """The paths for large groups give exactly the results of the paths for small ones."""
 
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
@@ -7,7 +8,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from foldwise.operators import bootstrap, calibration, metrics, neighbors, ordered, preprocess
+from foldwise.catalog import compare as cc
+from foldwise.catalog import metrics as cm
+from foldwise.operators import bootstrap, calibration, drawtasks, metrics, neighbors, ordered, preprocess, resample
+from foldwise.plans import taskside
+from foldwise.sources import tuning
 
 
 @pytest.fixture(scope="module")
@@ -287,3 +292,86 @@ def test_prepared_rows_are_stored_once(one_cohort):
     for c in ("impute_value", "mean", "sd"):
         number = [np.array([np.nan if v is None else v for v in np.concatenate(both[f"{c}_{s}"])], float) for s in "xy"]
         assert np.allclose(*number, equal_nan=True)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_of_small_groups_need_no_cells(scores, monkeypatch):
+    """Groups numbered whole have no table of cells to join; numbers and sizes are those of the cells."""
+    _, df = scores
+    number = lambda: ordered.number_by_hash(df, ["u"], F.md5("id"), "id", "rn").select("u", "id", "rn", "group_n")
+    whole = number()
+    assert "Join" not in plan_of(whole)
+    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", 20)
+    monkeypatch.setattr(ordered, "CELL_ROWS", 7)
+    cells = number()
+    assert "SortMergeJoin" in plan_of(cells) and "Broadcast" not in plan_of(cells)
+    same(whole.toPandas(), cells.toPandas(), ["u", "id"])
+
+
+def test_samples_are_never_broadcast(scores, spark):
+    """The side of one row per group is the one that is sent around, whatever Spark measures of the samples."""
+    df = scores[1].select(F.col("u").alias("cohort"), "id", F.col("y_true").alias("y"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        folds = resample.stratified_folds(df, ["cohort"], "repeat", "outer_fold", 5, 2, "outer")
+        for made in (folds, resample.training_sets(folds, ["cohort", "repeat"], "outer_fold"), resample.inner_folds(folds, ["cohort"]), resample.holdout_splits(df, ["cohort"], 2)):
+            assert "BroadcastHashJoin" in plan_of(made) and "SortMergeJoin" not in plan_of(made)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_primary_units_are_chosen_before_they_are_settled(spark, folder, monkeypatch):
+    kept = []
+    monkeypatch.setattr(cm, "settle", lambda df: kept.append(df) or df)
+    cm.primary_units(spark, folder)
+    assert kept[-1].select("unit_type").distinct().count() == 2
+
+
+def test_inner_resamples_are_drawn_once_a_query(spark, folder, monkeypatch):
+    calls, drawn = [], tuning.resamples
+    monkeypatch.setattr(tuning, "resamples", lambda *a: calls.append(a) or drawn(*a))
+    for query in (cc.feature_by_fit, cc.linear_predictions, cc.effective_k, cc.grid_boundary_flags, cc.rank_gaps, cc.ordered_coefficients):
+        calls.clear()
+        query(spark, folder)
+        assert len(calls) == 1, query
+
+
+def test_draws_in_batches_are_those_of_one_batch(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame({"y_true": np.arange(300) % 2, "_rn": np.arange(300) // 2 + 1, "p": rng.uniform(0.01, 0.99, 300).round(2)})
+    once = rows.assign(_rn=np.arange(300) + 1)
+    run = lambda: (drawtasks.auc_task(["u"], ["p"], "boot", 5, 17)(("a", 1), rows), drawtasks.summary_task(["u"], "p", "ordinary", 5, 17)(("a", 1), once))
+    whole = run()
+    monkeypatch.setattr(drawtasks, "BATCH_VALUES", 700)
+    monkeypatch.setattr(drawtasks, "HASHED", 64)
+    sizes, drawn = [], drawtasks.draw_weights
+    monkeypatch.setattr(drawtasks, "draw_weights", lambda *a: sizes.append(len(a[-1])) or drawn(*a))
+    for a, b in zip(whole, run(), strict=True):
+        pd.testing.assert_frame_equal(a.reset_index(drop=True), b.reset_index(drop=True), rtol=1e-9)
+        assert b.draw.tolist() == list(range(11, 18))
+    assert set(sizes) == {1}
+
+
+def test_neighbours_are_filled_without_all_pairs():
+    """Ties, empty rows, columns without a donor: as by brute force, with a bounded share of the distances held."""
+    rng = np.random.default_rng(3)
+    z = np.round(rng.normal(size=(700, 4)), 1)
+    z[rng.random(z.shape) < 0.3] = np.nan
+    z[:3], train = np.nan, rng.random(700) < 0.6
+    want, donors = z.copy(), z[train]
+    distance = np.round(neighbors.nan_distances(z, donors), 9)
+    for i, j in np.argwhere(np.isnan(z)):
+        pool = np.flatnonzero(~np.isnan(donors[:, j]) & np.isfinite(distance[i]))
+        near = pool[np.argsort(distance[i, pool], kind="stable")[:5]]
+        want[i, j] = donors[near, j].mean() if len(near) else 0.0
+    np.testing.assert_allclose(taskside.fill_neighbors(z, train), want, rtol=1e-12)
+    big = rng.normal(size=(9000, 4))
+    big[rng.random(big.shape) < 0.1] = np.nan
+    tracemalloc.start()
+    taskside.fill_neighbors(big, np.arange(9000) % 3 > 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
