@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foldwise.functions.scalars import hash_uniform
 from foldwise.operators.resample import inner_folds
 from foldwise.plans.design import EN_C_GRID, EN_L1_GRID, L2_C_GRID, MAX_K
+from foldwise.session import settle
 from foldwise.sources.bindings import folds, table
 
 FIT = ["cohort", "repeat", "outer_fold"]
@@ -20,8 +21,11 @@ RESAMPLE = [*FIT, "inner_repeat", "inner_fold"]
 
 
 def resamples(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per inner resample with the mean hash of its validation rows."""
-    return (
+    """One row per inner resample with the mean hash of its validation rows, settled.
+
+    The tables below are drawn from these few rows; a query that needs several hands them the same ones.
+    """
+    return settle(
         inner_folds(folds(spark, folder), ["cohort"])
         .groupBy(*RESAMPLE)
         .agg(F.round(F.avg(hash_uniform("base", F.col("id"))), 6).alias("base"))
@@ -37,20 +41,20 @@ def _auc(purpose, *points):
     return F.round(0.5 + 0.2 * F.col("base") + 0.2 * key, 3)
 
 
-def grid_aucs(spark: SparkSession, folder: str) -> DataFrame:
+def grid_aucs(spark: SparkSession, folder: str, base: DataFrame | None = None) -> DataFrame:
     """RESAMPLE, C, l1_ratio, auc over the elastic-net grid."""
     return (
-        resamples(spark, folder)
+        (resamples(spark, folder) if base is None else base)
         .withColumn("c", _grid(EN_C_GRID))
         .withColumn("l", _grid(EN_L1_GRID))
         .select(*RESAMPLE, F.col("c.v").alias("C"), F.col("l.v").alias("l1_ratio"), _auc("auc", F.col("c.i"), F.col("l.i")).alias("auc"))
     )
 
 
-def k_aucs(spark: SparkSession, folder: str) -> DataFrame:
+def k_aucs(spark: SparkSession, folder: str, base: DataFrame | None = None) -> DataFrame:
     """RESAMPLE, k, C, auc over k = 1..MAX_K and the L2 grid."""
     return (
-        resamples(spark, folder)
+        (resamples(spark, folder) if base is None else base)
         .withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(MAX_K))))
         .withColumn("c", _grid(L2_C_GRID))
         .select(*RESAMPLE, "k", F.col("c.v").alias("C"), _auc("kauc", F.col("k"), F.col("c.i")).alias("auc"))
@@ -64,14 +68,14 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
     return cohorts.withColumn("feature", F.explode(names))
 
 
-def coefficients(spark: SparkSession, folder: str) -> DataFrame:
+def coefficients(spark: SparkSession, folder: str, base: DataFrame | None = None) -> DataFrame:
     """RESAMPLE, feature, coef: NULL when ineligible, exact zeros when shrunk away."""
     u = hash_uniform("coef", *[F.col(c) for c in RESAMPLE], F.col("feature"))
     strength = hash_uniform("strength", F.col("feature"))
     drawn = F.round(u - 0.5 + F.col("base") * 0.1, 4)
     coef = F.when(u < 0.1, None).when(u < 0.2 + 0.6 * strength, 0.0).otherwise(drawn)
     return (
-        resamples(spark, folder)
+        (resamples(spark, folder) if base is None else base)
         .join(features(spark, folder), "cohort")
         .select(*RESAMPLE, "feature", coef.alias("coef"))
     )
