@@ -1,5 +1,7 @@
 """Optimality of the penalised regressions, checked on the objective itself."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -100,3 +102,17 @@ def test_auc_columns():
     p = np.array([[0.1, 0.5], [0.4, 0.5], [0.35, 0.5], [0.8, 0.5]])
     assert solver.auc_columns(y, p).tolist() == [0.75, 0.5]
     assert np.isnan(solver.auc_columns(np.ones(4, int), p)).all()
+
+
+def test_memory_does_not_grow_with_rows_and_regressions():
+    """The grid of a long matrix: rows pass in blocks, and AUROC holds the scores of a few regressions."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40_000, 6))
+    y = (rng.random(len(x)) < 1 / (1 + np.exp(-x[:, 0]))).astype(int)
+    tracemalloc.start()
+    beta, done, _ = solver.fit_batch(x, y, np.geomspace(1e-3, 3, 42), np.full(42, 0.2), False, 20000)
+    auc = solver.auc_of(x, y, beta)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done.all() and peak < 60e6
+    assert np.array_equal(auc, solver.auc_columns(y, solver.probabilities(x, beta)))
