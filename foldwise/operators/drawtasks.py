@@ -13,6 +13,10 @@ import pandas as pd
 
 from foldwise.operators.calibration import BOUND_TOL, CONSTANT_LOGIT, INTERCEPT_BOUND, LOSS_TOL, MAX_NEWTON, NEWTON_TOL, SLOPE_BOUND, STILL
 
+# Weights (draws x rows) that a task holds at a time, and numbers hashed at a time.
+BATCH_VALUES = 1_000_000
+HASHED = 100_000
+
 
 def draw_weights(numbers, labels, purpose: str, strata, chunks) -> np.ndarray:
     """(draws, rows): how often each row is drawn. Each 16-byte hash serves two draws."""
@@ -26,23 +30,35 @@ def draw_weights(numbers, labels, purpose: str, strata, chunks) -> np.ndarray:
         by_number[numbers[rows] - 1] = rows
         prefix = f"{purpose}|" if s is None else f"{purpose}|{s}|"
         for i, chunk in enumerate(chunks):
-            start = hashlib.md5(f"{prefix}{chunk}|".encode())
-            digests = []
-            for j in range(1, n + 1):
-                h = start.copy()
-                h.update(b"%d" % j)
-                digests.append(h.digest())
-            # The first 60 bits of each half, as 15 hex digits are elsewhere.
-            picks = (np.frombuffer(b"".join(digests), ">u8").reshape(n, 2) >> 4).astype(np.int64) % n
+            picks = np.empty((n, 2), np.int64)
+            for first in range(0, n, HASHED):
+                last = min(first + HASHED, n)
+                # The first 60 bits of each half, as 15 hex digits are elsewhere.
+                picks[first:last] = (_digests(f"{prefix}{chunk}|", first + 1, last + 1) >> 4).astype(np.int64) % n
             for part in range(2):
                 weights[2 * i + part] += np.bincount(by_number[picks[:, part]], minlength=len(numbers)).astype(np.int32)
     return weights
 
 
-def class_weights_by_score(score, labels, weights):
-    """(distinct scores, positives, negatives) with the counts as (draws, distinct scores)."""
+def _digests(prefix: str, first: int, last: int) -> np.ndarray:
+    """(rows, 2): both halves of the hash of the prefix and every number from ``first`` on, below ``last``."""
+    start, digests = hashlib.md5(prefix.encode()), []
+    for j in range(first, last):
+        h = start.copy()
+        h.update(b"%d" % j)
+        digests.append(h.digest())
+    return np.frombuffer(b"".join(digests), ">u8").reshape(last - first, 2)
+
+
+def by_score(score):
+    """(distinct scores, the start of each in the order of the rows by score, that order)."""
     order = np.argsort(score, kind="stable")
-    values, starts = np.unique(score[order], return_index=True)
+    return *np.unique(score[order], return_index=True), order
+
+
+def class_weights_by_score(places, labels, weights):
+    """(distinct scores, positives, negatives) with the counts as (draws, distinct scores)."""
+    values, starts, order = places
     ordered, y = weights[:, order], labels[order]
     positive = np.add.reduceat(ordered * y, starts, axis=1).astype(float)
     return values, positive, np.add.reduceat(ordered, starts, axis=1) - positive
@@ -130,20 +146,27 @@ def _expit(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -700, 700)))
 
 
+def _batches(key: tuple, rows: int, per_task: int, draws: int):
+    """The chunks of one task, as many at a time as keep their weights within BATCH_VALUES."""
+    first = int(key[-1]) * per_task
+    last, some = min(first + per_task, (draws + 1) // 2), max(1, BATCH_VALUES // (2 * max(1, rows)))
+    return (range(at, min(at + some, last)) for at in range(first, last, some))
+
+
 def auc_task(groups, scores, purpose, per_task, draws):
     """Task of one (unit, chunk of draws): AUROC of every score per draw."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable")
-        y = rows["y_true"].to_numpy(int)
-        first = int(key[-1]) * per_task
-        chunks = range(first, min(first + per_task, (draws + 1) // 2))
-        weights = draw_weights(rows["_rn"].to_numpy(int), y, purpose, (0, 1), chunks)
-        out = {g: key[i] for i, g in enumerate(groups)} | {"draw": np.arange(len(weights)) + 2 * first + 1}
-        for name in scores:
-            _, positive, negative = class_weights_by_score(rows[name].to_numpy(float), y, weights)
-            out[f"auc_{name}"] = auc(positive, negative)
-        return pd.DataFrame(out).query("draw <= @draws")
+        y, numbers = rows["y_true"].to_numpy(int), rows["_rn"].to_numpy(int)
+        places, parts = {name: by_score(rows[name].to_numpy(float)) for name in scores}, []
+        for chunks in _batches(key, len(y), per_task, draws):
+            weights = draw_weights(numbers, y, purpose, (0, 1), chunks)
+            out = {g: key[i] for i, g in enumerate(groups)} | {"draw": np.arange(len(weights)) + 2 * chunks[0] + 1}
+            for name in scores:
+                _, positive, negative = class_weights_by_score(places[name], y, weights)
+                out[f"auc_{name}"] = auc(positive, negative)
+            parts.append(pd.DataFrame(out))
+        return pd.concat(parts).query("draw <= @draws")
 
     return run
 
@@ -152,13 +175,12 @@ def summary_task(groups, score, purpose, per_task, draws):
     """Task of one (unit, chunk of draws): the seven summary metrics per draw."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable")
-        y = rows["y_true"].to_numpy(int)
-        first = int(key[-1]) * per_task
-        chunks = range(first, min(first + per_task, (draws + 1) // 2))
-        weights = draw_weights(rows["_rn"].to_numpy(int), y, purpose, (None,), chunks)
-        counted = class_weights_by_score(rows[score].to_numpy(float), y, weights)
-        out = {g: key[i] for i, g in enumerate(groups)} | {"draw": np.arange(len(weights)) + 2 * first + 1}
-        return pd.DataFrame(out | summary(*counted)).query("draw <= @draws")
+        y, numbers = rows["y_true"].to_numpy(int), rows["_rn"].to_numpy(int)
+        places, parts = by_score(rows[score].to_numpy(float)), []
+        for chunks in _batches(key, len(y), per_task, draws):
+            counted = class_weights_by_score(places, y, draw_weights(numbers, y, purpose, (None,), chunks))
+            out = {g: key[i] for i, g in enumerate(groups)} | {"draw": np.arange(2 * len(chunks)) + 2 * chunks[0] + 1}
+            parts.append(pd.DataFrame(out | summary(*counted)))
+        return pd.concat(parts).query("draw <= @draws")
 
     return run
