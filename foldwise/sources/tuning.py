@@ -25,11 +25,9 @@ def resamples(spark: SparkSession, folder: str) -> DataFrame:
 
     The tables below are drawn from these few rows; a query that needs several hands them the same ones.
     """
-    return settle(
-        inner_folds(folds(spark, folder), ["cohort"])
-        .groupBy(*RESAMPLE)
-        .agg(F.round(F.avg(hash_uniform("base", F.col("id"))), 6).alias("base"))
-    )
+    # A sample's hash is taken before its rows multiply over the inner resamples.
+    outer = folds(spark, folder).withColumn("_u", hash_uniform("base", F.col("id")))
+    return settle(inner_folds(outer, ["cohort"]).groupBy(*RESAMPLE).agg(F.round(F.avg("_u"), 6).alias("base")))
 
 
 def _grid(values):

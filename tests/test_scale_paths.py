@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foldwise.catalog import compare as cc
 from foldwise.catalog import metrics as cm
 from foldwise.operators import bootstrap, calibration, drawtasks, metrics, neighbors, ordered, preprocess, resample
-from foldwise.plans import taskside
+from foldwise.plans import fitting, taskside
 from foldwise.sources import tuning
 
 
@@ -375,3 +375,55 @@ def test_neighbours_are_filled_without_all_pairs():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6
+
+
+def test_standardizing_holds_one_more_matrix():
+    rng = np.random.default_rng(9)
+    x = rng.gamma(2.0, size=(20_000, 20))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    state = {
+        "used": [j != 3 for j in range(20)], "impute_value": np.full(20, 0.5), "mean": np.linspace(0, 1, 20), "sd": np.linspace(1, 2, 20),
+        "transform": ["log1p" if j % 2 else "identity" for j in range(20)],
+    }
+    before = x.copy()
+    tracemalloc.start()
+    z, used = taskside.standardize(x, state)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    filled = np.where(np.isnan(x), 0.5, x)
+    want = (np.where(np.arange(20) % 2, np.log1p(filled), filled) - state["mean"]) / state["sd"]
+    np.testing.assert_array_equal(z, want[:, used])
+    np.testing.assert_array_equal(x, before)
+    assert used.tolist() == [j for j in range(20) if j != 3]
+    assert peak < 1.5 * x.nbytes
+
+
+def test_final_fits_join_their_rows_once_if_none_can_be_large(spark, monkeypatch):
+    """Rows without cells, and an id that trains a fit twice, count as they do in the join."""
+    cells = spark.createDataFrame([("a", str(i), f"v{j}", 1.0) for i in range(6) for j in range(3)], "cohort string, id string, feature string, value double")
+    roles = spark.createDataFrame([("a", f, str(i % 8)) for f in (1, 2) for i in range(9)], "cohort string, outer_fold int, id string")
+    exact = lambda: fitting.large_fits(roles.join(fitting.pack_rows(cells), ["cohort", "id"]), ["cohort", "outer_fold"])
+    monkeypatch.setattr(fitting, "TASK_CELLS", 27)
+    assert not fitting.may_be_large(cells, roles, ["cohort", "outer_fold"]) and exact() is None
+    monkeypatch.setattr(fitting, "TASK_CELLS", 20)
+    assert fitting.may_be_large(cells, roles, ["cohort", "outer_fold"]) and exact().count() == 2
+
+
+def test_a_sample_is_hashed_before_it_joins_the_inner_resamples(spark, folder, monkeypatch):
+    plans, inner = [], tuning.inner_folds
+    monkeypatch.setattr(tuning, "inner_folds", lambda df, *a: plans.append(df) or inner(df, *a))
+    tuning.resamples(spark, folder)
+    assert "_u" in plans[0].columns
+
+
+@pytest.mark.parametrize("most", [500_000, 3])
+def test_row_numbers_carry_half_a_digest(spark, monkeypatch, most):
+    """The order is that of the hex digits, ties by id; a row without a digest is numbered by no one."""
+    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", most)
+    hexed = ["00ff", "ff00", "00ff", "0a00", "a000", None, "7fff", "8000"]
+    rows = spark.createDataFrame([("g", str(i), h) for i, h in enumerate(hexed)], "u string, id string, h string")
+    numbered = ordered.number_by_hash(rows, ["u"], F.col("h"), "id", "rn")
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex" in plan
+    found = [r.id for r in numbered.where("h is not null").orderBy("rn").collect()]
+    assert found == [str(i) for i, h in sorted(enumerate(hexed), key=lambda r: (r[1] or "~", r[0])) if h]
