@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalars import hash_uniform
-from foldwise.operators.resample import inner_folds
+from foldwise.operators.resample import INNER_REPEATS, INNER_SPLITS, inner_folds
 from foldwise.plans.design import EN_C_GRID, EN_L1_GRID, L2_C_GRID, MAX_K
 from foldwise.session import settle
 from foldwise.sources.bindings import folds, table
@@ -20,14 +20,24 @@ FIT = ["cohort", "repeat", "outer_fold"]
 RESAMPLE = [*FIT, "inner_repeat", "inner_fold"]
 
 
-def resamples(spark: SparkSession, folder: str) -> DataFrame:
+def outer_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """The outer folds, settled, for queries that read them beside the inner resamples.
+
+    In an explicit number of parts: each row fans out into training sets and inner repeats, or into features.
+    """
+    width = 3 * spark.sparkContext.defaultParallelism
+    return settle(folds(spark, folder).repartition(width, "id"))
+
+
+def resamples(spark: SparkSession, folder: str, outer: DataFrame | None = None) -> DataFrame:
     """One row per inner resample with the mean hash of its validation rows, settled.
 
     The tables below are drawn from these few rows; a query that needs several hands them the same ones.
     """
     # A sample's hash is taken before its rows multiply over the inner resamples.
-    outer = folds(spark, folder).withColumn("_u", hash_uniform("base", F.col("id")))
-    return settle(inner_folds(outer, ["cohort"]).groupBy(*RESAMPLE).agg(F.round(F.avg("_u"), 6).alias("base")))
+    outer = (outer_plan(spark, folder) if outer is None else outer).withColumn("_u", hash_uniform("base", F.col("id")))
+    means = inner_folds(outer, ["cohort"], INNER_SPLITS, INNER_REPEATS, "_u")
+    return settle(means.select(*RESAMPLE, F.round("_u", 6).alias("base")))
 
 
 def _grid(values):

@@ -427,3 +427,30 @@ def test_row_numbers_carry_half_a_digest(spark, monkeypatch, most):
     assert "unhex" in plan
     found = [r.id for r in numbered.where("h is not null").orderBy("rn").collect()]
     assert found == [str(i) for i, h in sorted(enumerate(hexed), key=lambda r: (r[1] or "~", r[0])) if h]
+
+
+@pytest.mark.parametrize("most", [500_000, 3])
+def test_inner_means_are_those_of_the_plan_rows(spark, monkeypatch, most):
+    """Whole classes and cells give the rows of the inner plan, also for repeated and null ids, null values and odd class sizes."""
+    rng = np.random.default_rng(8)
+    rows = [(c, None if i == 5 else str(i % 50), int(rng.random() < share), None if i % 9 == 0 else float(rng.random())) for c, n, share in (("a", 61, 0.5), ("b", 23, 0.2), ("c", 3, 0.4)) for i in range(n)]
+    rows += [(None, "1", 1, 0.5), ("a", "2", None, 0.5)]
+    samples = spark.createDataFrame(rows, "cohort string, id string, y int, v double")
+    outer = resample.stratified_folds(samples, ["cohort"], "repeat", "outer_fold", 5, 2, "outer").localCheckpoint()
+    inner = resample.inner_folds(outer, ["cohort"])
+    keys = ["cohort", "repeat", "outer_fold", "inner_repeat", "inner_fold"]
+    want = inner.groupBy(*keys).agg(F.avg("v").alias("v")).toPandas()
+    # Whole, a task takes the digests of all inner repeats; no window over plan rows is left to Spark.
+    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", most)
+    monkeypatch.setattr(ordered, "CELL_ROWS", 2)
+    got = resample.inner_folds(outer, ["cohort"], 3, 5, "v")
+    same(want, got.toPandas(), keys)
+    assert len(want) > 200
+
+
+def test_inner_resamples_number_no_plan_rows(spark, folder, monkeypatch):
+    """Their means come from digests sorted in tasks: only the outer plan is numbered row by row."""
+    calls, numbered = [], resample.number_by_hash
+    monkeypatch.setattr(resample, "number_by_hash", lambda *a: calls.append(a[1]) or numbered(*a))
+    tuning.resamples(spark, folder)
+    assert calls == [["cohort", "repeat", "y"]]
