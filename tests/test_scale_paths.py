@@ -454,3 +454,13 @@ def test_inner_resamples_number_no_plan_rows(spark, folder, monkeypatch):
     monkeypatch.setattr(resample, "number_by_hash", lambda *a: calls.append(a[1]) or numbered(*a))
     tuning.resamples(spark, folder)
     assert calls == [["cohort", "repeat", "y"]]
+
+
+def test_a_query_numbers_its_outer_plan_once(spark, folder, monkeypatch):
+    made, folds = [], tuning.folds
+    for module in (tuning, cc.b):
+        monkeypatch.setattr(module, "folds", lambda *a: made.append(a) or folds(*a))
+    for query in (cc.linear_predictions, cc.grid_boundary_flags):
+        made.clear()
+        query(spark, folder)
+        assert len(made) == 1, query
