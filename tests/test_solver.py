@@ -116,3 +116,31 @@ def test_memory_does_not_grow_with_rows_and_regressions():
     tracemalloc.stop()
     assert done.all() and peak < 60e6
     assert np.array_equal(auc, solver.auc_columns(y, solver.probabilities(x, beta)))
+
+
+def test_sizes_in_one_batch_are_the_separate_fits():
+    """Regressions on the first k columns share the passes; a column that one does not use stays zero."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4))
+    y = (rng.random(300) < 1 / (1 + np.exp(-x[:, 0] - x[:, 2]))).astype(int)
+    c = [1e-3, 0.1, 3.0]
+    active = np.arange(4) < np.repeat([1, 2, 4], 3)[:, None]
+    beta, done, passes = solver.fit_batch(x, y, np.tile(c, 3), np.zeros(9), True, 1000, active)
+    for i, k in enumerate((1, 2, 4)):
+        alone, its_done, its_passes = solver.fit_batch(x[:, :k], y, c, np.zeros(3), True, 1000)
+        own = slice(3 * i, 3 * i + 3)
+        assert np.allclose(beta[own, : k + 1], alone, atol=1e-10) and not beta[own, k + 1 :].any()
+        assert (done[own] == its_done).all() and (passes[own] == its_passes).all()
+
+
+def test_losses_of_large_scores_do_not_overflow():
+    rng = np.random.default_rng(9)
+    score = rng.normal(size=(3, 50)) * 10
+    both = [solver.losses(score.copy(), moderate) for moderate in (True, False)]
+    for a, b in zip(*both, strict=True):
+        assert np.allclose(a, b, rtol=1e-12, atol=1e-15)
+    loss, wrong, bend = solver.losses(np.array([[800.0, -800.0]]), False)
+    assert loss[0] == 800 and np.allclose(wrong, [[1, 0]]) and (bend == 1e-10).all()
+    x, y = np.array([[-500.0], [1.0], [2.0], [400.0]]), np.array([0, 1, 0, 1])
+    beta, done, _ = solver.fit_batch(x, y, [1.0], [0.0], True, 1000)
+    assert done.all() and np.isfinite(beta).all()
