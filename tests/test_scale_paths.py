@@ -464,3 +464,103 @@ def test_a_query_numbers_its_outer_plan_once(spark, folder, monkeypatch):
         made.clear()
         query(spark, folder)
         assert len(made) == 1, query
+
+
+# Fits from blocks of rows -------------------------------------------------------------------------------
+
+
+def small_matrix(spark, n=90):
+    """(cells, train): two cohorts of different width, two fits each, with missing, negative and zero values."""
+    from foldwise.functions.scalars import hash_uniform
+
+    u = lambda *p: hash_uniform(*p, F.col("id"))
+    samples = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("cohort"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("id")
+    ).withColumn("y", (u("y") < 0.5).cast("int"))
+    names = F.when(F.col("cohort") == "a", F.array(*map(F.lit, "pqr"))).otherwise(F.array(*map(F.lit, "pqrst")))
+    cells = samples.select("cohort", "id", F.explode(names).alias("feature")).select(
+        "cohort", "id", "feature",
+        F.when(u("hole", F.col("feature")) > 0.2, F.round(8 * u("v", F.col("feature")), 1) - F.when(F.col("feature") == "q", 4).otherwise(1)).alias("value"),
+        F.when(F.col("feature") == "q", "identity").otherwise("log1p").alias("transform"),
+        (F.col("feature") != "q").alias("half_minimum_allowed"),
+        F.when(F.col("feature") == "r", "log10").otherwise("linear").alias("input_scale"),
+    )
+    fits = F.explode(F.array(F.lit(1), F.lit(2)))
+    train = samples.withColumn("split", fits).where(F.pmod(F.xxhash64("id", "split"), F.lit(4)) > 0)
+    return cells, train
+
+
+def test_folds_dealt_in_tasks_are_the_numbered_ones(spark, monkeypatch):
+    """One shuffled row a sample and fit instead of one an inner repeat, and the same folds."""
+    from foldwise.operators import ordered, resample
+
+    _, train = small_matrix(spark)
+    fit = ["cohort", "split"]
+    want = resample.stratified_folds(train, fit, "r", "fold", 3, 4, "inner", F.col("split"))
+    found = resample.stratified_fold_lists(train, fit, 3, 4, "inner", "split")
+    spread = found.select(*fit, "id", "y", F.posexplode("folds").alias("r", "fold")).withColumn("r", F.col("r") + 1)
+    key = lambda df: sorted(map(tuple, df.select(*fit, "id", "y", "r", F.col("fold").cast("int")).collect()))
+    assert key(spread) == key(want) and found.count() == train.count()
+    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", 10)
+    assert resample.stratified_fold_lists(train, fit, 3, 4, "inner", "split") is None
+
+
+@pytest.mark.parametrize("imputation", ["half_minimum", "knn"])
+def test_states_of_blocks_are_those_of_the_cells(spark, imputation):
+    from foldwise.operators import preprocess
+    from foldwise.plans import fitting
+    from foldwise.plans.design import PRIMARY
+
+    cells, train = small_matrix(spark)
+    fit, design = ["cohort", "split"], replace(PRIMARY, inner_repeats=2, imputation=imputation, missing_rate=0.22)
+    keys = [*fit, "inner_repeat", "inner_fold"]
+    rows, states = fitting.prepare(cells, fitting.inner_samples(train, fit, design), fit, design)
+    assert rows.count() == cells.select("cohort", "id").distinct().join(train, ["cohort", "id"]).select("cohort", "id").distinct().count()
+    state = preprocess.training_state(cells, fitting.inner_plan(train, fit, design), keys[:3], "inner_fold", imputation, design.missing_rate)
+    both = states.toPandas().merge(fitting.pack_state(state, keys).toPandas(), on=keys)
+    assert len(both) == states.count() == 2 * 2 * 2 * 3
+    assert not all(all(u) for u in both.used_x)
+    for r in both.to_dict("records"):
+        assert list(r["used_x"]) == list(r["used_y"]) and list(r["transform_x"]) == list(r["transform_y"])
+        for c in ("impute_value", "mean", "sd"):
+            number = [np.array([np.nan if v is None else v for v in r[f"{c}_{s}"]], float) for s in "xy"]
+            assert np.allclose(*number, rtol=1e-12, atol=1e-12, equal_nan=True)
+
+
+def test_blocks_hold_the_rows_of_every_fit(spark):
+    from foldwise.plans import fitting, taskside
+    from foldwise.plans.design import PRIMARY
+
+    cells, train = small_matrix(spark)
+    fit, design = ["cohort", "split"], replace(PRIMARY, inner_repeats=2)
+    rows = fitting.inner_samples(train, fit, design).join(fitting.pack_rows(cells), ["cohort", "id"]).repartition(3)
+    want = fitting.by_resample(rows, fit).toPandas()
+    for apart in (False, True):
+        blocks = fitting.fit_blocks(rows, fit, apart).toPandas()
+        assert len(blocks) <= 3 * 2 * 2 * (2 if apart else 1)
+        for (cohort, split, part), own in blocks.groupby([*fit, "part"]):
+            ids, x, y, folds = taskside.unpack(own)
+            for r in (part,) if apart else (1, 2):
+                told = want[(want.cohort == cohort) & (want.split == split) & (want.inner_repeat == r)].sort_values("id")
+                assert list(ids) == list(told.id) and list(y) == list(told.y)
+                assert list(folds[:, 0 if apart else r - 1]) == list(told.inner_fold)
+                assert np.array_equal(x, taskside.matrix(told), equal_nan=True)
+
+
+def test_blocks_leave_out_large_fits(spark, monkeypatch):
+    """One cohort's fits go to the blocks of a task, the other's to many tasks."""
+    from foldwise.plans import fitting
+    from foldwise.plans.design import PRIMARY
+
+    cells, train = small_matrix(spark)
+    fit, design = ["cohort", "split"], replace(PRIMARY, inner_repeats=1)
+    rows = fitting.inner_samples(train, fit, design).join(fitting.pack_rows(cells), ["cohort", "id"])
+    assert fitting._shape(rows, fit)[0] is None
+    monkeypatch.setattr(fitting, "TASK_CELLS", 30 * 3)
+    large = fitting._shape(rows, fit)[0]
+    assert sorted(tuple(r) for r in large.collect()) == [("b", 1), ("b", 2)]
+    some = large.where("split = 2")
+    columns = [*fit, "inner_repeat", "inner_fold", "id", "y"]
+    want = fitting.by_resample(rows, fit).join(some, fit, "left_anti").select(columns)
+    found = fitting.by_resample(fitting._small(rows, some, fit), fit).select(columns)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
