@@ -564,3 +564,14 @@ def test_blocks_leave_out_large_fits(spark, monkeypatch):
     want = fitting.by_resample(rows, fit).join(some, fit, "left_anti").select(columns)
     found = fitting.by_resample(fitting._small(rows, some, fit), fit).select(columns)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_repeated_sample_is_not_fitted(spark):
+    """Its packed row would hold every feature twice."""
+    from foldwise.plans import fitting
+    from foldwise.plans.design import PRIMARY
+
+    cells, train = small_matrix(spark)
+    fit, design = ["cohort", "split"], replace(PRIMARY, inner_repeats=1)
+    with pytest.raises(Exception, match="values a sample for"):
+        fitting.prepare(cells.unionByName(cells), fitting.inner_samples(train, fit, design), fit, design)
